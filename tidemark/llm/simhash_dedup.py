@@ -101,8 +101,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the smallest id of each component, with all their columns; rows with a null id stay."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("id is not null and id != component_id").select(F.col("id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = found.where("id is not null and id != component_id").select(F.col("id").alias("gone"))
+    plain = docs.toDF(*[f"x{i}" for i in range(len(docs.columns))])
+    return plain.join(gone, F.col(f"x{docs.columns.index(id_col)}") == F.col("gone"), "left_anti").toDF(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
