@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, language_id, mixing, sharding, simhash_dedup
+from tidemark.llm import decontamination, embedding_dedup, language_id, license_scan, line_dedup
+from tidemark.llm import mixing, sharding, simhash_dedup, token_counts, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1,
+        "op2_embedding_dedup": embedding_dedup.op2,
+        "op3_token_counts": token_counts.op3,
+        "op4_license_scan": license_scan.op4,
+        "op5_token_output": token_output.op5,
         "op6_sharding": sharding.op6,
         "op7_language_id": language_id.op7,
+        "op8_line_dedup": line_dedup.op8,
         "op9_decontamination": decontamination.op9,
         "op10_simhash_dedup": simhash_dedup.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op2_embedding_dedup": embedding_dedup.OP2_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
