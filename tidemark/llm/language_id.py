@@ -19,13 +19,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pick, table, text_batches, written
 
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST, SAMPLE_ROWS, WORDS, GRAMS, SMOOTH, CACHE = 5, 2000, 20_000, 8_000, 0.5, 100_000
+LONGEST, SAMPLE_ROWS, WORDS, GRAMS, SMOOTH, CACHE = 5, 2000, 20_000, 4_000, 0.5, 100_000
 UNKNOWN = "und"
 
 
@@ -46,7 +47,7 @@ class Model:
         for n in range(min(LONGEST, len(padded)), 0, -1):
             known, chars = self.grams[n - 1], padded if n > 1 else word
             if at := [known[g] for i in range(len(chars) - n + 1) if (g := chars[i : i + n]) in known]:
-                got = self.gram_scores[n - 1][at].mean(axis=0)
+                got = self.gram_scores[n - 1][at].mean(axis=0, dtype=float)
                 break
         if len(self.seen) >= CACHE:
             self.seen.clear()
@@ -66,7 +67,7 @@ class Model:
             else:
                 total += k * self.unseen(w)
         if at:
-            total += np.array(n, float) @ self.word_scores[at]
+            total += np.array(n, float) @ self.word_scores[at].astype(float)
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
@@ -75,14 +76,15 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _scores(rows: list, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Log frequencies of keys by language from (lang, key, n, all of that language)."""
-    keys = {k: i for i, k in enumerate(sorted({r["key"] for r in rows}))}
-    counts, totals, at = np.zeros((len(keys), len(langs))), np.ones(len(langs)), {x: i for i, x in enumerate(langs)}
-    for r in rows:
-        counts[keys[r["key"]], at[r["lang"]]] = r["n"]
-        totals[at[r["lang"]]] = r["of"]
-    return keys, np.log((counts + SMOOTH) / (totals + SMOOTH * max(1, len(keys))))
+def _scores(rows: pa.Table, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Log frequencies of keys by language from columns lang, key, n and of (all of that language)."""
+    lang = np.array([langs.index(x) for x in rows["lang"].to_pylist()], np.int64)
+    codes = rows["key"].combine_chunks().dictionary_encode()
+    counts, totals = np.zeros((len(codes.dictionary), len(langs))), np.ones(len(langs))
+    counts[codes.indices.to_numpy(), lang] = rows["n"].to_numpy()
+    totals[lang] = rows["of"].to_numpy()
+    keys = {k: i for i, k in enumerate(codes.dictionary.to_pylist())}
+    return keys, np.log((counts + SMOOTH) / (totals + SMOOTH * max(1, len(keys)))).astype(np.float32)
 
 
 def fit(
@@ -120,7 +122,7 @@ def fit(
         by = Window.partitionBy("lang")
         rank = F.row_number().over(by.orderBy(F.desc("n"), "key"))
         kept = found.withColumns({"of": F.sum("n").over(by), "rank": rank}).where(F.col("rank") <= (grams if size else words))
-        tables.append(_scores(kept.select("lang", "key", "n", "of").collect(), langs))
+        tables.append(_scores(kept.select("lang", "key", "n", "of").orderBy("key", "lang").toArrow(), langs))
     return Model(langs, *tables[0], [k for k, _ in tables[1:]], [s for _, s in tables[1:]])
 
 
