@@ -73,10 +73,10 @@ def links(fps: DataFrame, pair_bucket: int = 8) -> DataFrame:
     few = full.where(F.col("n") <= pair_bucket).groupBy("t", "b").agg(F.collect_list("fp").alias("fps"))
     few = few.select(F.explode("fps").alias("u"), "fps").select("u", F.explode("fps").alias("v"))
     few = few.where((F.col("u") > F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS))
-    # one row for each flip of a bit that the table's mask leaves free, and the fingerprint itself
+    # one row for each flip of a bit and the fingerprint itself, once for each fingerprint however many large buckets hold it
     flips = F.array(F.lit(0), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)) for i in range(64)])
-    free = F.filter(flips, lambda x: x.bitwiseAND(F.element_at(masks, F.col("t") + 1)) == 0)
-    many = full.where(F.col("n") > pair_bucket).select("fp", F.explode(F.transform(free, lambda x: x.bitwiseXOR(F.col("fp")))).alias("at"))
+    crowded = full.where(F.col("n") > pair_bucket).select("fp").distinct()
+    many = crowded.select("fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("at"))
     meet = many.groupBy("at").agg(F.min("fp").alias("v"), F.max("fp").alias("_max")).where("v != _max").drop("_max")
     hung = many.join(meet, "at").where("fp != v").select(F.col("fp").alias("u"), "v")
     return few.unionByName(hung)
