@@ -36,27 +36,23 @@ def sides(n: int) -> tuple[int, int]:
 
 
 def permute_once(x: str, n: int, seed: int = SEED) -> str:
-    """SQL of the network applied to the SQL expression x, a bigint."""
+    """SQL of the network applied to the SQL expression x, a bigint: a fold over the rounds, so its size does not grow with them."""
     a, b = sides(n)
-    left, right = f"({x} div {b}L)", f"({x} % {b}L)"
-    for i, (m, c, k) in enumerate(constants(seed)):
-        if i % 2 == 0:
-            left = f"(({left} + (({right} * {m}L + {c}L) % {P}L * {k}L) % {Q}L) % {a}L)"
-        else:
-            right = f"(({right} + (({left} * {m}L + {c}L) % {P}L * {k}L) % {Q}L) % {b}L)"
-    return f"({left} * {b}L + {right})"
+    rounds = ", ".join(f"named_struct('i', {i % 2}, 'm', {m}L, 'c', {c}L, 'k', {k}L)" for i, (m, c, k) in enumerate(constants(seed)))
+    mixed = f"((IF(k.i = 0, s.r, s.l) * k.m + k.c) % {P}L * k.k) % {Q}L"
+    step = f"IF(k.i = 0, named_struct('l', (s.l + {mixed}) % {a}L, 'r', s.r), named_struct('l', s.l, 'r', (s.r + {mixed}) % {b}L))"
+    return f"aggregate(array({rounds}), named_struct('l', {x} div {b}L, 'r', {x} % {b}L), (s, k) -> {step}, s -> s.l * {b}L + s.r)"
 
 
 def permuted(row: str, n: int, seed: int = SEED) -> Column:
     """P of the column ``row``, which holds 0..n-1."""
     n = max(n, 1)
     a, _ = sides(n)
-    first = permute_once(row, n, seed)
     step = f"CASE WHEN _at < {n}L THEN _at ELSE {permute_once('_at', n, seed)} END"
-    walk = f"aggregate(sequence(1, {min(a, WALK)}), {first}, (_at, _) -> {step})"
+    walk = f"aggregate(sequence(1, {min(a, WALK)}), _first, (_at, _) -> {step})"
     # where a > 64, under n^-1/2 of the places lie beyond n, and a walk of over 64 steps has a chance below n * n^-32
     ended = f"transform(array({walk}), w -> CASE WHEN w < {n}L THEN w ELSE raise_error('cycle walk did not end') END)[0]"
-    return F.expr(f"CASE WHEN {first} < {n}L THEN {first} ELSE {ended} END")
+    return F.expr(f"transform(array({permute_once(row, n, seed)}), _first -> CASE WHEN _first < {n}L THEN _first ELSE {ended} END)[0]")
 
 
 def inverse(y: int, n: int, seed: int = SEED) -> int:
