@@ -146,10 +146,13 @@ def frame(spark, name: str, put: list[tuple] = ()):
 
 @pytest.fixture(scope="module")
 def good(spark):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    small = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
     yield {name: frame(spark, name) for name in GOOD}
-    spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 def test_good_tables_keep_all_rules(spark, good):
