@@ -14,8 +14,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, of each group of near-duplicates."""
-    return simhash_dedup.keep_one(docs)
+    """One document, of the smallest doc_id, of each group of near-duplicates: Jaccard 0.8 of five-word shingles at least."""
+    return simhash_dedup.keep_one(docs, size=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

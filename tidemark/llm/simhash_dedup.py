@@ -8,29 +8,41 @@ Work is on distinct fingerprints. A table's buckets of up to ``pair_bucket`` fin
 larger bucket, with radius 2, two fingerprints are within the radius exactly if they meet at one value at most
 one flip away from each; all fingerprints meeting at a value are hung on the smallest, which needs rows in
 proportion to the bucket instead of to its square. Both ways are exact, so the switch changes no result.
+
+With a ``similarity``, two documents are near-duplicates if the Jaccard similarity of their sets of shingles (as
+64-bit hashes) is at least that. The covering search then only proposes pairs; the others come from prefix filtering
+(Chaudhuri et al., 2006): in any fixed order of all shingles, sets of n and m shingles with similarity t share one
+among the first n - ceil(t n) + 1 and m - ceil(t m) + 1. Shingles that are frequent in a sample of the texts go last
+in that order, which keeps the buckets small and changes no result. Similar sets also share many of these first shingles,
+as few of either may be missing from the other: only pairs that do are verified, on the whole sets. First each
+member of a bucket is compared with three of its members; then all pairs of a bucket that are not yet in one
+component are compared, so that large groups of copies need rows in proportion to their size.
 """
 
 from __future__ import annotations
 
 import random
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, pick, table, text_batches, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 CHUNK = 1 << 16
+#: One in SAMPLE texts tells which shingles are frequent: the first COMMON of those seen COMMON_LEAST times. They change speed alone.
+SAMPLE, COMMON_LEAST, COMMON = 16, 3, 1 << 16
 
 
-def simhash(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
-    """Majority bits of the XXH64 of all word shingles, as a signed 64-bit integer; null counts as empty."""
+def shingles(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each word shingle, in order and with repeats; a shorter text is one shingle, null counts as empty."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
@@ -38,13 +50,23 @@ def simhash(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     n = max(1, len(words) - size + 1)
     spans = zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist())
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed 64-bit integer; zero without hashes."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for i in range(0, n, CHUNK):
         ones += np.unpackbits(hashes[i : i + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
+def simhash(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
+    """Majority bits of the XXH64 of all word shingles, as a signed 64-bit integer; null counts as empty."""
+    return majority(shingles(text, size, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(id, fp long) of every row."""
     text_batches(docs.sparkSession)
@@ -82,25 +104,139 @@ def links(fps: DataFrame, pair_bucket: int = 8) -> DataFrame:
     return few.unionByName(hung)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """Shingles that are frequent in a sample of the different texts of (id, text), the most frequent last; COMMON at most."""
+
+    @F.pandas_udf("array<long>")
+    def distinct(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingles(t, size)).view(np.int64) for t in texts])
+
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    often = sample.select(F.explode(distinct("text")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_LEAST)
+    top = often.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n sorted different shingles: by hash, then the common ones (sorted) by rank."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    most = n + 1 + -(n * similarity.numerator) // similarity.denominator
+    place = np.searchsorted(common, hashes)
+    known = np.append(common, np.uint64(0))[place] == hashes
+    known &= place < len(common)
+    late = hashes[known][np.argsort(rank[place[known]])]
+    return np.concatenate((hashes[~known], late))[:most]
+
+
+def shingle_sets(docs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
+    """(id, t, fp, c, n, prefix) of (id, text): t is the text's hash, c the set's, n its size."""
+    frequent = common_shingles(docs, size)
+    rank = np.argsort(frequent)
+    common = frequent[rank]
+
+    @F.pandas_udf("fp long, c long, n long, prefix array<long>")
+    def describe(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            hashes = shingles(text, size)
+            alone = np.unique(hashes)
+            out.append((majority(hashes), set_hash(alone), len(alone), prefix(alone, common, rank, similarity).view(np.int64)))
+        return pd.DataFrame(out, columns=["fp", "c", "n", "prefix"])
+
+    return docs.select("id", F.xxhash64("text").alias("t"), describe("text").alias("got")).select("id", "t", "got.*")
+
+
+def set_hash(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
+def lengths_fit(n: str, m: str, similarity: Fraction) -> Column:
+    p, q = similarity.numerator, similarity.denominator
+    return (F.col(n) * q >= F.col(m) * p) & (F.col(m) * q >= F.col(n) * p)
+
+
+def similar(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, similarity: Fraction) -> DataFrame:
+    """Those of the pairs (u, v) of sets c that have the similarity."""
+
+    @F.pandas_udf("c long, hashes array<long>")
+    def again(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(shingles(t, size)) for t in texts]
+        return pd.DataFrame([(set_hash(x), x.view(np.int64)) for x in sets], columns=["c", "hashes"])
+
+    p, q = similarity.numerator, similarity.denominator
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct()
+    heads = classes.select("c", "n", "prefix")
+    pairs = pairs.join(heads.toDF("u", "nu", "x"), "u").join(heads.toDF("v", "nv", "y"), "v").where(lengths_fit("nu", "nv", similarity))
+    # p / (p + q) of both sizes must be shared; what a set's prefix may miss of it is no more than what the set may
+    shared = F.ceil((F.col("nu") + F.col("nv")) * p / F.lit(p + q) - F.lit(1e-6))
+    least = shared + F.least(F.size("x") - F.col("nu"), F.size("y") - F.col("nv"))
+    pairs = written(pairs.where(F.size(F.array_intersect("x", "y")) >= least).select("u", "v"), "simhash-pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes, "c").select("t", F.col("c").alias("_c"))
+    texts = docs.withColumn("t", F.xxhash64("text")).join(wanted, "t").groupBy("_c").agg(F.first("text").alias("text"))
+    sets = written(texts.select("_c", again("text").alias("got")).where("got.c = _c").select("_c", "got.hashes"), "simhash-sets")
+    both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
+    shared = both.withColumn("_n", F.size(F.array_intersect("x", "y")).cast("long"))
+    enough = (p + q) * F.col("_n") >= p * (F.size("x").cast("long") + F.size("y"))
+    return written(shared.where(enough).select("u", "v"), "simhash-similar")
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, size: int, similarity: Fraction) -> DataFrame:
+    """(u, v) links among the different sets c that connect all pairs with the similarity, and no others."""
+    holders = classes.groupBy("fp").agg(F.min("c").alias("p"))
+    near = links(classes.select("fp").distinct())
+    near = near.join(holders.toDF("u", "pu"), "u").join(holders.toDF("v", "pv"), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))
+    same = classes.join(holders, "fp").select(F.col("c").alias("u"), F.col("p").alias("v"))
+    postings = classes.select("c", "n", F.explode("prefix").alias("h"))
+    one = F.struct("c", "n")
+    pivots = postings.groupBy("h").agg(F.count("*").alias("_k"), F.min(one).alias("_a"), F.max(one).alias("_b"), F.min_by(one, F.xxhash64("c")).alias("_c"))
+    full = written(postings.join(pivots.where("_k > 1"), "h"), "simhash-postings")
+    stars = full.select(F.col("c").alias("u"), "n", F.explode(F.array("_a", "_b", "_c")).alias("v")).select("u", "n", F.col("v.c").alias("v"), F.col("v.n").alias("m"))
+    stars = stars.where(lengths_fit("n", "m", similarity)).select("u", "v")
+    first = similar(docs, near.unionByName(same).unionByName(stars), classes, size, similarity)
+    roots = written(components(first, "simhash-links"), "simhash-roots")
+    rooted = full.select("h", "c", "n").join(roots, full.c == roots.node, "left").select("h", "c", "n", F.coalesce("root", "c").alias("root"))
+    apart = rooted.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a != _b").select("h")
+    rooted = written(rooted.join(apart, "h", "left_semi"), "simhash-apart")
+    x, y = rooted.toDF("h", "u", "nu", "ru"), rooted.toDF("h", "v", "nv", "rv")
+    rest = x.join(y, "h").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & lengths_fit("nu", "nv", similarity)).select("u", "v")
+    return first.unionByName(similar(docs, rest, classes, size, similarity))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One row for each input row: id, fp, component_id (smallest id reachable by links).
 
-    Null texts count as empty; documents without words have fingerprint zero and link like any other. Null ids
-    keep their row; component_id is the smallest non-null id, null where a component has none. Repeated rows
-    stay. An empty table gives an empty result.
+    Links are pairs of fingerprints within radius 2 or, given a similarity, pairs of texts whose sets of shingles
+    have that Jaccard similarity at least, whatever their fingerprints. Null texts count as empty; documents without
+    words have fingerprint zero and no shingle, and link with each other. Null ids keep their row; component_id is
+    the smallest non-null id, null where a component has none. Repeated rows stay. An empty table gives an empty
+    result.
     """
-    base = written(fingerprints(docs, id_col, text_col), "simhash-fp")
-    classes = written(base.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
-    roots = written(components(links(classes.select("fp")), "simhash-links"), "simhash-roots")
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    if similarity is None:
+        base, node = written(fingerprints(docs, id_col, text_col, size), "simhash-fp"), "fp"
+        classes = written(base.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
+        found = links(classes.select("fp"))
+    else:
+        least, texts, node = Fraction(str(similarity)), pick(docs, id=id_col, text=text_col), "c"
+        if not 0 < least <= 1:
+            raise ValueError("similarity must be above 0 and at most 1")
+        text_batches(docs.sparkSession)
+        base = written(shingle_sets(texts, size, least), "simhash-fp")
+        same = [F.first(x).alias(x) for x in ("n", "prefix")]
+        # texts with one set may differ in their order or repeats of shingles, and so in fp
+        classes = written(base.groupBy("c").agg(F.min("id").alias("rep"), F.min("t").alias("t"), F.min("fp").alias("fp"), *same), "simhash-classes")
+        found = similar_links(texts, classes, size, least)
+    roots = written(components(found, "simhash-links"), "simhash-roots")
+    rooted = classes.join(roots, classes[node] == roots.node, "left").select(node, "rep", F.coalesce("root", node).alias("root"))
     least = rooted.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least"))
-    labels = rooted.join(least, "root", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return base.join(labels, "fp").select("id", "fp", "component_id")
+    labels = rooted.join(least, "root", "left").select(node, F.coalesce("least", "rep").alias("component_id"))
+    return base.join(labels, node).select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of the smallest id of each component, with all their columns; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col)
+    found = near_duplicates(docs, id_col, text_col, size, similarity)
     gone = found.where("id is not null and id != component_id").select(F.col("id").alias("gone"))
     plain = docs.toDF(*[f"x{i}" for i in range(len(docs.columns))])
     return plain.join(gone, F.col(f"x{docs.columns.index(id_col)}") == F.col("gone"), "left_anti").toDF(*docs.columns)
