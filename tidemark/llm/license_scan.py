@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
 Texts become lower-case words joined by single spaces. The rules are regexes over that form: for each license family
-its grant ("licensed under the ..."), its SPDX line, its address and its plain mention. A rule runs only where its
-family's keyword occurs. Rules are ordered by priority; a detection whose words lie inside those of a detection of
+its grant ("licensed under the ..."), its SPDX line, its address and its plain mention, and for some the first words of
+the license itself. A rule runs only where the literals occur that its own regex requires. Rules are ordered by priority; a detection whose words lie inside those of a detection of
 higher priority, or of an earlier and longer one of the same, is suppressed.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import re._parser as grammar
 from dataclasses import dataclass
 
 import pandas as pd
@@ -20,61 +21,71 @@ from tidemark.llm.common import pick, table, text_batches
 
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: label; keyword; names (regex over words); SPDX identifiers as words; address as words
+#: label; names (regex over words); SPDX identifiers as words; address as words
 FAMILIES = (
-    ("mit", "mit", "mit(?: x11| expat)? licen[cs]e|(?:x11|expat) licen[cs]e", "mit", "opensource org licenses? mit"),
-    ("apache-2", "apache", "apache(?: software)? license(?: version)? 2(?: 0)?|apache 2(?: 0)?(?: license)?", "apache 2 0", "apache org licenses license 2 0"),
-    ("apache-1.1", "apache", "apache(?: software)? license(?: version)? 1 1", "apache 1 1", "apache org licenses license 1 1"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|simplified bsd|freebsd|two clause bsd)(?: license)?", "bsd 2 clause", "opensource org licenses? bsd 2 clause"),
-    ("bsd-3-clause", "bsd", "(?:bsd 3 clause|new bsd|modified bsd|three clause bsd|revised bsd)(?: license)?", "bsd 3 clause", "opensource org licenses? bsd 3 clause"),
-    ("bsd-4-clause", "bsd", "(?:bsd 4 clause|original bsd|four clause bsd)(?: license)?", "bsd 4 clause", "spdx org licenses bsd 4 clause"),
-    ("bsd", "bsd", "bsd(?: style)? license", "0bsd", "opensource org licenses? bsd license"),
-    ("gpl-2", "gpl|general public", "(?:gnu )?(?:gpl|general public license)(?: gpl)? (?:version 2|v2|2)(?: 0)?", "gpl 2 0(?: only| or later)?", "gnu org licenses (?:old licenses )?gpl 2 0"),
-    ("gpl-3", "gpl|general public", "(?:gnu )?(?:gpl|general public license)(?: gpl)? (?:version 3|v3|3)(?: 0)?", "gpl 3 0(?: only| or later)?", "gnu org licenses gpl 3 0"),
-    ("gpl", "gpl|general public", "gnu (?:gpl|general public license)|gpl(?: license)?", "gpl", "gnu org licenses gpl"),
-    ("lgpl-2.1", "lgpl|lesser general", "(?:gnu )?(?:lgpl|lesser general public license)(?: lgpl)? (?:version 2 1|v2 1|2 1)", "lgpl 2 1(?: only| or later)?", "gnu org licenses (?:old licenses )?lgpl 2 1"),
-    ("lgpl-3", "lgpl|lesser general", "(?:gnu )?(?:lgpl|lesser general public license)(?: lgpl)? (?:version 3|v3|3)(?: 0)?", "lgpl 3 0(?: only| or later)?", "gnu org licenses lgpl 3 0"),
-    ("lgpl", "lgpl|lesser general|library general", "gnu (?:lesser|library) general public license|lgpl(?: license)?", "lgpl", "gnu org licenses lgpl"),
-    ("agpl-3", "agpl|affero", "(?:gnu )?(?:agpl|affero general public license)(?: (?:version 3|v3|3)(?: 0)?)?", "agpl 3 0(?: only| or later)?", "gnu org licenses agpl"),
-    ("mpl-1.1", "mpl|mozilla", "(?:mozilla public license|mpl)(?: version)? 1 1", "mpl 1 1", "mozilla org mpl 1 1"),
-    ("mpl-2", "mpl|mozilla", "(?:mozilla public license|mpl)(?: version)? (?:v )?2(?: 0)?", "mpl 2 0", "mozilla org mpl 2 0"),
-    ("epl-1", "epl|eclipse", "(?:eclipse public license|epl)(?: version)? (?:v )?1(?: 0)?", "epl 1 0", "eclipse org legal epl v10"),
-    ("epl-2", "epl|eclipse", "(?:eclipse public license|epl)(?: version)? (?:v )?2(?: 0)?", "epl 2 0", "eclipse org legal epl 2 0"),
-    ("cddl", "cddl|common development", "common development and distribution license|cddl", "cddl 1 [01]", "opensource org licenses? cddl 1 0"),
-    ("artistic-2", "artistic", "artistic license(?: version)? 2(?: 0)?", "artistic 2 0", "perlfoundation org artistic license 2 0"),
-    ("artistic", "artistic", "artistic license", "artistic 1 0", "opensource org licenses? artistic license"),
-    ("isc", "isc", "isc license", "isc", "opensource org licenses? isc"),
-    ("zlib", "zlib", "zlib(?: libpng)? license", "zlib", "zlib net zlib license"),
-    ("unlicense", "unlicense", "the unlicense", "unlicense", "unlicense org"),
-    ("wtfpl", "wtfpl|fuck", "do what the fuck you want to public license|wtfpl", "wtfpl", "wtfpl net"),
-    ("boost", "boost|bsl", "boost software license(?: version 1 0)?", "bsl 1 0", "boost org license 1 0"),
-    ("eupl", "eupl|european union public", "european union public licen[cs]e|eupl(?: v?1 [012])?", "eupl 1 [012]", "joinup ec europa eu collection eupl"),
-    ("cecill", "cecill", "cecill(?: [bc])?(?: license)?", "cecill(?: [bc])?(?: [12] [01])?", "cecill info licences"),
-    ("python", "python|psf", "python software foundation license|psf license", "psf 2 0|python 2 0", "docs python org license"),
-    ("openssl", "openssl", "openssl license", "openssl", "openssl org source license"),
-    ("postgresql", "postgresql", "postgresql license", "postgresql", "postgresql org about licence"),
-    ("php", "php", "php license(?: version)?(?: 3 01?)?", "php 3 01?", "php net license"),
-    ("ofl", "ofl|open font", "(?:sil )?open font license(?: version 1 1)?", "ofl 1 1", "scripts sil org ofl"),
-    ("ms-pl", "microsoft public|ms pl", "microsoft public license|ms pl", "ms pl", "opensource org licenses? ms pl"),
-    ("ms-rl", "microsoft reciprocal|ms rl", "microsoft reciprocal license|ms rl", "ms rl", "opensource org licenses? ms rl"),
-    ("cc0", "cc0|zero", "creative commons zero|cc0(?: 1 0)?(?: universal)?", "cc0 1 0", "creativecommons org publicdomain zero 1 0"),
-    ("cc-by", "cc by|attribution|creativecommons", "creative commons attribution(?: [1234] 0)?|cc by(?: [1234] 0)", "cc by [1234] 0", "creativecommons org licenses by [1234] [05]"),
-    ("cc-by-sa", "cc by sa|share|creativecommons", "creative commons attribution share ?alike(?: [1234] 0)?|cc by sa(?: [1234] 0)?", "cc by sa [1234] 0", "creativecommons org licenses by sa"),
-    ("cc-by-nd", "cc by nd|deriv|creativecommons", "creative commons attribution no ?deriv(?:ative)?s(?: [1234] 0)?|cc by nd(?: [1234] 0)?", "cc by nd [1234] 0", "creativecommons org licenses by nd"),
-    ("cc-by-nc", "cc by nc|commercial|creativecommons", "creative commons attribution non ?commercial(?: [1234] 0)?|cc by nc(?: [1234] 0)?", "cc by nc [1234] 0", "creativecommons org licenses by nc"),
-    ("cc-by-nc-sa", "cc by nc sa|commercial|creativecommons", "creative commons attribution non ?commercial share ?alike(?: [1234] 0)?|cc by nc sa(?: [1234] 0)?", "cc by nc sa [1234] 0", "creativecommons org licenses by nc sa"),
-    ("cc-by-nc-nd", "cc by nc nd|commercial|creativecommons", "creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1234] 0)?|cc by nc nd(?: [1234] 0)?", "cc by nc nd [1234] 0", "creativecommons org licenses by nc nd"),
-    ("gfdl", "free documentation|gfdl", "(?:gnu )?free documentation license|gfdl", "gfdl 1 [123](?: only| or later)?", "gnu org licenses fdl"),
-    ("odbl", "odbl|open database", "open database license|odbl", "odbl 1 0", "opendatacommons org licenses odbl"),
-    ("pddl", "pddl|public domain dedication", "public domain dedication and license|pddl", "pddl 1 0", "opendatacommons org licenses pddl"),
-    ("ogl-uk", "open government", "open government licen[cs]e(?: v?[123] 0)?", "ogl uk [123] 0", "nationalarchives gov uk doc open government licence"),
-    ("public-domain", "public domain", "(?:in|into|to) the public domain", "cc pddc", "creativecommons org licenses publicdomain"),
-    ("bsl", "business source", "business source license(?: 1 1)?", "busl 1 1", "mariadb com bsl11"),
-    ("sspl", "sspl|server side", "server side public license|sspl", "sspl 1 0", "mongodb com licensing server side public license"),
-    ("elastic", "elastic", "elastic license(?: 2 0| v2)?", "elastic 2 0", "elastic co licensing elastic license"),
-    ("openrail", "openrail|rail", "(?:big ?science |creativeml )?open ?rail(?: [ms]| m\\+\\+)?(?: license)?", "openrail(?: m)?", "huggingface co spaces bigscience license"),
-    ("llama", "llama", "llama [234](?: [123])? community license", "llama [234]", "ai meta com llama license"),
-    ("proprietary", "reserved|proprietary|confidential", "all rights reserved|proprietary and confidential", "licenseref proprietary", "all rights reserved worldwide"),
+    ("mit", "mit(?: x11| expat)? licen[cs]e|(?:x11|expat) licen[cs]e", "mit", "opensource org licenses? mit"),
+    ("apache-2", "apache(?: software)? license(?: version)? 2(?: 0)?|apache 2(?: 0)?(?: license)?", "apache 2 0", "apache org licenses license 2 0"),
+    ("apache-1.1", "apache(?: software)? license(?: version)? 1 1", "apache 1 1", "apache org licenses license 1 1"),
+    ("bsd-2-clause", "(?:bsd 2 clause|simplified bsd|freebsd|two clause bsd)(?: license)?", "bsd 2 clause", "opensource org licenses? bsd 2 clause"),
+    ("bsd-3-clause", "(?:bsd 3 clause|new bsd|modified bsd|three clause bsd|revised bsd)(?: license)?", "bsd 3 clause", "opensource org licenses? bsd 3 clause"),
+    ("bsd-4-clause", "(?:bsd 4 clause|original bsd|four clause bsd)(?: license)?", "bsd 4 clause", "spdx org licenses bsd 4 clause"),
+    ("bsd", "bsd(?: style)? license", "0bsd", "opensource org licenses? bsd license"),
+    ("gpl-2", "(?:gnu )?(?:gpl|general public license)(?: gpl)? (?:version 2|v2|2)(?: 0)?|gplv?2(?: 0)?", "gpl 2 0(?: only| or later)?", "gnu org licenses (?:old licenses )?gpl 2 0"),
+    ("gpl-3", "(?:gnu )?(?:gpl|general public license)(?: gpl)? (?:version 3|v3|3)(?: 0)?|gplv?3(?: 0)?", "gpl 3 0(?: only| or later)?", "gnu org licenses gpl 3 0"),
+    ("gpl", "gnu (?:gpl|general public license)|gpl(?: license)?", "gpl", "gnu org licenses gpl"),
+    ("lgpl-2.1", "(?:gnu )?(?:lgpl|lesser general public license)(?: lgpl)? (?:version 2 1|v2 1|2 1)|lgplv?2 1", "lgpl 2 1(?: only| or later)?", "gnu org licenses (?:old licenses )?lgpl 2 1"),
+    ("lgpl-3", "(?:gnu )?(?:lgpl|lesser general public license)(?: lgpl)? (?:version 3|v3|3)(?: 0)?|lgplv?3(?: 0)?", "lgpl 3 0(?: only| or later)?", "gnu org licenses lgpl 3 0"),
+    ("lgpl", "gnu (?:lesser|library) general public license|lgpl(?: license)?", "lgpl", "gnu org licenses lgpl"),
+    ("agpl-3", "(?:gnu )?(?:agpl|affero general public license)(?: (?:version 3|v3|3)(?: 0)?)?|agplv?3(?: 0)?", "agpl 3 0(?: only| or later)?", "gnu org licenses agpl"),
+    ("mpl-1.1", "(?:mozilla public license|mpl)(?: version)? 1 1", "mpl 1 1", "mozilla org mpl 1 1"),
+    ("mpl-2", "(?:mozilla public license|mpl)(?: version)? (?:v ?)?2(?: 0)?|mplv?2(?: 0)?", "mpl 2 0", "mozilla org mpl 2 0"),
+    ("epl-1", "(?:eclipse public license|epl)(?: version)? (?:v )?1(?: 0)?", "epl 1 0", "eclipse org legal epl v10"),
+    ("epl-2", "(?:eclipse public license|epl)(?: version)? (?:v )?2(?: 0)?", "epl 2 0", "eclipse org legal epl 2 0"),
+    ("cddl", "common development and distribution license|cddl", "cddl 1 [01]", "opensource org licenses? cddl 1 0"),
+    ("artistic-2", "artistic license(?: version)? 2(?: 0)?", "artistic 2 0", "perlfoundation org artistic license 2 0"),
+    ("artistic", "artistic license", "artistic 1 0", "opensource org licenses? artistic license"),
+    ("isc", "isc license", "isc", "opensource org licenses? isc"),
+    ("zlib", "zlib(?: libpng)? license", "zlib", "zlib net zlib license"),
+    ("unlicense", "the unlicense", "unlicense", "unlicense org"),
+    ("wtfpl", "do what the fuck you want to public license|wtfpl", "wtfpl", "wtfpl net"),
+    ("boost", "boost software license(?: version 1 0)?", "bsl 1 0", "boost org license 1 0"),
+    ("eupl", "european union public licen[cs]e|eupl(?: v?1 [012])?", "eupl 1 [012]", "joinup ec europa eu collection eupl"),
+    ("cecill", "cecill(?: [bc])?(?: license)?", "cecill(?: [bc])?(?: [12] [01])?", "cecill info licences"),
+    ("python", "python software foundation license|psf license", "psf 2 0|python 2 0", "docs python org license"),
+    ("openssl", "openssl license", "openssl", "openssl org source license"),
+    ("postgresql", "postgresql license", "postgresql", "postgresql org about licence"),
+    ("php", "php license(?: version)?(?: 3 01?)?", "php 3 01?", "php net license"),
+    ("ofl", "(?:sil )?open font license(?: version 1 1)?", "ofl 1 1", "scripts sil org ofl"),
+    ("ms-pl", "microsoft public license|ms pl", "ms pl", "opensource org licenses? ms pl"),
+    ("ms-rl", "microsoft reciprocal license|ms rl", "ms rl", "opensource org licenses? ms rl"),
+    ("cc0", "creative commons zero|cc0(?: 1 0)?(?: universal)?", "cc0 1 0", "creativecommons org publicdomain zero 1 0"),
+    ("cc-by", "creative commons attribution(?: [1234] 0)?|cc by(?: [1234] 0)", "cc by [1234] 0", "creativecommons org licenses by [1234] [05]"),
+    ("cc-by-sa", "creative commons attribution share ?alike(?: [1234] 0)?|cc by sa(?: [1234] 0)?", "cc by sa [1234] 0", "creativecommons org licenses by sa"),
+    ("cc-by-nd", "creative commons attribution no ?deriv(?:ative)?s(?: [1234] 0)?|cc by nd(?: [1234] 0)?", "cc by nd [1234] 0", "creativecommons org licenses by nd"),
+    ("cc-by-nc", "creative commons attribution non ?commercial(?: [1234] 0)?|cc by nc(?: [1234] 0)?", "cc by nc [1234] 0", "creativecommons org licenses by nc"),
+    ("cc-by-nc-sa", "creative commons attribution non ?commercial share ?alike(?: [1234] 0)?|cc by nc sa(?: [1234] 0)?", "cc by nc sa [1234] 0", "creativecommons org licenses by nc sa"),
+    ("cc-by-nc-nd", "creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1234] 0)?|cc by nc nd(?: [1234] 0)?", "cc by nc nd [1234] 0", "creativecommons org licenses by nc nd"),
+    ("gfdl", "(?:gnu )?free documentation license|gfdl", "gfdl 1 [123](?: only| or later)?", "gnu org licenses fdl"),
+    ("odbl", "open database license|odbl", "odbl 1 0", "opendatacommons org licenses odbl"),
+    ("pddl", "public domain dedication and license|pddl", "pddl 1 0", "opendatacommons org licenses pddl"),
+    ("ogl-uk", "open government licen[cs]e(?: v?[123] 0)?", "ogl uk [123] 0", "nationalarchives gov uk doc open government licence"),
+    ("public-domain", "(?:in|into|to) the public domain", "cc pddc", "creativecommons org licenses publicdomain"),
+    ("bsl", "business source license(?: 1 1)?", "busl 1 1", "mariadb com bsl11"),
+    ("sspl", "server side public license|sspl", "sspl 1 0", "mongodb com licensing server side public license"),
+    ("elastic", "elastic license(?: 2 0| v2)?", "elastic 2 0", "elastic co licensing elastic license"),
+    ("openrail", "(?:big ?science |creativeml )?open ?rail(?: [ms]| m\\+\\+)?(?: license)?", "openrail(?: m)?", "huggingface co spaces bigscience license"),
+    ("llama", "llama [234](?: [123])? community license", "llama [234]", "ai meta com llama license"),
+    ("proprietary", "all rights reserved|proprietary and confidential", "licenseref proprietary", "all rights reserved worldwide"),
+)
+
+#: label and words of the licenses' own texts
+BODIES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("isc", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
 GRANT = "(?:licen[cs]ed|released|distributed|available|published|redistributed|dual licensed) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
@@ -86,18 +97,43 @@ FORMS = ((0, "spdx", "spdx license identifier (?:{0})", 1.0), (1, "name", GRANT
 class Rule:
     priority: int
     label: str
-    keywords: tuple[bytes, ...]
+    literals: tuple[tuple[bytes, ...], ...]  # of each group one at least is in every match
     pattern: re.Pattern
     weight: float
 
 
+def required(parsed) -> list[tuple[bytes, ...]]:
+    """Groups of literals of a parsed regex; every match contains one at least of each group."""
+    out, run = [], bytearray()
+    for kind, value in [*parsed, (None, None)]:
+        if kind is grammar.LITERAL:
+            run.append(value)
+            continue
+        if run:
+            out.append((bytes(run),))
+            run = bytearray()
+        if kind is grammar.SUBPATTERN:
+            out += required(value[3])
+        elif kind is grammar.BRANCH and all(ways := [required(x) for x in value[1]]):
+            out.append(tuple(x for groups in ways for x in max(groups, key=lambda g: min(map(len, g)))))
+        elif kind is grammar.MAX_REPEAT and value[0]:
+            out += required(value[2])
+    return out
+
+
+def rule(priority: int, label: str, pattern: str, weight: float) -> Rule:
+    raw = pattern.encode()
+    return Rule(priority, label, tuple(required(grammar.parse(raw))), re.compile(b"(?<= )" + raw + b"(?= )"), weight)
+
+
 def rules() -> list[Rule]:
-    """All rules by priority, then in the order of the families."""
+    """All rules by priority, then in the order of the families; the licenses' own texts come last of the grants."""
     out = []
     for priority, part, form, weight in FORMS:
-        for label, keywords, name, spdx, address in FAMILIES:
-            what = {"name": name, "spdx": spdx, "address": address}[part]
-            out.append(Rule(priority, label, tuple(k.encode() for k in keywords.split("|")), re.compile(f"(?<= ){form.format(what)}(?= )".encode()), weight))
+        for label, name, spdx, address in FAMILIES:
+            out.append(rule(priority, label, form.format({"name": name, "spdx": spdx, "address": address}[part]), weight))
+        if priority == 1:
+            out += [rule(priority, label, words, weight) for label, words in BODIES]
     return out
 
 
@@ -144,10 +180,10 @@ def scan(text: str | None) -> Scan:
     found = []
     present: dict[bytes, bool] = {}
     for rule in RULES:
-        for k in rule.keywords:
+        for k in (k for group in rule.literals for k in group):
             if k not in present:
                 present[k] = k in joined
-        if not any(present[k] for k in rule.keywords):
+        if not all(any(present[k] for k in group) for group in rule.literals):
             continue
         word, last = -1, 0
         for m in rule.pattern.finditer(joined):
