@@ -77,10 +77,27 @@ def test_query_on_odd_rows(spark):
     assert sorted(((r.id, r.fp % 2**64, r.component_id) for r in got), key=str) == sorted(whole, key=str)
 
 
-def test_keep_one_and_empty(spark):
-    docs = frame(spark, documents())
+def test_keep_one_row_of_each_component(spark):
+    a, b = "one two three four five", "six seven eight nine ten eleven"
+    rows = [(5, a, "p"), (5, b, "q"), (3, a, "r"), (7, b, "s"), (7, b, "s"), (7, b, "t"), (None, a, "u"), (None, "quite another text here", "v"), (9, None, "w"), (8, "", "w")]
+    for similarity in (None, 0.8):
+        kept = m.keep_one(spark.createDataFrame(rows, "doc_id long, text string, rest string").repartition(4), size=3, similarity=similarity)
+        assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(3, a, "r"), (5, b, "q"), (None, "quite another text here", "v"), (8, "", "w")], key=str)
+    again = spark.createDataFrame([(7, a, "x"), (7, a, "x"), (None, b, "y"), (None, b, "y")], "doc_id long, text string, rest string")
+    assert sorted(r.doc_id or 0 for r in m.keep_one(again).collect()) == [0, 7]
+
+
+def test_keep_one_of_odd_rows_and_empty(spark):
+    rows = documents()
+    docs = frame(spark, rows)
     kept = m.keep_one(docs)
     assert kept.columns == docs.columns
-    found = m.near_duplicates(docs).where("id is not null").collect()
-    assert {r.doc_id for r in kept.select(kept.columns[0]).collect()} - {None} == {r.component_id for r in found}
-    assert m.near_duplicates(docs.limit(0)).count() == 0
+    want = roots(list(range(len(rows))), lambda a, b: (plain(rows[a][1]) ^ plain(rows[b][1])).bit_count() <= 2)
+    groups: dict = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(want[i], []).append(r)
+    got = kept.collect()
+    assert len(got) == len(groups)
+    assert sorted((r[0] is None, r[0] or 0) for r in got) == sorted(min((r[0] is None, r[0] or 0) for r in g) for g in groups.values())
+    assert {tuple(r) for r in got} <= {tuple(r) for r in rows}
+    assert m.near_duplicates(docs.limit(0)).count() == 0 and m.keep_one(docs.limit(0)).count() == 0

@@ -7,6 +7,7 @@ result or differ from an input in case only, neither disturb it nor reach its re
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,10 +30,16 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*[F.col(f"c{names.index(c)}").alias(new) for new, c in columns.items()])
 
 
+#: Keys with over one row in HOT, and over FEW rows, are joined by broadcast; there are fewer than HOT of them, whatever the data.
+HOT, FEW = 1000, 256
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one that this session makes."""
+    """The folder of spark.checkpoint.dir. Where that is unset a local session makes one; a cluster's raises ValueError."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -45,10 +52,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Prepares Python stages over texts: ships this package, and keeps Arrow batches of very long texts small."""
+def text_batches(spark: SparkSession, rows: int = 256, size: int = 1 << 24) -> None:
+    """Prepares Python stages over texts: ships this package, and ends Arrow batches at ``rows`` rows or ``size`` bytes.
+
+    Both are options of the session and stay set, as Spark reads them when a result is computed, not when it is declared.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def joined_evenly(rows: DataFrame, labels: DataFrame, on: list[str], n: str, total: int | None = None) -> DataFrame:
+    """Inner join of rows to labels, whose keys ``on`` are unique and without nulls; ``n`` is the key's number of rows.
+
+    Keys that hold more than one in HOT of all rows (and more than FEW) are fewer than HOT: their labels are broadcast, so that their rows
+    stay where they are. No other key can fill a task. Both tables are read twice and should be cheap to read; ``total``
+    is the number of rows, counted from the labels if it is not given.
+    """
+    if total is None:
+        total = labels.agg(F.sum(n)).first()[0] or 0
+    if total <= FEW:
+        return rows.join(labels.drop(n), on)
+    most = max(FEW, total / HOT)
+    hot = F.broadcast(labels.where(F.col(n) > most).drop(n))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(labels.where(F.col(n) <= most).drop(n), on)
+    return rows.join(hot, on).unionByName(cold)
 
 
 def row_numbers(df: DataFrame, order: list[str], label: str, name: str = "row", within: str | None = None) -> DataFrame:
@@ -83,7 +111,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): links are only re-hung on smaller
     nodes, so their number never grows, and rounds grow with the logarithm of the component's size. Each
-    round's links are a written table; only a count and a checksum come to the driver.
+    round's links are a written table; only a count and a checksum come to the driver. Nodes with a large share
+    of all links, such as a large component's root, are joined without gathering their links in one task.
     """
     now = written(_edges(edges, F.col("u"), F.col("v")), label)
 
@@ -93,10 +122,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     state = mark(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_n"))
+        large = joined_evenly(both, least, ["u"], "_n", 2 * state[0]).where("v > u")
+        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), label)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        small = joined_evenly(large, least, ["u"], "_n", 2 * state[0])
         hung = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
         now = written(_edges(hung, F.col("u"), F.col("v")), label)
         if (new := mark(now)) == state:

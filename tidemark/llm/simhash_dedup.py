@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, pick, table, text_batches, written
+from tidemark.llm.common import components, joined_evenly, pick, table, text_batches, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 CHUNK = 1 << 16
@@ -67,15 +67,21 @@ def simhash(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return majority(shingles(text, size, seed))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id, fp long) of every row."""
+def row_keys(id_: Column, text: Column) -> list[Column]:
+    """Two 64-bit hashes, k1 and k2, that rows share only if id and text are equal."""
+    parts = [id_.isNull(), id_, text.isNull(), text]
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2")]
+
+
+def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(id, k1, k2, fp long) of every row of (id, k1, k2, text)."""
     text_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
         return pd.Series([simhash(t, size, seed) for t in texts], dtype="int64")
 
-    return pick(docs, id=id_col, text=text_col).select("id", fingerprint("text").alias("fp"))
+    return docs.select("id", "k1", "k2", fingerprint("text").alias("fp"))
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64, seed: int = 7) -> list[int]:
@@ -131,7 +137,7 @@ def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity:
 
 
 def shingle_sets(docs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
-    """(id, t, fp, c, n, prefix) of (id, text): t is the text's hash, c the set's, n its size."""
+    """(id, k1, k2, t, fp, c, n, prefix) of (id, k1, k2, text): t is the text's hash, c the set's, n its size."""
     frequent = common_shingles(docs, size)
     rank = np.argsort(frequent)
     common = frequent[rank]
@@ -145,7 +151,7 @@ def shingle_sets(docs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
             out.append((majority(hashes), set_hash(alone), len(alone), prefix(alone, common, rank, similarity).view(np.int64)))
         return pd.DataFrame(out, columns=["fp", "c", "n", "prefix"])
 
-    return docs.select("id", F.xxhash64("text").alias("t"), describe("text").alias("got")).select("id", "t", "got.*")
+    return docs.select("id", "k1", "k2", F.xxhash64("text").alias("t"), describe("text").alias("got")).select("id", "k1", "k2", "t", "got.*")
 
 
 def set_hash(hashes: np.ndarray) -> int:
@@ -173,8 +179,9 @@ def similar(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, si
     shared = F.ceil((F.col("nu") + F.col("nv")) * p / F.lit(p + q) - F.lit(1e-6))
     least = shared + F.least(F.size("x") - F.col("nu"), F.size("y") - F.col("nv"))
     pairs = written(pairs.where(F.size(F.array_intersect("x", "y")) >= least).select("u", "v"), "simhash-pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes, "c").select("t", F.col("c").alias("_c"))
-    texts = docs.withColumn("t", F.xxhash64("text")).join(wanted, "t").groupBy("_c").agg(F.first("text").alias("text"))
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes, "c").select("t", F.col("c").alias("_c"), "rows")
+    texts = joined_evenly(docs.select(F.xxhash64("text").alias("t"), "text"), written(wanted, "simhash-wanted"), ["t"], "rows")
+    texts = texts.groupBy("_c").agg(F.first("text").alias("text"))
     sets = written(texts.select("_c", again("text").alias("got")).where("got.c = _c").select("_c", "got.hashes"), "simhash-sets")
     both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
     shared = both.withColumn("_n", F.size(F.array_intersect("x", "y")).cast("long"))
@@ -204,42 +211,67 @@ def similar_links(docs: DataFrame, classes: DataFrame, size: int, similarity: Fr
     return first.unionByName(similar(docs, rest, classes, size, similarity))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """One row for each input row: id, fp, component_id (smallest id reachable by links).
+def classified(texts: DataFrame, size: int, similarity: float | None) -> tuple[DataFrame, DataFrame, str]:
+    """Rows, labels and their common column: a class of texts that the search takes for one (a fingerprint or a set).
 
-    Links are pairs of fingerprints within radius 2 or, given a similarity, pairs of texts whose sets of shingles
-    have that Jaccard similarity at least, whatever their fingerprints. Null texts count as empty; documents without
-    words have fingerprint zero and no shingle, and link with each other. Null ids keep their row; component_id is
-    the smallest non-null id, null where a component has none. Repeated rows stay. An empty table gives an empty
-    result.
+    Rows are (id, k1, k2, class) of every row of (id, k1, k2, text), labels (class, rows, best) of every class; best is
+    the first of its component's rows by (id is null, id, k1, k2).
     """
+    one = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("rep"), F.count("*").alias("rows")
     if similarity is None:
-        base, node = written(fingerprints(docs, id_col, text_col, size), "simhash-fp"), "fp"
-        classes = written(base.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
+        base, node = written(fingerprints(texts, size), "simhash-fp"), "fp"
+        classes = written(base.groupBy("fp").agg(*one), "simhash-classes")
         found = links(classes.select("fp"))
     else:
-        least, texts, node = Fraction(str(similarity)), pick(docs, id=id_col, text=text_col), "c"
+        least, node = Fraction(str(similarity)), "c"
         if not 0 < least <= 1:
             raise ValueError("similarity must be above 0 and at most 1")
-        text_batches(docs.sparkSession)
+        text_batches(texts.sparkSession)
         base = written(shingle_sets(texts, size, least), "simhash-fp")
         same = [F.first(x).alias(x) for x in ("n", "prefix")]
         # texts with one set may differ in their order or repeats of shingles, and so in fp
-        classes = written(base.groupBy("c").agg(F.min("id").alias("rep"), F.min("t").alias("t"), F.min("fp").alias("fp"), *same), "simhash-classes")
+        classes = written(base.groupBy("c").agg(*one, F.min("t").alias("t"), F.min("fp").alias("fp"), *same), "simhash-classes")
         found = similar_links(texts, classes, size, least)
     roots = written(components(found, "simhash-links"), "simhash-roots")
-    rooted = classes.join(roots, classes[node] == roots.node, "left").select(node, "rep", F.coalesce("root", node).alias("root"))
-    least = rooted.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least"))
-    labels = rooted.join(least, "root", "left").select(node, F.coalesce("least", "rep").alias("component_id"))
-    return base.join(labels, node).select("id", "fp", "component_id")
+    linked = written(classes.join(roots, classes[node] == roots.node).select(node, "rows", "rep", "root"), "simhash-linked")
+    best = written(linked.groupBy("root").agg(F.min("rep").alias("best"), F.count("*").alias("_n")), "simhash-best")
+    alone = classes.join(roots, classes[node] == roots.node, "left_anti").select(node, "rows", F.col("rep").alias("best"))
+    labels = joined_evenly(linked, best, ["root"], "_n").select(node, "rows", "best").unionByName(alone)
+    return base, written(labels, "simhash-labels"), node
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """One row for each input row: id, fp, component_id (smallest id reachable by links).
+
+    Links are pairs of fingerprints within radius 2 or, given a similarity, pairs of texts whose sets of shingles
+    have that Jaccard similarity at least, whatever their fingerprints. Null texts count as empty; documents without
+    words have fingerprint zero and no shingle, and link with each other. Null ids keep their row; component_id is
+    the smallest non-null id, null where a component has none. Repeated rows stay. An empty table gives an empty
+    result. Texts may be of any length: a row's work and memory grow with its text alone.
+    """
+    texts = pick(docs, id=id_col, text=text_col)
+    base, labels, node = classified(texts.select("id", *row_keys(F.col("id"), F.col("text")), "text"), size, similarity)
+    return joined_evenly(base.select("id", *{"fp", node}), labels, [node], "rows").select("id", "fp", F.col("best.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """The rows of the smallest id of each component, with all their columns; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, size, similarity)
-    gone = found.where("id is not null and id != component_id").select(F.col("id").alias("gone"))
-    plain = docs.toDF(*[f"x{i}" for i in range(len(docs.columns))])
-    return plain.join(gone, F.col(f"x{docs.columns.index(id_col)}") == F.col("gone"), "left_anti").toDF(*docs.columns)
+    """One row, with all its columns, of each component: the first by id (nulls last), then by a hash of id and text.
+
+    Rows that agree in id and text count once, as the one whose other columns have the smallest hash. Rows of one id and
+    unlike texts are in components of their own, so none of them goes for another's sake. Null and empty texts, and
+    texts without words, are one component. An empty table gives an empty result.
+    """
+    names = [f"x{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    id_, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    keys = row_keys(id_, text)
+    _, labels, _ = classified(plain.select(id_.alias("id"), *keys, text.alias("text")), size, similarity)
+    winners = labels.select("best.k1", "best.k2").distinct()
+    order = F.xxhash64(*[c for c, kind in plain.dtypes if "map<" not in kind and kind != "variant"])
+    rows = plain.select(*keys, F.struct(*names).alias("row"), order.alias("order"))
+    # equal rows meet before the shuffle, so that none of them fills a task
+    rows = rows.groupBy("k1", "k2").agg(F.min_by("row", "order").alias("row"))
+    return rows.join(winners, ["k1", "k2"], "left_semi").select("row.*").toDF(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
