@@ -21,6 +21,18 @@ def test_pfair_stays_within_one_block(weights):
             assert abs(sum(x < t for x in s) - k * t / 100) < 1
 
 
+@pytest.mark.parametrize("sizes", [[2000] + [5] * 19, [3000] * 3 + [1], [40_000, 7, 7, 7000, 123]])
+def test_mix_stays_near_its_target_weights(sizes):
+    weights = [n**0.7 for n in sizes]
+    period = mixing.period_for(sizes, weights, 8)
+    q = mixing.parts(weights, period)
+    slots = max(-(-n // 8) * sum(weights) / w for n, w in zip(sizes, weights))
+    assert period >= 4 * slots and sum(q) == period
+    for s, w in zip(mixing.pfair(q), weights):
+        at = [x for x in s if x < slots]
+        assert all(abs(i - w / sum(weights) * x) < 1.26 and abs(i + 1 - w / sum(weights) * (x + 1)) < 1.26 for i, x in enumerate(at))
+
+
 def test_mix_is_whole_and_follows_weights(spark):
     rows = documents(200)
     got = mixing.mix(frame(spark, rows), {"a": 1.0, "b": 2.0, "c": 1.0, None: 0.5}, block=2, period=90).collect()
@@ -28,14 +40,18 @@ def test_mix_is_whole_and_follows_weights(spark):
     assert Counter(r.source for r in got if r.epoch == 0) == Counter(r[3] for r in rows)
     assert {(r.source, r.row) for r in got} == {(r.source, r.row) for r in got if r.epoch == 0}
     placed = sorted({(r.slot, r.source) for r in got}, key=lambda x: x[0])
-    share = dict(zip([None, "a", "b", "c"], mixing.parts([0.5, 1, 2, 1], 90)))
+    period = mixing.period_for([sum(r[3] == s for r in rows) for s in (None, "a", "b", "c")], [0.5, 1, 2, 1], 2, 90)
+    share = {s: w / 4.5 * 90 for s, w in ((None, 0.5), ("a", 1), ("b", 2), ("c", 1))}
+    assert period >= 4 * len(placed)
     seen = Counter()
     for t, (slot, source) in enumerate(placed, 1):
         assert slot == t - 1
         seen[source] += 1
-        assert all(abs(seen[s] - q * t / 90) < 1 for s, q in share.items())
+        assert all(abs(seen[s] - q * t / 90) < 1.26 for s, q in share.items())
     with pytest.raises(ValueError):
         mixing.mix(frame(spark, rows), {"a": 0.0, "b": 1, "c": 1, None: 1})
+    with pytest.raises(ValueError, match="no weight"):
+        mixing.mix(frame(spark, rows), {"a": 1.0})
 
 
 def test_mix_matches_sql(spark, tmp_path):
@@ -53,8 +69,10 @@ def test_mix_matches_sql(spark, tmp_path):
 def test_mixed_rows(spark):
     docs = frame(spark, documents())
     mixed = mixing.mixed_rows(docs)
-    assert mixed.columns == docs.columns
-    once, more = Counter(map(tuple, docs.collect())), Counter(map(tuple, mixed.collect()))
+    assert mixed.columns == [*docs.columns, mixing.POSITION]
+    got = [tuple(r) for r in mixed.collect()]
+    assert sorted(r[-1] for r in got) == list(range(len(got)))
+    once, more = Counter(map(tuple, docs.collect())), Counter(r[:-1] for r in got)
     assert set(once) == set(more) and all(more[k] >= n for k, n in once.items())
     assert mixing.mix(docs.limit(0)).count() == 0
 
@@ -67,6 +85,39 @@ def test_permutation(spark, n):
     assert all(sharding.inverse(p, n) == i for p, i in rows.items())
 
 
+def place(row: int, n: int, seed: int = sharding.SEED) -> int:
+    """The network with cycle walking, in plain numbers."""
+    a, b = sharding.sides(n)
+    while True:
+        left, right = divmod(row, b)
+        for i, (m, c, k) in enumerate(sharding.constants(seed)):
+            if i % 2 == 0:
+                left = (left + (right * m + c) % sharding.P * k % sharding.Q) % a
+            else:
+                right = (right + (left * m + c) % sharding.P * k % sharding.Q) % b
+        row = left * b + right
+        if row < n:
+            return row
+
+
+def test_shard_numbered(spark):
+    rows = [(i, None if i == 3 else f"t\u00e9xt {i}", "x", 9) for i in range(41)]
+    docs = spark.createDataFrame(rows, "pos long, text string, Text string, slot int").repartition(3)
+    got = sharding.shard_numbered(docs, "pos", 5)
+    assert got.columns == ["text", "Text", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    want = [(t, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), place(i, 41) % 5, place(i, 41) // 5) for i, t, *_ in rows]
+    assert sorted(((r[0], r[2], r[3], r[5], r[6]) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert sharding.shard_numbered(docs.limit(0), "pos").count() == 0
+    with pytest.raises(ValueError, match="gapless"):
+        sharding.shard_numbered(docs.where("pos <> 7"), "pos")
+
+
+def test_shard_follows_sorted_rows(spark):
+    rows = [(i * 7 % 101, f"text {i}") for i in range(101)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 7).collect()
+    assert {(r.id, r.shard, r.slot) for r in got} == {(i, place(i, 101) % 7, place(i, 101) // 7) for i in range(101)}
+
+
 def test_shard(spark):
     rows = documents()
     got = sharding.shard(frame(spark, rows), 5).collect()

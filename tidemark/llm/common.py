@@ -83,13 +83,13 @@ def row_numbers(df: DataFrame, order: list[str], label: str, name: str = "row",
     """Adds gapless numbers from 0 in the given order (nulls first), over all rows or within a column's values.
 
     A range exchange deals the rows out in order; each number is its partition's offset plus the place inside
-    the partition, so that no task ever holds all rows or all rows of one value. The dealt rows are written
-    first, as range bounds come from a sample and may differ from run to run. The offsets sent to all executors are
+    the partition, so that no task ever holds all rows, all rows of one value or all rows with equal keys (which keep
+    the order in which the input has them). The dealt rows are written first, as range bounds come from a sample and may differ from run to run. The offsets sent to all executors are
     one row for each partition, and for each value of ``within``, whose number the caller must have bounded.
     """
     keys = ([within] if within else []) + order
     place = F.monotonically_increasing_id()
-    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = df.withColumn("_tie", place).repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
     dealt = written(dealt.withColumns({"_part": F.shiftright(place, 33).cast("int"), "_place": place.bitwiseAND((1 << 33) - 1)}), label)
     by = ["_part"] + ([within] if within else [])
     parts = dealt.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Pfair scheduling (DataFrame functions only).
 
-Each source's rows form blocks. Weights are whole parts q of a period of ``period`` slots. The j-th block of a
+Each source's rows form blocks. Weights are whole parts q of a period of slots. The j-th block of a
 source in the period is released at floor((j-1) * period / q) and due at ceil(j * period / q); one block is placed
 in each slot, the earliest deadline first among the released. All deadlines are met (Baruah et al., 1996), which
 means that in every prefix of the mix each source has less than one block more or less than its share.
@@ -9,6 +9,12 @@ All sources return to their exact shares at a period's end, so the schedule repe
 made once, from the weights alone (``period`` numbers, whatever the data's size), and a block's slot follows from
 its number by arithmetic: a broadcast of one row for each source, and no sort of the blocks.
 
+Shares are rounded to parts of the period, by less than one part each; one below a part counts as one part, which the
+largest shares give. The period is four times the
+mix's slots where that is between PERIOD and MOST_PERIOD, so that rounding shifts no source by more than a quarter of a
+block over the whole mix. In a mix of T slots, T above MOST_PERIOD / 4, it shifts a source by T / MOST_PERIOD blocks at
+the most, 4 in a million of the mix.
+
 No row is dropped: the mix is as long as the source that needs most slots for all its rows, and sources that have
 fewer rows than their share start again (epochs 1, 2, ...).
 """
@@ -16,13 +22,15 @@ fewer rows than their share start again (epochs 1, 2, ...).
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pick, row_numbers, table
 
-PERIOD, BLOCK, ALPHA, MOST_SOURCES = 1000, 8, 0.7, 100_000
+PERIOD, MOST_PERIOD, BLOCK, ALPHA, MOST_SOURCES = 1000, 1 << 18, 8, 0.7, 50_000
+POSITION = "mix_pos"
 
 
 def parts(weights: list[float], period: int) -> list[int]:
@@ -38,6 +46,12 @@ def parts(weights: list[float], period: int) -> list[int]:
     return q
 
 
+def period_for(rows: list[int], weights: list[float], block: int, period: int = PERIOD) -> int:
+    """Four times the slots that the mix needs by the exact weights, from ``period`` to MOST_PERIOD; four slots a source at least."""
+    slots = max((-(-n // block) * sum(weights) / w for n, w in zip(rows, weights)), default=0)
+    return max(period, 4 * len(rows), min(MOST_PERIOD, 4 * math.ceil(slots - 1e-6)))
+
+
 def pfair(q: list[int]) -> list[list[int]]:
     """For each source the slots of its blocks in one period of sum(q) slots."""
     period = sum(q)
@@ -66,10 +80,12 @@ def _scheduled(rows: DataFrame, weights: dict[str | None, float] | None, block:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     rows = row_numbers(rows, ["id"], "mix-rows", within="source")
     counts = sorted(counts, key=lambda r: (r["source"] is not None, r["source"] or ""))
+    if weights is not None and (lost := [r["source"] for r in counts if r["source"] not in weights]):
+        raise ValueError(f"no weight for the sources {lost[:5]}")
     given = [weights[r["source"]] if weights is not None else r["n"] ** alpha for r in counts]
-    if any(w <= 0 for w in given):
-        raise ValueError("weights must be positive")
-    q = parts(given, max(period, 4 * len(counts))) if counts else []
+    if any(not 0 < w < math.inf for w in given):
+        raise ValueError("weights must be positive and finite")
+    q = parts(given, period_for([r["n"] for r in counts], given, block, period)) if counts else []
     slots = pfair(q)
     total = 0  # slots of the mix
     for r, qs, at in zip(counts, q, slots):
@@ -96,9 +112,9 @@ def mix(
     """Rows of the mix: id, source, row (the row's number in its source), epoch, block, slot, pos.
 
     ``pos`` orders the mix (slot * block + place in the block). Weights default to rows^alpha for each source;
-    a given dict must have a positive weight for each source that occurs, None standing for null sources, which
-    are a source of their own. Rows are ordered by id within their source (nulls first); repeated rows count
-    singly. The period grows to four slots a source where that is more; beyond 100,000 sources a ValueError is
+    a given dict must have a positive weight for each source that occurs (else ValueError), None standing for null
+    sources, which are a source of their own. Rows are ordered by id within their source (nulls first); repeated rows
+    count singly, and which of them comes first is open. Texts are not read. Beyond MOST_SOURCES sources a ValueError is
     raised, as the schedule is sent to all executors. An empty table gives an empty result.
     """
     return _scheduled(pick(docs, id=id_col, source=source_col), weights, block, period, alpha)
@@ -108,12 +124,16 @@ def mixed_rows(
     docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source",
     block: int = BLOCK, period: int = PERIOD, alpha: float = ALPHA,
 ) -> DataFrame:
-    """The mix as rows of the input: each row with all its columns as often as the mix has it, once at least."""
-    names = [f"x{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    key = {c: names[docs.columns.index(c)] for c in (id_col, source_col)}
-    plain = plain.select(F.col(key[id_col]).alias("id"), F.col(key[source_col]).alias("source"), *names)
-    return _scheduled(plain, weights, block, period, alpha).select(*names).toDF(*docs.columns)
+    """The mix as rows of the input: each with all its columns and ``mix_pos``, as often as the mix has it, once at least.
+
+    mix_pos numbers the rows of the mix from 0 without gaps; a column of that name in the input is replaced. Nulls,
+    repeated rows and empty tables as in ``mix``; texts of any length are carried along once for each row of the mix.
+    """
+    names = {f"x{i}": c for i, c in enumerate(docs.columns)}
+    id_, source = (F.col(f"x{docs.columns.index(c)}") for c in (id_col, source_col))
+    kept = [x for x, c in names.items() if c != POSITION]
+    plain = docs.toDF(*names).select(id_.alias("id"), source.alias("source"), *kept)
+    return _scheduled(plain, weights, block, period, alpha).select(*kept, "pos").toDF(*[names[x] for x in kept], POSITION)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,41 +146,43 @@ WITH RECURSIVE rows_ AS (
 ), counts AS (
   SELECT source, count(*) AS n, power(count(*), {ALPHA}) AS w, row_number() OVER (ORDER BY source NULLS FIRST) AS i
   FROM documents GROUP BY source
+), period AS (
+  SELECT greatest({PERIOD}, 4 * count(*), least({MOST_PERIOD}, 4 * ceil(max(((n + {BLOCK - 1}) // {BLOCK}) * (SELECT sum(w) FROM counts) / w) - 1e-6)))::BIGINT AS p FROM counts
 ), shares AS (
-  SELECT *, w / sum(w) OVER () * {PERIOD} AS exact FROM counts
+  SELECT *, w / sum(w) OVER () * p AS exact FROM counts, period
 ), ranked AS (
   SELECT *, floor(exact)::BIGINT AS whole, row_number() OVER (ORDER BY exact - floor(exact) DESC, i) AS r FROM shares
 ), quota AS (
-  SELECT source, n, i, whole + CASE WHEN r <= {PERIOD} - (SELECT sum(whole) FROM ranked) THEN 1 ELSE 0 END AS q FROM ranked
+  SELECT source, n, i, whole + CASE WHEN r <= p - (SELECT sum(whole) FROM ranked) THEN 1 ELSE 0 END AS q, p FROM ranked
 ), state AS (
-  SELECT list(q::BIGINT ORDER BY i) AS qs, list(0::BIGINT ORDER BY i) AS done, 0::BIGINT AS t, 0::BIGINT AS s FROM quota
+  SELECT list(q::BIGINT ORDER BY i) AS qs, list(0::BIGINT ORDER BY i) AS done, 0::BIGINT AS t, 0::BIGINT AS s, any_value(p) AS p FROM quota
 ), pick AS (
-  SELECT t, done, qs, s FROM state
+  SELECT t, done, qs, s, p FROM state
   UNION ALL
-  SELECT t + 1, list_transform(done, lambda d, i: CASE WHEN i = c THEN d + 1 ELSE d END), qs, c
+  SELECT t + 1, list_transform(done, lambda d, i: CASE WHEN i = c THEN d + 1 ELSE d END), qs, c, p
   FROM (
     SELECT *, list_position(due, list_min(due)) AS c FROM (
-      SELECT *, list_transform(qs, lambda q, i: CASE WHEN done[i] < q AND done[i] * {PERIOD} // q <= t
-        THEN ((done[i] + 1) * {PERIOD} + q - 1) // q ELSE 999999999 END) AS due
-      FROM pick WHERE t < {PERIOD}
+      SELECT *, list_transform(qs, lambda q, i: CASE WHEN done[i] < q AND done[i] * p // q <= t
+        THEN ((done[i] + 1) * p + q - 1) // q ELSE 999999999 END) AS due
+      FROM pick WHERE t < p
     )
   )
 ), placed AS (
   SELECT s AS i, t - 1 AS spot, row_number() OVER (PARTITION BY s ORDER BY t) - 1 AS j FROM pick WHERE t > 0
 ), total AS (
-  SELECT max(((n + {BLOCK - 1}) // {BLOCK} - 1) // q * {PERIOD} + spot + 1) AS slots
+  SELECT max(((n + {BLOCK - 1}) // {BLOCK} - 1) // q * p + spot + 1) AS slots
   FROM quota JOIN placed ON placed.i = quota.i AND placed.j = ((n + {BLOCK - 1}) // {BLOCK} - 1) % q
 ), wanted AS (
-  SELECT quota.i, any_value(source) AS source, any_value(n) AS n, any_value(q) AS q,
-    ({BLOCK} * ((SELECT slots FROM total) // {PERIOD} * any_value(q) + count(*) FILTER (WHERE spot < (SELECT slots FROM total) % {PERIOD})))::BIGINT AS wanted
+  SELECT quota.i, any_value(source) AS source, any_value(n) AS n, any_value(q) AS q, any_value(p) AS p,
+    ({BLOCK} * ((SELECT slots FROM total) // any_value(p) * any_value(q) + count(*) FILTER (WHERE spot < (SELECT slots FROM total) % p)))::BIGINT AS wanted
   FROM quota JOIN placed USING (i) GROUP BY quota.i
 ), spread AS (
-  SELECT rows_.doc_id, rows_.source, row, n, q, wanted.i, unnest(range(0, (wanted - 1 - row) // n + 1)) AS epoch
+  SELECT rows_.doc_id, rows_.source, row, n, q, p, wanted.i, unnest(range(0, (wanted - 1 - row) // n + 1)) AS epoch
   FROM rows_ JOIN wanted ON rows_.source IS NOT DISTINCT FROM wanted.source
 ), numbered AS (
   SELECT *, row + epoch * n AS k FROM spread
 )
 SELECT doc_id, source, row::BIGINT AS row, epoch::BIGINT AS epoch, (k // {BLOCK})::BIGINT AS block,
-  ((k // {BLOCK}) // q * {PERIOD} + spot)::BIGINT AS slot, (((k // {BLOCK}) // q * {PERIOD} + spot) * {BLOCK} + k % {BLOCK})::BIGINT AS pos
+  ((k // {BLOCK}) // q * p + spot)::BIGINT AS slot, (((k // {BLOCK}) // q * p + spot) * {BLOCK} + k % {BLOCK})::BIGINT AS pos
 FROM numbered JOIN placed ON placed.i = numbered.i AND placed.j = (k // {BLOCK}) % q
 """

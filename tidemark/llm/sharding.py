@@ -70,27 +70,52 @@ def inverse(y: int, n: int, seed: int = SEED) -> int:
             return y
 
 
+def described(text: Column) -> list[Column]:
+    """size (UTF-8 bytes plus 8; null: 8) and text_crc32 (null: of the empty text)."""
+    return [
+        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+    ]
+
+
+def placed(place: str, shards: int) -> list[Column]:
+    """law, shard, slot and grown_shard of the column that holds the row's place."""
+    return [
+        F.lit("rows").alias("law"), (F.col(place) % shards).cast("int").alias("shard"),
+        F.expr(f"{place} div {shards}L").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    ]
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """One row for each input row: id, size, text_crc32, law 'rows', shard, slot, grown_shard (null).
 
-    Global row numbers follow the id, then the text's hash (nulls first); repeated rows get numbers of their own
-    and are exchangeable. Null texts: size 8, crc32 of the empty text. Texts never move, only their sizes and
-    hashes do. An empty table gives an empty result.
+    Global row numbers follow the id, then two hashes of the text (nulls first); repeated rows get numbers of their own
+    and are exchangeable. Null texts: size 8, crc32 of the empty text. Texts of any length never move, only their sizes
+    and hashes do. An empty table gives an empty result.
     """
-    rows = pick(docs, id=id_col, text=text_col).select(
-        "id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64("text").alias("text_hash"),
-    )
+    rows = pick(docs, id=id_col, text=text_col).select("id", *described(F.col("text")), F.xxhash64("text").alias("text_hash"))
     rows = row_numbers(rows, ["id", "text_hash"], "shard-rows")
     rows = written(rows, "shard-numbered")
-    n = rows.count()
-    place = rows.select("id", "size", "text_crc32", permuted("row", n, seed).alias("place"))
-    return place.select(
-        "id", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("place") % shards).cast("int").alias("shard"),
-        F.expr(f"place div {shards}L").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-    )
+    place = rows.select("id", "size", "text_crc32", permuted("row", rows.count(), seed).alias("_place"))
+    return place.select("id", "size", "text_crc32", *placed("_place", shards))
+
+
+def shard_numbered(docs: DataFrame, row_col: str, shards: int = SHARDS, text_col: str = "text", seed: int = SEED) -> DataFrame:
+    """The rows, with all their columns but ``row_col``, and size, text_crc32, law, shard, slot, grown_shard.
+
+    ``row_col`` holds gapless row numbers from 0 (else ValueError), so that a row's place follows without a shuffle.
+    Columns of the new names are replaced. Null texts: size 8, crc32 of the empty text. Repeated rows have numbers, and
+    so places, of their own. An empty table gives an empty result.
+    """
+    names = [f"x{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    row, text = (names[docs.columns.index(c)] for c in (row_col, text_col))
+    n, least, most, total = plain.agg(F.count(row), F.min(row), F.max(row), F.count("*")).first()
+    if n != total or (n and (least, most) != (0, n - 1)):
+        raise ValueError(f"{row_col} holds no gapless numbers from 0")
+    new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    rest = [F.col(x).alias(c) for x, c in zip(names, docs.columns) if c not in (*new, row_col)]
+    return plain.withColumn("_place", permuted(row, n, seed)).select(*rest, *described(F.col(text)), *placed("_place", shards))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
