@@ -1,18 +1,17 @@
 """Language ID by word-first backoff.
 
-A known word scores by its log frequency in each language. An unseen word is scored by its longest known
-character n-grams: the mean over those of 5 letters, else of 4, and so on down to single letters. A document's
-score for a language is the sum over all its words; languages are equally likely beforehand.
-
-The model is fitted on a bounded sample of labelled rows, about ``sample_rows`` for each language, drawn by a hash
-of the id, and keeps at most ``words`` words and ``grams`` n-grams of each length for each language: its size is
-bounded by these parameters, so it can be sent to all workers. Words beyond the bound are scored by their n-grams.
-Prediction reads every whole text.
+Words are runs of letters with their marks (Unicode categories L and M). A known word scores by its log frequency in each
+language. An unseen word is scored by its longest known character n-grams: the mean over those of 5 letters, else of 4,
+and so on down to single letters; n-grams of two letters and more see the word's bounds as spaces. A document's score for
+a language is the sum over all its words; languages are equally likely beforehand.
+
+The model is fitted on a bounded sample of labelled rows, about ``sample_rows`` for each of at most MOST_LANGS languages,
+drawn by a hash of id and text. All words and n-grams of the sample are learned, from whole texts and whole words, so the
+sample bounds the model, which goes to all workers. Prediction reads every whole text.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,56 +19,65 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pick, table, text_batches, written
 
-WORD = re.compile(r"[^\W\d_]+")
-LONGEST, SAMPLE_ROWS, WORDS, GRAMS, SMOOTH, CACHE = 5, 2000, 20_000, 4_000, 0.5, 100_000
-UNKNOWN = "und"
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+LONGEST, SAMPLE_ROWS, MOST_LANGS, SMOOTH = 5, 2000, 500, 0.5
+CACHE, CACHED = 100_000, 64  # unseen words kept with their scores, if no longer than CACHED letters; changes speed alone
+UNKNOWN, LEAST_SCORE, LEAST_KNOWN, TELLING = "und", 0.5, 0.25, 4
+
+
+def grams_of(word: str, size: int) -> list[str]:
+    padded = f" {word} " if size > 1 else word
+    return [padded[i : i + size] for i in range(len(padded) - size + 1)]
 
 
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, int]
-    word_scores: np.ndarray
-    grams: list[dict[str, int]]  # by length, from 1
-    gram_scores: list[np.ndarray]
-    seen: dict[str, np.ndarray] = field(default_factory=dict)
+    keys: list[dict[str, int]]  # words, then n-grams by length from 1: places in the scores
+    scores: list[np.ndarray]  # log frequencies by place and language
+    seen: dict[str, tuple[np.ndarray, int]] = field(default_factory=dict)
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, word: str) -> tuple[np.ndarray, int]:
+        """Scores of a word by its n-grams, and their length (0: none is known)."""
         if (got := self.seen.get(word)) is not None:
             return got
-        padded = f" {word} "
-        got = np.zeros(len(self.langs))
-        for n in range(min(LONGEST, len(padded)), 0, -1):
-            known, chars = self.grams[n - 1], padded if n > 1 else word
-            if at := [known[g] for i in range(len(chars) - n + 1) if (g := chars[i : i + n]) in known]:
-                got = self.gram_scores[n - 1][at].mean(axis=0, dtype=float)
+        got = np.zeros(len(self.langs)), 0
+        for size in range(LONGEST, 0, -1):
+            known = self.keys[size]
+            if at := [known[g] for g in grams_of(word, size) if g in known]:
+                got = self.scores[size][at].mean(axis=0, dtype=float), size
                 break
-        if len(self.seen) >= CACHE:
-            self.seen.clear()
-        self.seen[word] = got
+        if len(word) <= CACHED:
+            if len(self.seen) >= CACHE:
+                self.seen.clear()
+            self.seen[word] = got
         return got
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """Language, its posterior, and the share of words that are known or have known n-grams of TELLING letters."""
         words = Counter(WORD.findall((text or "").lower()))
         if not words or not self.langs:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        at, n = [], []
+            return UNKNOWN, 0.0, 0.0
+        total, told, at, n = np.zeros(len(self.langs)), 0, [], []
+        find = self.keys[0].get
         for w, k in words.items():
-            if (i := self.words.get(w)) is not None:
+            if (i := find(w)) is not None:
                 at.append(i)
                 n.append(k)
             else:
-                total += k * self.unseen(w)
+                scores, size = self.unseen(w)
+                total += k * scores
+                told += k * (size >= TELLING)
         if at:
-            total += np.array(n, float) @ self.word_scores[at].astype(float)
+            total += np.array(n, float) @ self.scores[0][at].astype(float)
         best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
+        return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum()), (told + sum(n)) / words.total()
 
 
 def held_out(id_: Column) -> Column:
@@ -77,85 +85,97 @@ def held_out(id_: Column) -> Column:
 
 
 def _scores(rows: pa.Table, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Log frequencies of keys by language from columns lang, key, n and of (all of that language)."""
-    lang = np.array([langs.index(x) for x in rows["lang"].to_pylist()], np.int64)
+    """Log frequencies of keys by language from columns lang (its place), key and n."""
     codes = rows["key"].combine_chunks().dictionary_encode()
-    counts, totals = np.zeros((len(codes.dictionary), len(langs))), np.ones(len(langs))
-    counts[codes.indices.to_numpy(), lang] = rows["n"].to_numpy()
-    totals[lang] = rows["of"].to_numpy()
+    counts = np.zeros((len(codes.dictionary), len(langs)))
+    counts[codes.indices.to_numpy(), rows["lang"].to_numpy()] = rows["n"].to_numpy()
+    totals = np.maximum(counts.sum(axis=0), 1)
     keys = {k: i for i, k in enumerate(codes.dictionary.to_pylist())}
     return keys, np.log((counts + SMOOTH) / (totals + SMOOTH * max(1, len(keys)))).astype(np.float32)
 
 
 def fit(
-    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    sample_rows: int = SAMPLE_ROWS, words: int = WORDS, grams: int = GRAMS,
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS,
 ) -> Model:
-    """Rows with a null text or label teach nothing."""
+    """Rows with a null text or label teach nothing, nor do texts without letters; repeated rows count singly.
+
+    More than MOST_LANGS labels raise ValueError. Without labelled rows the model knows no language.
+    """
     text_batches(labelled.sparkSession)
     rows = pick(labelled, id=id_col, text=text_col, lang=lang_col).where("text is not null and lang is not null")
-    share = {r["lang"]: min(1.0, sample_rows / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(share)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} labels of languages")
+    langs = sorted(r["lang"] for r in counts)
     if not langs:
-        return Model([], {}, np.zeros((0, 0)), [{}] * LONGEST, [np.zeros((0, 0))] * LONGEST)
-    limit = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])[F.col("lang")]
-    sample = rows.where((F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)) < limit)
+        return Model([], [{}] * (LONGEST + 1), [np.zeros((0, 0))] * (LONGEST + 1))
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_rows / r["n"])))])[F.col("lang")]
+    drawn = F.pmod(F.xxhash64(F.col("id").cast("string"), "text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    place = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))])[F.col("lang")]
+    sample = rows.where(drawn < share).select(place.alias("lang"), "text")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found: Counter = Counter()
-            for lang, text in zip(batch["lang"], batch["text"]):
+            for lang, text in zip(batch["lang"].tolist(), batch["text"]):
                 found.update((lang, w) for w in WORD.findall(text.lower()))
-            yield pd.DataFrame([(a, b, n) for (a, b), n in found.items()], columns=["lang", "key", "n"])
-
-    vocabulary = sample.select("lang", "text").mapInPandas(count, "lang string, key string, n long")
-    vocabulary = written(vocabulary.groupBy("lang", "key").agg(F.sum("n").alias("n")), "language-words")
-    padded = F.concat(F.lit(" "), F.substring("key", 1, 64), F.lit(" "))
-    length = F.length(padded)
-    tables = []
-    for size in range(LONGEST + 1):  # 0 for whole words
-        found = vocabulary
-        if size:
-            starts = F.when(length >= size, F.sequence(F.lit(1), length - size + 1))
-            gram = F.explode(F.transform(starts, lambda i: F.substr(padded, i, F.lit(size)))).alias("key")
-            found = vocabulary.select("lang", gram, "n").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-        by = Window.partitionBy("lang")
-        rank = F.row_number().over(by.orderBy(F.desc("n"), "key"))
-        kept = found.withColumns({"of": F.sum("n").over(by), "rank": rank}).where(F.col("rank") <= (grams if size else words))
-        tables.append(_scores(kept.select("lang", "key", "n", "of").orderBy("key", "lang").toArrow(), langs))
-    return Model(langs, *tables[0], [k for k, _ in tables[1:]], [s for _, s in tables[1:]])
+            yield pd.DataFrame([(lang, w, n) for (lang, w), n in found.items()], columns=["lang", "key", "n"])
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: Counter = Counter()
+            for lang, word, n in zip(batch["lang"].tolist(), batch["key"], batch["n"].tolist()):
+                for size in range(1, LONGEST + 1):
+                    for gram in grams_of(word, size):
+                        found[size, lang, gram] += n
+            yield pd.DataFrame([(*key, n) for key, n in found.items()], columns=["size", "lang", "key", "n"])
+
+    total = F.sum("n").alias("n")
+    vocabulary = written(sample.mapInPandas(words, "lang int, key string, n long").groupBy("lang", "key").agg(total), "language-words")
+    learned = vocabulary.mapInPandas(grams, "size int, lang int, key string, n long").groupBy("size", "lang", "key").agg(total)
+    learned = learned.unionByName(vocabulary.withColumn("size", F.lit(0))).toArrow()
+    sizes = learned["size"].to_numpy()
+    tables = [_scores(learned.filter(pa.array(sizes == size)), langs) for size in range(LONGEST + 1)]
+    return Model(langs, [k for k, _ in tables], [s for _, s in tables])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: id, lang_pred, score (the posterior of lang_pred).
+    """One row for each input row: id, lang_pred, score (the posterior of lang_pred), known (share of words that are known).
 
     'und' with score 0 for texts that are null or have no letters, and for all texts if no language was learned;
-    ties go to the first language in alphabetical order. Null ids and repeated rows stay. An empty table gives an
-    empty result.
+    ties go to the first language in alphabetical order. Whole texts are read, however long. Null ids and repeated rows
+    stay. An empty table gives an empty result.
     """
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known double")
     def guess(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score", "known"])
 
     found = pick(docs, id=id_col, text=text_col).select("id", guess("text").alias("got"))
-    return found.select("id", "got.lang_pred", "got.score")
+    return found.select("id", "got.*")
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language is known with a score of ``least`` or more."""
+def accepted(
+    docs: DataFrame, model: Model, least: float = LEAST_SCORE, known: float = LEAST_KNOWN, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """The rows, with all their columns, in a known language: with a score of ``least`` or more, and that share of known words.
+
+    The score tells languages apart and is near 1 for any long text; the share of known words tells text in a learned
+    language from gibberish and from others. Null texts and texts without letters go; nulls elsewhere and repeated rows
+    change nothing. An empty table gives an empty result.
+    """
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
+    def fits(texts: pd.Series) -> pd.Series:
         got = [shared.value.predict(t) for t in texts]
-        return pd.Series([lang != UNKNOWN and score >= least for lang, score in got], dtype=bool)
+        return pd.Series([lang != UNKNOWN and score >= least and share >= known for lang, score, share in got], dtype=bool)
 
     plain = docs.toDF(*[f"x{i}" for i in range(len(docs.columns))])
-    return plain.where(known(F.col(f"x{docs.columns.index(text_col)}"))).toDF(*docs.columns)
+    return plain.where(fits(F.col(f"x{docs.columns.index(text_col)}"))).toDF(*docs.columns)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
