@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -36,11 +37,36 @@ def test_blocks_round_trip(docs, vocabulary):
     assert [block.document(i).tolist() for i in range(len(docs))] == [d.tolist() for d in docs]
 
 
-def test_rules_shorten_repeats():
-    ids = np.tile(np.arange(10, dtype=np.uint32), 500)
-    rules, symbols = token_output.compress(ids, 49408)
-    assert len(rules) and len(symbols) < len(ids) / 5
-    assert token_output.expand(symbols, rules, 49408).tolist() == ids.tolist()
+def occurrences(symbols: list[int]) -> Counter:
+    """Of each pair of neighbours, the most places that do not overlap."""
+    out, last = Counter(), {}
+    for i, pair in enumerate(zip(symbols, symbols[1:])):
+        if last.get(pair, -2) < i - 1:
+            out[pair] += 1
+            last[pair] = i
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=400), st.integers(1, 12))
+def test_no_pair_is_left_that_pays(ids, copies):
+    ids = np.tile(np.array(ids, np.uint32), copies)
+    whole_pairs = token_output.repair(ids, 7)
+    assert max(occurrences(whole_pairs.symbols.tolist()).values(), default=0) < token_output.LEAST
+    assert len(np.unique(whole_pairs.flat.reshape(-1, 2), axis=0)) == len(whole_pairs.sizes)  # one rule for a pair
+    for grammar in (whole_pairs, token_output.compress(ids, 7), token_output.compress(ids, 7).ordered()[0]):
+        assert grammar.expand(grammar.symbols)[0].tolist() == ids.tolist()
+    uses, sizes = grammar.uses(), grammar.sizes
+    assert (uses >= 2).all() and (uses * (sizes - 1) > sizes).all()
+    assert len(grammar.flat) + len(grammar.symbols) <= len(ids)
+
+
+def test_passages_become_one_symbol():
+    draw = np.random.default_rng(3)
+    passage = draw.integers(0, 40_000, 1000, dtype=np.uint32)
+    ids = np.concatenate([x for _ in range(50) for x in (passage, draw.integers(0, 40_000, 30, dtype=np.uint32))])
+    grammar = token_output.compress(ids, 49408)
+    assert len(grammar.symbols) <= 50 * 33 and len(grammar.flat) <= 1100
 
 
 def test_token_output(spark):
@@ -53,6 +79,9 @@ def test_token_output(spark):
     assert [r.id or -1 for r in got] == sorted(r.id or -1 for r in got)
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
     assert token_output.read_back(token_output.encoded(frame(spark, rows).limit(0))).count() == 0
+    same = spark.createDataFrame([(None, f"text {i}") for i in range(40)], "doc_id long, text string")
+    got = token_output.read_back(token_output.encoded(same, block=8)).collect()
+    assert len(got) == 40 and len({r.start for r in got}) == 40
 
 
 def test_token_counts(spark):

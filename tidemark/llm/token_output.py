@@ -1,13 +1,18 @@
 """Token ids in grammar-compressed blocks (Re-Pair) with random access.
 
-Documents go in ascending id order into blocks of about ``BLOCK`` ids. In each block the frequent pairs of
-neighbouring ids are replaced by new symbols, round after round (Larsson and Moffat's Re-Pair, many pairs a round).
-A block holds its rules, the length to which each rule expands, its symbols and its documents' lengths, so that any
-document can be decoded from the few symbols that cover it.
+Documents go in ascending id order into blocks of about ``BLOCK`` ids. In each block the most frequent pairs of
+neighbouring symbols are replaced by new symbols (rules), again and again until no pair is left that pays for its rule,
+which takes LEAST places (Larsson and Moffat's Re-Pair, in arrays: a round takes many frequent pairs, the more frequent
+first where places overlap). Then rules that are used once, or that save nothing, are put back into their places, so
+that a rule's right side may be longer than a pair.
 
-Block, all little-endian: magic ``TMRP``, then as 32-bit numbers: symbol width in bytes, vocabulary size, rules,
-symbols, documents, ids; rules' left and right symbols (width each), rules' lengths (32 bit), documents' lengths
-(32 bit), symbols (width). Symbol ``vocabulary + i`` stands for rule i.
+A block holds its rules, the length to which each rule expands, its symbols, its documents' lengths, and the number of
+ids before every SAMPLE-th symbol, so that any document is decoded from the few symbols that cover it.
+
+Block, all little-endian: magic ``TMR2``, then as 32-bit numbers: bits of a symbol, vocabulary size, rules, runs, symbols
+of right sides, symbols, documents, ids; then, 32 bits each, runs of rules (symbols of the right side, expansion length,
+number of rules with both; rules are numbered in this order), documents' lengths, sampled offsets; then right sides and
+symbols, each packed to whole bytes at the symbol's bits. Symbol ``vocabulary + i`` stands for rule i.
 
 Blocks are binary values of a Parquet table, so they are written and read by Spark on any file system and a lost
 executor leaves no half-written file.
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,112 +33,239 @@ from pyspark.sql import functions as F
 from tidemark.llm import tokens
 from tidemark.llm.common import pick, table, text_batches, written
 
-BLOCK, ROUNDS, RULES, LEAST, END = 1 << 20, 5, 3000, 6, 2
-MAGIC, HASH_BITS = b"TMRP", 20
-
-
-def compress(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rules x 2, symbols)."""
-    seq = ids.astype(np.uint32)
-    rules = np.zeros((0, 2), np.uint32)
-    most = (1 << 16) - vocabulary if vocabulary + 64 < 1 << 16 else 1 << 30
-    kind = np.uint32 if most < 1 << 16 else np.uint64
-    bits = kind(16 if most < 1 << 16 else 32)
-    for _ in range(ROUNDS):
-        room = min(RULES, most - len(rules))
-        if len(seq) < 2 or room <= 0:
-            break
-        pairs = (seq[:-1].astype(kind) << bits) | seq[1:].astype(kind)
+BLOCK, LEAST, END, SAMPLE, MAGIC = 1 << 20, 3, 2, 256, b"TMR2"
+#: A round takes a BATCH of the pairs that occur LEAST times, FEWEST at least; smaller rounds compress a little more and take longer.
+BATCH, FEWEST, SLOTS = 0.1, 1024, 20
+
+
+@dataclass
+class Grammar:
+    """Rules, as right sides end to end with their sizes, and the symbols that remain."""
+
+    vocabulary: int
+    flat: np.ndarray
+    sizes: np.ndarray
+    symbols: np.ndarray
+
+    def expand(self, symbols: np.ndarray, only: np.ndarray | None = None, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Symbols with all rules (or those marked in ``only``) put in place; ``owner`` is repeated with its symbol."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        while True:
+            hit = np.flatnonzero(symbols >= self.vocabulary)
+            if only is not None:
+                hit = hit[only[symbols[hit] - self.vocabulary]]
+            if not len(hit):
+                return symbols, owner
+            rule = symbols[hit] - self.vocabulary
+            k, n = self.sizes[rule], np.ones(len(symbols), np.int64)
+            n[hit] = k
+            first = (np.cumsum(n) - n)[hit]
+            inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            symbols = np.repeat(symbols, n)
+            symbols[np.repeat(first, k) + inside] = self.flat[np.repeat(starts[rule], k) + inside]
+            owner = None if owner is None else np.repeat(owner, n)
+
+    def uses(self) -> np.ndarray:
+        every = np.concatenate((self.symbols, self.flat))
+        return np.bincount(every[every >= self.vocabulary] - self.vocabulary, minlength=len(self.sizes))
+
+    def without(self, drop: np.ndarray) -> Grammar:
+        """The grammar with the marked rules put into their places."""
+        symbols, _ = self.expand(self.symbols, drop)
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        kept = ~drop[owner]
+        flat, owner = self.expand(self.flat[kept], drop, owner[kept])
+        number = np.cumsum(~drop) - 1
+        return Grammar(self.vocabulary, self.renumbered(flat, number), np.bincount(owner, minlength=len(drop))[~drop], self.renumbered(symbols, number))
+
+    def renumbered(self, symbols: np.ndarray, number: np.ndarray) -> np.ndarray:
+        out = symbols.copy()
+        hit = np.flatnonzero(symbols >= self.vocabulary)
+        out[hit] = number[symbols[hit] - self.vocabulary] + self.vocabulary
+        return out
+
+    def ordered(self) -> tuple[Grammar, np.ndarray]:
+        """The same rules by size and expansion length, and those lengths."""
+        _, owner = self.expand(self.flat, owner=np.repeat(np.arange(len(self.sizes)), self.sizes))
+        lengths = np.bincount(owner, minlength=len(self.sizes))
+        order = np.lexsort((lengths, self.sizes))
+        number = np.argsort(order)
+        starts, k = (np.cumsum(self.sizes) - self.sizes)[order], self.sizes[order]
+        flat = self.flat[np.repeat(starts, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+        return Grammar(self.vocabulary, self.renumbered(flat, number), k, self.renumbered(self.symbols, number)), lengths[order]
+
+
+def second(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Every second place of the runs of overlapping places of one pair."""
+    here = np.arange(len(at))
+    same = np.zeros(len(at), bool)
+    same[1:] = (np.diff(at) == 1) & (rank[1:] == rank[:-1])
+    return (here - np.maximum.accumulate(np.where(same, 0, here))) % 2 == 1
+
+
+def places(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which places of pairs (ascending) to take, so that none overlap and every other place overlaps one of higher rank.
+
+    Pairs of one rank are one pair; of a run of them every second is taken.
+    """
+    chosen, live = np.zeros(len(at), bool), np.arange(len(at))
+    while len(live):
+        a, r = at[live], rank[live]
+        beside = np.diff(a) == 1
+        before, after = np.full(len(a), -1), np.full(len(a), -1)
+        before[1:][beside], after[:-1][beside] = r[:-1][beside], r[1:][beside]
+        take = ~second(a, r) & (before <= r) & (after <= r)
+        chosen[live[take]] = True
+        gone = take.copy()
+        gone[1:] |= take[:-1] & beside
+        gone[:-1] |= take[1:] & beside
+        live = live[~gone]
+    return chosen
+
+
+def repair(ids: np.ndarray, vocabulary: int) -> Grammar:
+    """Replaces pairs until none occurs LEAST times without overlap."""
+    seq, made = ids.astype(np.uint32), [np.zeros(0, np.uint64)]
+    rules, alone = 0, False
+    slot = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
+    while len(seq) > 1:
+        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         ordered = np.sort(pairs)
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(edges, len(ordered)))
         often = np.flatnonzero(counts >= LEAST)
-        if len(often) > room:
-            often = often[np.argpartition(-counts[often], room - 1)[:room]]
-        if not len(often):
-            break
+        most = max(FEWEST, int(len(often) * BATCH))
+        if len(often) > most and not alone:
+            cut = np.partition(counts[often], len(often) - most)[len(often) - most]
+            often = often[counts[often] >= cut]
         top = ordered[edges[often]]
-        # a pair's place in a hash table; of pairs that meet in one place the most frequent stays
-        place = lambda x: ((x ^ (x >> kind(15))).astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - HASH_BITS)
-        top = top[np.argsort(counts[often], kind="stable")]
-        where = np.full(1 << HASH_BITS, -1, np.int32)
-        where[place(top)] = np.arange(len(top))
-        found = where[place(pairs)]
-        at = np.flatnonzero(found >= 0)
-        at = at[top[found[at]] == pairs[at]]
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))  # of runs of overlapping pairs
-        inside = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
-        at = at[inside % 2 == 0]
-        used, new = np.unique(found[at], return_inverse=True)
-        seq[at] = vocabulary + len(rules) + new
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        mask = kind((1 << int(bits)) - 1)
-        rules = np.concatenate((rules, np.stack((top[used] >> bits, top[used] & mask), axis=1).astype(np.uint32)))
-    return rules, seq
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    out = symbols.astype(np.uint32)
-    while len(at := np.flatnonzero(out >= vocabulary)):
-        rule = out[at] - vocabulary
-        n = np.ones(len(out), np.int64)
-        n[at] = 2
-        first = np.cumsum(n) - n
-        wide = np.repeat(out, n)
-        wide[first[at]], wide[first[at] + 1] = rules[rule, 0], rules[rule, 1]
-        out = wide
-    return out
+        rank = np.empty(len(top), np.int64)
+        rank[np.lexsort((slot(top), counts[often]))] = np.arange(len(top))
+        maybe = np.zeros(1 << SLOTS, bool)
+        maybe[slot(top)] = True
+        at = np.flatnonzero(maybe[slot(pairs)])
+        which = np.searchsorted(top, pairs[at])
+        known = which < len(top)
+        known[known] = top[which[known]] == pairs[at[known]]
+        at, which = at[known], which[known]
+        if alone:  # pairs kept one another from paying: take some of which no two share a symbol
+            good = np.flatnonzero(np.bincount(which[~second(at, which)], minlength=len(top)) >= LEAST)
+            if not len(good):
+                break
+            good = good[np.argsort(-rank[good])]
+            both = np.stack((top[good] >> np.uint64(32), top[good] & np.uint64(0xFFFFFFFF)), axis=1).ravel()
+            first = np.zeros(len(both), bool)
+            first[np.unique(both, return_index=True)[1]] = True
+            apart = first.reshape(-1, 2).all(axis=1) | ((both[::2] == both[1::2]) & first[::2])
+            keep = np.isin(which, good[apart])
+            at, which = at[keep], which[keep]
+        taken = places(at, rank[which])
+        at, which = at[taken], which[taken]
+        pays = np.bincount(which, minlength=len(top)) >= LEAST
+        if not pays.any():
+            if alone:
+                break
+            alone = True
+            continue
+        alone = False
+        number = np.cumsum(pays) - 1 + vocabulary + rules
+        at, which = at[pays[which]], which[pays[which]]
+        seq[at] = number[which]
+        kept = np.ones(len(seq), bool)
+        kept[at + 1] = False
+        seq = seq[kept]
+        made.append(top[pays])
+        rules += int(pays.sum())
+    both = np.concatenate(made)
+    flat = np.stack((both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)), axis=1).ravel().astype(np.uint32)
+    return Grammar(vocabulary, flat, np.full(rules, 2), seq)
+
+
+def compress(ids: np.ndarray, vocabulary: int) -> Grammar:
+    """A grammar of the ids in which every rule saves more symbols than its right side has."""
+    found = repair(ids, vocabulary)
+    found = found.without(found.uses() <= 1)
+    return found.without(found.uses() * (found.sizes - 1) <= found.sizes)
+
+
+def packed(symbols: np.ndarray, bits: int) -> bytes:
+    columns = np.unpackbits(symbols.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
+    return np.packbits(columns.ravel(), bitorder="little").tobytes()
+
+
+def unpacked(data: memoryview, bits: int, start: int, end: int) -> np.ndarray:
+    """Symbols from start up to end of packed data."""
+    first = start * bits // 8
+    raw = np.unpackbits(np.frombuffer(data[first : -(-end * bits // 8)], np.uint8), bitorder="little")
+    columns = np.zeros((end - start, 32), np.uint8)
+    columns[:, :bits] = raw[start * bits - 8 * first :][: (end - start) * bits].reshape(-1, bits)
+    return np.packbits(columns.ravel(), bitorder="little").view("<u4").astype(np.uint32)
 
 
 def pack(docs: list[np.ndarray], vocabulary: int) -> bytes:
     ids = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
-    rules, symbols = compress(ids, vocabulary)
-    kind = np.uint16 if vocabulary + len(rules) <= 1 << 16 else np.uint32
-    lengths = np.ones(vocabulary + len(rules), np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[vocabulary + i] = lengths[a] + lengths[b]
-    head = np.array([kind().itemsize, vocabulary, len(rules), len(symbols), len(docs), len(ids)], "<u4")
-    sizes = np.array([len(d) for d in docs], "<u4")
-    return MAGIC + b"".join(x.tobytes() for x in (head, rules.astype(kind), lengths[vocabulary:].astype("<u4"), sizes, symbols.astype(kind)))
+    grammar, lengths = compress(ids, vocabulary).ordered()
+    bits = max(1, (vocabulary + len(grammar.sizes) - 1).bit_length())
+    kinds = np.stack((grammar.sizes, lengths), axis=1).astype(np.int64)
+    edges = np.flatnonzero(np.concatenate(([True], (kinds[1:] != kinds[:-1]).any(axis=1)))) if len(kinds) else np.zeros(0, int)
+    runs = np.column_stack((kinds[edges], np.diff(np.append(edges, len(kinds)))))
+    wide = np.ones(len(grammar.symbols), np.int64)
+    hit = np.flatnonzero(grammar.symbols >= vocabulary)
+    wide[hit] = lengths[grammar.symbols[hit] - vocabulary]
+    offsets = (np.cumsum(wide) - wide)[::SAMPLE]
+    head = [bits, vocabulary, len(grammar.sizes), len(runs), len(grammar.flat), len(grammar.symbols), len(docs), len(ids)]
+    numbers = np.concatenate([np.array(x).ravel() for x in (head, runs, [len(d) for d in docs], offsets)]).astype("<u4")
+    return MAGIC + numbers.tobytes() + packed(grammar.flat, bits) + packed(grammar.symbols, bits)
 
 
 class Block:
-    """Reads a packed block."""
+    """Reads a packed block: all ids, or those of one document."""
 
     def __init__(self, data: bytes):
+        data = memoryview(data)
         if bytes(data[:4]) != MAGIC:
             raise ValueError("not a block of token ids")
-        width, self.vocabulary, rules, symbols, docs, self.n = np.frombuffer(data, "<u4", 6, 4).tolist()
-        kind, at = {2: np.dtype("<u2"), 4: np.dtype("<u4")}[width], 28
-        self.rules = np.frombuffer(data, kind, 2 * rules, at).reshape(-1, 2)
-        self.lengths = np.frombuffer(data, "<u4", rules, at := at + 2 * rules * width)
-        self.sizes = np.frombuffer(data, "<u4", docs, at := at + 4 * rules)
-        self.symbols = np.frombuffer(data, kind, symbols, at + 4 * docs)
+        self.bits, self.vocabulary, _, runs, flat, self.count, docs, self.n = np.frombuffer(data, "<u4", 8, 4).tolist()
+        at = 36
+        sizes, lengths, many = np.frombuffer(data, "<u4", 3 * runs, at).astype(np.int64).reshape(-1, 3).T
+        self.sizes = np.frombuffer(data, "<u4", docs, at := at + 12 * runs).astype(np.int64)
+        samples = -(-self.count // SAMPLE)
+        self.offsets = np.frombuffer(data, "<u4", samples, at := at + 4 * docs)
+        right = data[at + 4 * samples :]
+        self.data, self.lengths = right[-(-flat * self.bits // 8) :], np.repeat(lengths, many)
+        self.grammar = Grammar(self.vocabulary, unpacked(right, self.bits, 0, flat), np.repeat(sizes, many), np.zeros(0, np.uint32))
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.vocabulary)
+        return self.grammar.expand(unpacked(self.data, self.bits, 0, self.count))[0]
 
     def document(self, i: int) -> np.ndarray:
-        """Ids of one document, from the symbols that cover it alone."""
+        """Ids of one document: unpacks and expands only the symbols between the samples around it."""
         start = int(self.sizes[:i].sum())
-        lengths = np.ones(len(self.symbols), np.int64)
-        long = self.symbols >= self.vocabulary
-        lengths[long] = self.lengths[self.symbols[long].astype(np.int64) - self.vocabulary]
-        ends = np.cumsum(lengths)
-        a, b = np.searchsorted(ends, [start, start + int(self.sizes[i]) - 1], side="right")
-        out = expand(self.symbols[a : b + 1], self.rules, self.vocabulary)
-        skip = start - int(ends[a] - lengths[a]) if self.sizes[i] else 0
-        return out[skip : skip + int(self.sizes[i])]
+        end = start + int(self.sizes[i])
+        if start == end:
+            return np.zeros(0, np.uint32)
+        low, high = np.searchsorted(self.offsets, [start, end - 1], side="right")
+        symbols = unpacked(self.data, self.bits, (low - 1) * SAMPLE, min(high * SAMPLE, self.count))
+        wide = np.ones(len(symbols), np.int64)
+        hit = np.flatnonzero(symbols >= self.vocabulary)
+        wide[hit] = self.lengths[symbols[hit] - self.vocabulary]
+        ends = np.cumsum(wide) + int(self.offsets[low - 1])
+        a, b = np.searchsorted(ends, [start, end - 1], side="right")
+        skip = start - int(ends[a] - wide[a])
+        return self.grammar.expand(symbols[a : b + 1])[0][skip : skip + end - start]
 
 
 def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, end: int = END) -> DataFrame:
-    """(part, block, n_tokens, data, doc_ids): blocks of the documents in ascending id order (nulls first)."""
+    """(part, block, n_tokens, data, doc_ids): blocks of the documents in ascending id order (nulls first).
+
+    Null texts count as empty, an end id alone. Rows of equal ids stay in the order in which the input has them, and are
+    dealt out like others. A text longer than a block is a block of its own; one beyond 2 GB fits no row. An empty table
+    gives no blocks.
+    """
     text_batches(docs.sparkSession)
     where = path or tokens.vocabulary("word_bpe_49k.json")
-    kept = pick(docs, id=id_col, text=text_col)
-    kept = kept.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    kept = pick(docs, id=id_col, text=text_col).withColumn("_tie", F.monotonically_increasing_id())
+    kept = kept.repartitionByRange("id", "_tie").sortWithinPartitions("id", "_tie").drop("_tie")
     id_kind = dict(kept.dtypes)["id"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +292,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
 
 def read_back(files: DataFrame) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of each document, decoded from the blocks."""
+    """(id, start, n_tokens, ids_crc32) of each document, decoded from the blocks; without blocks, no rows."""
     id_kind = dict(files.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +315,6 @@ def read_back(files: DataFrame) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null texts count as empty, an end id alone; null ids come first; repeated rows stay."""
+    """Null texts count as empty, an end id alone; null ids come first; repeated rows stay; an empty table has no rows."""
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")  # rows of the blocks' table are large
     return read_back(written(encoded(table(spark, sf_dir, "documents")), "token-blocks")).withColumnRenamed("id", "doc_id")
