@@ -52,14 +52,27 @@ def test_matches_brute_force(spark, monkeypatch):
 
 def test_estimates_are_unbiased_and_bounded():
     draw = np.random.default_rng(9)
-    x, y = (m.unit(draw.standard_normal((400, 64))) for _ in range(2))
-    turn = m.rotation(64)
-    rotated, _, _ = m.codes(x, turn)
-    _, signs, factor = m.codes(y, turn)
-    off = rotated @ (signs / factor[:, None]).T - x @ y.T
-    assert abs(off.mean()) < 2e-3
-    bound = m.BOUND * np.sqrt((1 - factor**2) / factor**2 / 63)
-    assert (np.abs(off) <= bound).mean() > 0.999
+    for dim in (64, 100):
+        x, side = (m.unit(draw.standard_normal((500, dim))) for _ in range(2))
+        side = m.unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+        for cosine_ in (0.0, 0.5, 0.9):
+            y = cosine_ * x + math.sqrt(1 - cosine_**2) * side
+            both = m.Codes(m.stored(np.concatenate((x, y)), m.rotation(dim)), dim)
+            i, j = np.arange(500), np.arange(500, 1000)
+            off = np.diag(both.estimates(i, both, j)) - cosine_
+            assert abs(off.mean()) < 0.02 and off.std() < 0.13
+            if cosine_ == 0.9:
+                assert (off + 0.9 >= np.diag(both.bounds(i, both, j))).all()
+                assert (both.bounds(i, both, j) > 0.5).all()
+
+
+def test_few_pairs_are_computed_again():
+    draw = np.random.default_rng(2)
+    x = m.unit(draw.standard_normal((1500, 64)))
+    codes = m.Codes(m.stored(x, m.rotation(64)), 64)
+    every = np.arange(len(x))
+    near = sum(int((i < j).sum()) for i, j in m.hopeful(codes, every, every, 0.9))
+    assert near < 0.001 * len(x) ** 2 / 2
 
 
 def test_recall_of_tables():
@@ -68,6 +81,11 @@ def test_recall_of_tables():
     side = draw.standard_normal((3000, 64))
     side = m.unit(side - (side * x).sum(axis=1, keepdims=True) * x)
     y = 0.9 * x + math.sqrt(1 - 0.81) * side
-    bits, tables = m.tables_for(50_000)
-    keys = [(v @ m.planes(64, bits, tables) >= 0).reshape(-1, tables, bits) for v in (x, y)]
-    assert (keys[0] == keys[1]).all(axis=2).any(axis=1).mean() > 0.99
+    for n in (50_000, 10_000_000):
+        keys = [m.keys_for(v, *m.tables_for(n)) for v in (x, y)]
+        assert (keys[0] == keys[1]).any(axis=1).mean() > 0.999
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], 5, [0.0]), (2, [1.0, 2.1], 5, None), (3, [-1.0, 2.0], 5, [1.0])], "vec_id long, embedding array<float>, n long, Embedding array<double>")
+    assert sorted(tuple(r) for r in m.near_duplicates(df).collect()) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
