@@ -27,6 +27,12 @@ def test_line_dedup(spark):
     assert line_dedup.remove_boilerplate(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_line_on_all_rows_of_few_sites(spark):
+    rows = [(i, f"menu\nown {i}\nfoot {i % 3}", None, f"s{i % 12}", 0, "", "", "") for i in range(900)]
+    got = line_dedup.remove_boilerplate(frame(spark, rows), min_sites=10).collect()
+    assert len(got) == 900 and all(r.removed == [0] and r.text == f"own {r.id}\nfoot {r.id % 3}" for r in got)
+
+
 def test_spread_counts_near_lines_exactly(spark):
     lines = [(s, f"l{n}", n) for n in (5, 9, 10, 11, 300) for s in range(n)]
     df = spark.createDataFrame([(f"s{s}", n, n) for s, _, n in lines], "site string, h1 long, h2 long")

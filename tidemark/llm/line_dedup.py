@@ -4,8 +4,10 @@ HyperLogLog sketches of the sites of each line merge by aggregation. Lines whose
 relative standard errors of the threshold are counted exactly. Lines on ``min_sites`` sites or more are boilerplate
 and are cut from every document.
 
-Lines are compared by a 128-bit hash (two XXH64) of the trimmed line; blank lines are never boilerplate. A line that
-occurs on one site only cannot reach a threshold of two, and is dropped before sketching by a plain aggregate.
+Lines are compared by a 128-bit hash (two XXH64) of the trimmed line; blank lines are never boilerplate. Texts are split
+and hashed once. Lines and sites are made distinct before anything is joined, with partial aggregation, so that a line
+which is everywhere comes once for each site. A line that occurs on one site only cannot reach a threshold of two, and is
+dropped before sketching by a plain aggregate.
 """
 
 from __future__ import annotations
@@ -13,46 +15,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pick, table, written
+from tidemark.llm.common import joined_evenly, pick, table, written
 
 MIN_SITES, LG_K, BAND = 10, 10, 4.0
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """id, site, pos, h1, h2 of each line with a visible character; docs has id, text, site."""
-    parts = docs.select("id", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """doc, site, pos, h1, h2 of each line with a visible character; docs has doc, text, site."""
+    parts = docs.select("doc", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = F.trim(F.regexp_replace("line", r"[\t\r\x0b\f]", " "))
-    return parts.withColumn("line", line).where("line != ''").select("id", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return parts.withColumn("line", line).where("line != ''").select("doc", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
-    """h1, h2, sites, exact of the lines on ``min_sites`` sites or more; sites is counted where ``exact``, else estimated."""
-    site = F.coalesce("site", F.lit("\0"))  # null sites count as one site
-    sites = lines.select("h1", "h2", site.alias("site"))
+    """h1, h2, n, sites, exact of the lines on ``min_sites`` sites or more, which occur n times.
+
+    sites is counted where ``exact``, else estimated. Null sites count as one site.
+    """
+    key = ["h1", "h2"]
+    sites = written(lines.groupBy(*key, F.coalesce("site", F.lit("\0")).alias("site")).agg(F.count("*").alias("n")), "line-sites")
+    ends = sites.groupBy(*key).agg(F.min("site").alias("a"), F.max("site").alias("b"), F.count("*").alias("_n"), F.sum("n").alias("n"))
     if min_sites > 1:
-        many = sites.groupBy("h1", "h2").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a != b").select("h1", "h2")
-        sites = written(sites.join(many, ["h1", "h2"]), "line-sites")
-    sketched = sites.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
+        ends = ends.where("a != b")
+    many = written(ends.select(*key, "_n", "n"), "line-counts")
+    sites = written(joined_evenly(sites.select(*key, "site"), many.select(*key, "_n"), key, "_n"), "line-spread-sites")
+    sketched = sites.groupBy(*key).agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
     error = band * 1.04 / (1 << lg_k) ** 0.5 * min_sites + 1
-    sketched = written(sketched.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - error), "line-spread")
+    sketched = written(sketched.select(*key, F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - error), "line-spread")
     far = sketched.where(F.col("sites") > min_sites + error).withColumn("exact", F.lit(False))
-    near = sketched.where(F.col("sites") <= min_sites + error).select("h1", "h2")
-    counted = sites.join(near, ["h1", "h2"]).distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
-    return far.unionByName(counted.withColumn("exact", F.lit(True)))
+    near = sketched.where(F.col("sites") <= min_sites + error).select(*key)
+    counted = sites.join(near, key).groupBy(*key).agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    return far.unionByName(counted.withColumn("exact", F.lit(True))).join(many.drop("_n"), key)
 
 
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """One row for each input row: id, n_lines, n_removed, removed (positions from 0), text without those lines.
 
     n_lines counts all lines, blank ones too. Null texts stay null with no lines; null sites count as one site; null
-    ids and repeated rows stay. An empty table gives an empty result.
+    ids and repeated rows stay. Texts may be of any length that a row holds. An empty table gives an empty result.
     """
     base = pick(docs, id=id_col, text=text_col, site=site_col)
-    lines = lines_of(base)
-    common = written(spread(lines, min_sites).select("h1", "h2"), "line-boilerplate")
-    hits = lines_of(base.select(F.struct("id", F.xxhash64("text").alias("h")).alias("id"), "text", "site")).join(common, ["h1", "h2"])
-    gone = hits.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
-    gone = gone.select(F.col("id.id").alias("gone_id"), F.col("id.h").alias("gone_h"), "removed")
+    key = F.struct(F.col("id").isNull().alias("no_id"), "id", F.xxhash64("text").alias("h"))
+    lines = written(lines_of(base.select(key.alias("doc"), "text", "site")), "line-hashes")  # rows of equal id and text lose the same lines
+    common = written(spread(lines, min_sites).select("h1", "h2", "n"), "line-boilerplate")
+    hits = joined_evenly(lines.select("doc", "pos", "h1", "h2"), common, ["h1", "h2"], "n")
+    gone = hits.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    gone = gone.select(F.col("doc.id").alias("gone_id"), F.col("doc.h").alias("gone_h"), "removed")
     same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_h"))
     found = base.join(gone, same, "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     parts = F.split("text", "\n")
