@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tests.llm.cases import documents, frame
@@ -84,6 +85,30 @@ def test_token_output(spark):
     assert len(got) == 40 and len({r.start for r in got}) == 40
 
 
+def test_flat_files(spark, tmp_path):
+    draw = np.random.default_rng(8)
+    for width, kind in ((2, "<u2"), (4, "<u4")):
+        folder, want = tmp_path / str(width), []
+        folder.mkdir()
+        for name in ("a.bin", "b.bin", "c.bin"):
+            docs = [draw.integers(0, 9, n).tolist() for n in draw.integers(0, 40, 30)] if name != "c.bin" else []
+            (folder / name).write_bytes(np.array([x for d in docs for x in (*d, 9)] + ([1, 2] if name == "b.bin" else []), kind).tobytes())
+            want += [(name, i, sum(len(d) + 1 for d in docs[:i]), len(d)) for i, d in enumerate(docs)]
+        for block in (1, 7, 4096):
+            got = token_counts.scan(token_counts.flat_files(spark, str(folder), block, width), 9, width).collect()
+            assert sorted((r.file.rsplit("/", 1)[1], r.number, r.start, r.n_tokens) for r in got) == want
+
+
+def test_widths_and_ends_are_checked(spark, tmp_path):
+    docs = frame(spark, documents(3)[:3])
+    with pytest.raises(ValueError, match="end id"):
+        token_counts.count_tokens(docs, end=17)
+    with pytest.raises(ValueError, match="fit"):
+        token_counts.count_tokens(docs, end=1 << 16)
+    wide = token_counts.count_tokens(docs, end=1 << 16, width=4).collect()
+    assert sorted((r.id, r.n_tokens) for r in wide) == sorted((r.id, r.n_tokens) for r in token_counts.count_tokens(docs).collect())
+
+
 def test_token_counts(spark):
     rows = documents()
     encode = tokens.byte_encoder(tokens.vocabulary("byte_bpe_50k.tiktoken"))

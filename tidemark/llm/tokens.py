@@ -20,6 +20,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_ids(path: str) -> np.ndarray:
+    """All ids of a tiktoken vocabulary file."""
+    with open(path, "rb") as f:
+        return np.array([int(line.split()[1]) for line in f])
+
+
 @functools.cache
 def byte_encoder(path: str) -> Callable[[str], np.ndarray]:
     """Ids of a text by a tiktoken vocabulary file; strings of special tokens are ordinary text."""
