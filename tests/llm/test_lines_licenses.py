@@ -68,7 +68,7 @@ def labels(text):
 
 def test_rules_and_suppression():
     assert len(license_scan.RULES) > 200
-    assert labels("SPDX-License-Identifier: GPL-3.0-or-later") == ["gpl-3"]
+    assert labels("SPDX-License-Identifier: GPL-3.0-or-later") == ["gpl-3-or-later"] and labels("SPDX-License-Identifier: GPL-3.0") == ["gpl-3"]
     assert labels("Licensed under the GNU General Public License, version 3") == ["gpl-3"]
     assert labels("licensed under the Creative Commons Attribution-NonCommercial 4.0") == ["cc-by-nc"]
     assert labels("https://www.apache.org/licenses/LICENSE-2.0") == ["apache-2"]
