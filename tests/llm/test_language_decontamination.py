@@ -154,3 +154,57 @@ def test_clean_and_empty(spark):
     dirty = {r.id for r in d.contaminations(a, b).collect()}
     assert {r.doc_id for r in d.clean(a, b).collect()} == {i for i, _ in docs} - dirty
     assert d.contaminations(a, b.limit(0)).count() == 0 and d.contaminations(a.limit(0), b).count() == 0
+
+
+def plain_hits(docs, items):
+    """(document, item, score, overlap) by the definition alone: each passage against each item."""
+    items = [(i, d.words_of(t)) for i, t in items if i is not None and d.words_of(t)]
+    mean = sum(len(w) for _, w in items) / len(items)
+    held_by = Counter(t for _, w in items for t in set(w))
+    weight = {}
+    for i, w in items:
+        for t, n in Counter(w).items():
+            idf = math.log(1 + (len(items) - held_by[t] + 0.5) / (held_by[t] + 0.5))
+            weight[i, t] = idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    window = max(5, *(len(w) for _, w in items))
+
+    def share(part, passage):
+        size = min(5, len(part))
+        runs = lambda x: {tuple(x[k : k + size]) for k in range(len(x) - size + 1)}
+        return len(runs(part) & runs(passage)) / len(runs(part))
+
+    best: dict = {}
+    for i, text in docs:
+        words = d.words_of(text)
+        for at in range(0, len(words), window):
+            passage = words[at : at + 2 * window]
+            for j, w in items:
+                score = sum(weight[j, t] for t in set(passage) & set(w)) / sum(weight[j, t] for t in set(w))
+                half = (len(w) + 1) // 2
+                parts = [share(x, passage) for x in (w, w[:half], w[half:] or w)]
+                if score >= 0.5 - 1e-9 and parts[0] >= 0.8 - 1e-9 and min(parts[1:]) >= 0.5:
+                    best[i, j] = max(best.get((i, j), (0, 0)), (round(min(score, 1.0), 6), round(parts[0], 6)))
+    return {(i, j, *x) for (i, j), x in best.items()}
+
+
+def test_whole_definition_by_brute_force(spark):
+    draw = random.Random(12)
+    docs, items = corpus(7)
+    docs, items = docs[:60], items[:40]
+    for n in range(60):  # items with words changed, halves alone, and words out of order
+        words = d.words_of(draw.choice(items)[1])
+        for _ in range(draw.choice([1, 2, 4])):
+            words[draw.randrange(len(words))] = draw.choice(["zz", "yy", words[0]])
+        kind = n % 4
+        words = words[: len(words) // 2] if kind == 1 else draw.sample(words, len(words)) if kind == 2 else words
+        docs.append((1000 + n, " ".join(d.words_of(docs[n][1])[:40] + words)))
+    a, b = spark.createDataFrame([(*x, "clash") for x in docs], "doc_id long, text string, score string").repartition(3), spark.createDataFrame([(*x, "clash") for x in items], "item_id long, text string, id string")
+    got = [(r.id, r.item_id, round(r.score, 6), round(r.overlap, 6)) for r in d.contaminations(a, b).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_hits(docs, items)
+
+
+def test_bound_on_items(spark, monkeypatch):
+    monkeypatch.setattr(d, "MOST_WORDS", 50)
+    docs, items = corpus()
+    with pytest.raises(ValueError, match="words"):
+        d.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
