@@ -45,18 +45,19 @@ def plain_model(rows: list[tuple]):
     def log_frequency(size: int, key: str) -> list[float]:
         return [math.log((counts[size][lang, key] + 0.5) / (totals[size][lang] + 0.5 * len(known[size]))) for lang in langs]
 
-    def score(text: str | None) -> tuple[str, float]:
+    def score(text: str | None) -> tuple[str, float, float]:
         every = words(text or "")
         if not every or not langs:
-            return "und", 0.0
-        total = [0.0] * len(langs)
+            return "und", 0.0, 0.0
+        total, told = [0.0] * len(langs), 0
         for w in every:
+            told += w in known[0] or any(g in known[size] for size in (4, 5) for g in grams(w, size))
             of = [log_frequency(0, w)] if w in known[0] else []
             for size in range(5, 0, -1):
                 of = of or [log_frequency(size, g) for g in grams(w, size) if g in known[size]]
             total = [t + (sum(x[i] for x in of) / len(of) if of else 0) for i, t in enumerate(total)]
         best = max(range(len(langs)), key=lambda i: (total[i], -i))
-        return langs[best], 1 / sum(math.exp(x - total[best]) for x in total)
+        return langs[best], 1 / sum(math.exp(x - total[best]) for x in total), told / len(every)
 
     return score
 
@@ -68,8 +69,8 @@ def test_language_equals_plain_scorer(spark):
     model = m.fit(m.training_rows(docs))
     taught = [r for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 4 != 2]
     score = plain_model([(r[1], r[2]) for r in taught])
-    got = sorted(((r.id, r.lang_pred, round(r.score, 5)) for r in m.predict(docs, model).collect()), key=str)
-    assert got == sorted(((r[0], score(r[1])[0], round(score(r[1])[1], 5)) for r in rows), key=str)
+    got = sorted(((r.id, r.lang_pred, round(r.score, 5), round(r.known, 9)) for r in m.predict(docs, model).collect()), key=str)
+    assert got == sorted(((r[0], score(r[1])[0], round(score(r[1])[1], 5), round(score(r[1])[2], 9)) for r in rows), key=str)
     assert {r[0] for r in got if r[1] == "und"} == {150, 151, 152, 153, 900}
 
 
@@ -96,11 +97,10 @@ def test_language(spark):
 def test_backoff_goes_from_words_to_shorter_grams(spark):
     rows = [(i, "alphabet alphabet", "xx") for i in range(8)] + [(i, "beteigeuze beteigeuze", "yy") for i in range(8, 16)]
     model = m.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert "alphabet" in model.keys[0]
-    assert model.predict("alphabets")[0] == "xx" and model.predict("geuze")[0] == "yy" and model.predict("zq")[0] == "yy"
-    assert model.unseen("\u0436")[0].tolist() == [0.0, 0.0] and model.predict("xqz wkv jjq")[2] == 0 and model.predict("alphabet xqz")[2] == 0.5
-    long = "alphabet" * 20_000
-    assert model.predict(long)[0] == "xx" and long not in model.seen
+    assert m.hashes(["alphabet"])[0] in model.keys[0]
+    assert [x[0] for x in model.predict(["alphabets", "geuze", "zq", None, "alphabet" * 20_000])] == ["xx", "yy", "yy", "und", "xx"]
+    assert model.scored(["\u0436"])[0].tolist() == [[0.0, 0.0]]
+    assert [x[2] for x in model.predict(["xqz wkv jjq", "alphabet xqz"])] == [0, 0.5]
 
 
 def corpus(seed: int = 5):
