@@ -13,7 +13,9 @@ With a ``similarity``, two documents are near-duplicates if the Jaccard similari
 64-bit hashes) is at least that. The covering search then only proposes pairs; the others come from prefix filtering
 (Chaudhuri et al., 2006): in any fixed order of all shingles, sets of n and m shingles with similarity t share one
 among the first n - ceil(t n) + 1 and m - ceil(t m) + 1. Shingles that are frequent in a sample of the texts go last
-in that order, which keeps the buckets small and changes no result. Similar sets also share many of these first shingles,
+in that order, which keeps the buckets small and changes no result. The first shingle that two similar sets share stands
+early enough in both for all others to follow, so a bucket compares only members with such places (Xiao et al., 2008).
+Similar sets also share many of these first shingles,
 as few of either may be missing from the other: only pairs that do are verified, on the whole sets. First each
 member of a bucket is compared with three of its members; then all pairs of a bucket that are not yet in one
 component are compared, so that large groups of copies need rows in proportion to their size.
@@ -163,6 +165,17 @@ def lengths_fit(n: str, m: str, similarity: Fraction) -> Column:
     return (F.col(n) * q >= F.col(m) * p) & (F.col(m) * q >= F.col(n) * p)
 
 
+def least_shared(n: str, m: str, similarity: Fraction) -> Column:
+    """Of two sets with the similarity, how many shingles they share at least: p / (p + q) of both sizes."""
+    p, q = similarity.numerator, similarity.denominator
+    return F.ceil((F.col(n) + F.col(m)) * p / F.lit(p + q) - F.lit(1e-6))
+
+
+def places_fit(n: str, m: str, i: str, j: str, similarity: Fraction) -> Column:
+    """Whether the shingle at places i and j, from 0, can be the first that two similar sets share: enough must follow it."""
+    return F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= least_shared(n, m, similarity)
+
+
 def similar(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, similarity: Fraction) -> DataFrame:
     """Those of the pairs (u, v) of sets c that have the similarity."""
 
@@ -175,9 +188,8 @@ def similar(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, si
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct()
     heads = classes.select("c", "n", "prefix")
     pairs = pairs.join(heads.toDF("u", "nu", "x"), "u").join(heads.toDF("v", "nv", "y"), "v").where(lengths_fit("nu", "nv", similarity))
-    # p / (p + q) of both sizes must be shared; what a set's prefix may miss of it is no more than what the set may
-    shared = F.ceil((F.col("nu") + F.col("nv")) * p / F.lit(p + q) - F.lit(1e-6))
-    least = shared + F.least(F.size("x") - F.col("nu"), F.size("y") - F.col("nv"))
+    # what a set's prefix may miss of the shared shingles is no more than what the set may
+    least = least_shared("nu", "nv", similarity) + F.least(F.size("x") - F.col("nu"), F.size("y") - F.col("nv"))
     pairs = written(pairs.where(F.size(F.array_intersect("x", "y")) >= least).select("u", "v"), "simhash-pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes, "c").select("t", F.col("c").alias("_c"), "rows")
     texts = joined_evenly(docs.select(F.xxhash64("text").alias("t"), "text"), written(wanted, "simhash-wanted"), ["t"], "rows")
@@ -195,19 +207,22 @@ def similar_links(docs: DataFrame, classes: DataFrame, size: int, similarity: Fr
     near = links(classes.select("fp").distinct())
     near = near.join(holders.toDF("u", "pu"), "u").join(holders.toDF("v", "pv"), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))
     same = classes.join(holders, "fp").select(F.col("c").alias("u"), F.col("p").alias("v"))
-    postings = classes.select("c", "n", F.explode("prefix").alias("h"))
-    one = F.struct("c", "n")
-    pivots = postings.groupBy("h").agg(F.count("*").alias("_k"), F.min(one).alias("_a"), F.max(one).alias("_b"), F.min_by(one, F.xxhash64("c")).alias("_c"))
-    full = written(postings.join(pivots.where("_k > 1"), "h"), "simhash-postings")
-    stars = full.select(F.col("c").alias("u"), "n", F.explode(F.array("_a", "_b", "_c")).alias("v")).select("u", "n", F.col("v.c").alias("v"), F.col("v.n").alias("m"))
-    stars = stars.where(lengths_fit("n", "m", similarity)).select("u", "v")
+    postings = classes.select("c", "n", F.posexplode("prefix").alias("i", "h"))
+    often = postings.groupBy("h").agg(F.count("*").alias("_k")).where("_k > 1")
+    full = written(joined_evenly(postings, written(often, "simhash-often"), ["h"], "_k"), "simhash-postings")
+    one = F.struct("c", "n", "i")
+    pivots = full.groupBy("h").agg(F.min(one).alias("_a"), F.max(one).alias("_b"), F.min_by(one, F.xxhash64("c")).alias("_c"), F.count("*").alias("_k"))
+    stars = joined_evenly(full, written(pivots, "simhash-pivots"), ["h"], "_k")
+    stars = stars.select(F.col("c").alias("u"), "n", "i", F.explode(F.array("_a", "_b", "_c")).alias("v")).select("u", "n", "i", F.col("v.c").alias("v"), F.col("v.n").alias("m"), F.col("v.i").alias("j"))
+    stars = stars.where(lengths_fit("n", "m", similarity) & places_fit("n", "m", "i", "j", similarity)).select("u", "v")
     first = similar(docs, near.unionByName(same).unionByName(stars), classes, size, similarity)
     roots = written(components(first, "simhash-links"), "simhash-roots")
-    rooted = full.select("h", "c", "n").join(roots, full.c == roots.node, "left").select("h", "c", "n", F.coalesce("root", "c").alias("root"))
+    rooted = full.join(roots, full.c == roots.node, "left").select("h", "c", "n", "i", F.coalesce("root", "c").alias("root"))
     apart = rooted.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a != _b").select("h")
     rooted = written(rooted.join(apart, "h", "left_semi"), "simhash-apart")
-    x, y = rooted.toDF("h", "u", "nu", "ru"), rooted.toDF("h", "v", "nv", "rv")
-    rest = x.join(y, "h").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & lengths_fit("nu", "nv", similarity)).select("u", "v")
+    x, y = rooted.toDF("h", "u", "nu", "iu", "ru"), rooted.toDF("h", "v", "nv", "iv", "rv")
+    fit = lengths_fit("nu", "nv", similarity) & places_fit("nu", "nv", "iu", "iv", similarity)
+    rest = x.join(y, "h").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & fit).select("u", "v")
     return first.unionByName(similar(docs, rest, classes, size, similarity))
 
 
