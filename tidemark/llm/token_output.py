@@ -123,15 +123,30 @@ def places(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return chosen
 
 
+def slot(pairs: np.ndarray, bits: int) -> np.ndarray:
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def repair(ids: np.ndarray, vocabulary: int) -> Grammar:
-    """Replaces pairs until none occurs LEAST times without overlap."""
+    """Replaces pairs until none occurs LEAST times without overlap.
+
+    A pair's places only become fewer, so a round looks at those alone that had a frequent pair or have a new symbol.
+    """
     seq, made = ids.astype(np.uint32), [np.zeros(0, np.uint64)]
     rules, alone = 0, False
-    slot = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
+    alive = np.ones(len(seq), bool)
     while len(seq) > 1:
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        alive[-1] = False
+        live = np.flatnonzero(alive)
+        pairs = (seq[live].astype(np.uint64) << np.uint64(32)) | seq[live + 1]
+        bits = min(SLOTS, len(live).bit_length() + 1)
+        slots = slot(pairs, bits)
+        # only places whose slot is taken often can hold a pair that is
+        crowded = np.bincount(slots, minlength=1 << bits)[slots] >= LEAST
+        alive[live[~crowded]] = False
+        live, pairs, slots = live[crowded], pairs[crowded], slots[crowded]
         ordered = np.sort(pairs)
-        edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, int)
         counts = np.diff(np.append(edges, len(ordered)))
         often = np.flatnonzero(counts >= LEAST)
         most = max(FEWEST, int(len(often) * BATCH))
@@ -140,14 +155,15 @@ def repair(ids: np.ndarray, vocabulary: int) -> Grammar:
             often = often[counts[often] >= cut]
         top = ordered[edges[often]]
         rank = np.empty(len(top), np.int64)
-        rank[np.lexsort((slot(top), counts[often]))] = np.arange(len(top))
-        maybe = np.zeros(1 << SLOTS, bool)
-        maybe[slot(top)] = True
-        at = np.flatnonzero(maybe[slot(pairs)])
-        which = np.searchsorted(top, pairs[at])
+        rank[np.lexsort((slot(top, 63), counts[often]))] = np.arange(len(top))
+        maybe = np.zeros(1 << bits, bool)
+        maybe[slot(top, bits)] = True
+        maybe = np.flatnonzero(maybe[slots])
+        pairs = pairs[maybe]
+        which = np.searchsorted(top, pairs)
         known = which < len(top)
-        known[known] = top[which[known]] == pairs[at[known]]
-        at, which = at[known], which[known]
+        known[known] = top[which[known]] == pairs[known]
+        at, which = live[maybe[known]], which[known]
         if alone:  # pairs kept one another from paying: take some of which no two share a symbol
             good = np.flatnonzero(np.bincount(which[~second(at, which)], minlength=len(top)) >= LEAST)
             if not len(good):
@@ -173,7 +189,9 @@ def repair(ids: np.ndarray, vocabulary: int) -> Grammar:
         seq[at] = number[which]
         kept = np.ones(len(seq), bool)
         kept[at + 1] = False
-        seq = seq[kept]
+        seq, alive = seq[kept], alive[kept]
+        at -= np.arange(len(at))  # as many symbols went before each place
+        alive[at] = alive[np.maximum(at - 1, 0)] = True
         made.append(top[pays])
         rules += int(pays.sum())
     both = np.concatenate(made)
