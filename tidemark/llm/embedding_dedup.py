@@ -2,8 +2,8 @@
 
 Each vector is scaled to unit length and rotated once, and of it a code is stored (RaBitQ; Gao and Long, 2024): the signs
 of its rotation, packed to bits; the factor f, the inner product of the signs' unit vector with the rotated vector; and,
-for its part as the other side of a pair, the rotation in PLANES bits a component, as bit planes. Popcounts of one side's
-planes and the other's signs, divided by f, estimate the inner product without bias. Where that is s, the error's
+for its part as the other side of a pair, the rotation in PLANES bits a component, as bit planes. Products of one side's
+small integers and the other's bits, divided by f, estimate the inner product without bias. Where that is s, the error's
 deviation is sqrt((1 - f^2) (1 - s^2) / f^2 / (D - 1)), and of the planes' rounding half a step; BOUND deviations below
 the threshold lies the bound that a pair at the threshold falls short of with a chance of about 1e-9.
 
@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, joined_evenly, pick, table, text_batches, written
+from tidemark.llm.common import HOT, components, joined_evenly, pick, table, text_batches, written
 
 THRESHOLD, BUCKET, CHUNK, BOUND, MISS, PLANES, SEED = 0.9, 2048, 4096, 6.0, 1e-6, 4, 11
-SLICE = 64
+SLICE = 256
 
 
 def tables_for(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
@@ -76,41 +76,37 @@ def stored(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
 
 
 class Codes:
-    """Codes of vectors of one dimension, read from their bytes."""
+    """Codes of vectors of one dimension, read from their bytes and laid out so that one product gives many estimates."""
 
     def __init__(self, raw: np.ndarray, dim: int):
         n, width = len(raw), -(-dim // 64)
-        words = np.ascontiguousarray(raw[:, : 8 * width * (1 + PLANES)]).view(np.uint64).reshape(n, 1 + PLANES, width)
-        self.dim, self.signs, self.planes = dim, words[:, 0], words[:, 1:]
-        self.factor, self.low, self.step = np.ascontiguousarray(raw[:, 8 * width * (1 + PLANES) :]).view(np.float32).astype(float).T
-
-    def estimates(self, i: np.ndarray, other: Codes, j: np.ndarray) -> np.ndarray:
-        """Inner products of vectors i of this side, by their planes, with vectors j of the other, by their signs."""
-        dots = np.zeros((len(i), len(j)), np.int32)
-        levels = np.zeros(len(i), np.int64)
-        for p in range(PLANES):
-            plane = self.planes[i, p]
-            levels += np.bitwise_count(plane).sum(axis=1, dtype=np.int64) << p
-            for w in range(plane.shape[1]):
-                dots += np.bitwise_count(plane[:, None, w] & other.signs[None, j, w]).astype(np.int32) << p
-        ones = np.bitwise_count(other.signs[j]).sum(axis=1, dtype=np.int64)
-        low, step = self.low[i][:, None], self.step[i][:, None]
-        both = 2 * low * ones + 2 * step * dots - self.dim * low - step * levels[:, None]
-        return both / math.sqrt(self.dim) / other.factor[j]
-
-    def bounds(self, i: np.ndarray, other: Codes, j: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-        """What the estimate of a pair at the threshold does not fall short of."""
-        f = other.factor[j]
+        words = np.ascontiguousarray(raw[:, : 8 * width * (1 + PLANES)]).reshape(n, 1 + PLANES, 8 * width)
+        bits = np.unpackbits(words, axis=2)[:, :, :dim]
+        self.dim, signs = dim, bits[:, 0].astype(np.float32)
+        levels = sum(bits[:, 1 + p].astype(np.float32) * (1 << p) for p in range(PLANES))
+        self.factor, low, self.step = np.ascontiguousarray(raw[:, 8 * width * (1 + PLANES) :]).view(np.float32).T
+        step = self.step[:, None]
+        rest = np.stack((2 * low, -dim * low - self.step * levels.sum(axis=1)), axis=1)
+        self.rows = np.concatenate((2 * step * levels, rest), axis=1) / np.float32(math.sqrt(dim))
+        self.columns = np.concatenate((signs, signs.sum(axis=1, keepdims=True), np.ones((n, 1), np.float32)), axis=1) / self.factor[:, None]
+
+    def estimates(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Inner products of vectors i, by their levels, with vectors j, by their signs."""
+        return self.rows[i] @ self.columns[j].T
+
+    def bounds(self, i: np.ndarray, j: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+        """For each j, what the estimate of no pair (i, j) at the threshold falls short of."""
+        f = self.factor[j].astype(float)
         turned = min(BOUND / math.sqrt(max(1, self.dim - 1)), 1.0) * np.sqrt(np.maximum(1 - f**2, 0) * (1 - threshold**2))
-        rounded = BOUND * self.step[i][:, None] / 2
-        return threshold - np.hypot(turned, rounded) / f - 1e-4
+        rounded = BOUND * self.step[i].max(initial=0) / 2
+        return (threshold - np.hypot(turned, rounded) / f - 1e-4).astype(np.float32)
 
 
 def hopeful(codes: Codes, left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of vectors whose estimate reaches the bound, for a bounded share of ``left`` at a time."""
     for at in range(0, len(left), SLICE):
         some = left[at : at + SLICE]
-        i, j = np.nonzero(codes.estimates(some, codes, right) >= codes.bounds(some, codes, right, threshold))
+        i, j = np.nonzero(codes.estimates(some, right) >= codes.bounds(some, right, threshold))
         yield some[i], right[j]
 
 
@@ -199,8 +195,14 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     coded = written(classes.select("cid", "vec").mapInArrow(encode, "cid long, code binary, buckets array<long>"), "vector-codes")
     places = coded.select("cid", F.explode("buckets").alias("bucket"))
-    sizes = written(places.groupBy("bucket").agg(F.count("*").alias("size"), F.count("*").alias("_n")).where("size > 1"), "vector-buckets")
-    places = joined_evenly(coded.select("cid", "code", F.explode("buckets").alias("bucket")), sizes, ["bucket"], "_n")
+    sizes = written(places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "vector-buckets")
+    # sizes of crowded buckets are broadcast, HOT of them at most; their rows are dealt out by vector instead of by bucket
+    most = coded.count() * tables / HOT
+    crowded = F.broadcast(sizes.where(F.col("size") > most).toDF("_bucket", "_size"))
+    places = coded.select("cid", "code", F.explode("buckets").alias("bucket")).join(crowded, F.col("bucket") == F.col("_bucket"), "left")
+    places = places.withColumn("_at", F.when(F.col("_size").isNull(), F.col("bucket")).otherwise(-1 - F.col("cid")))
+    places = places.join(sizes.where(F.col("size") <= most).toDF("_at", "_few"), "_at", "left")
+    places = places.withColumn("size", F.coalesce("_size", "_few")).where("size is not null")
     parts = F.ceil(F.col("size") / CHUNK).cast("long")
     places = places.withColumns({"parts": parts, "chunk": F.pmod(F.xxhash64("cid", F.lit("chunk")), parts)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     pair = F.shiftleft(F.least("chunk", "other"), 32).bitwiseOR(F.greatest("chunk", "other"))
