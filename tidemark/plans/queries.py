@@ -14,7 +14,8 @@ from tidemark.operators import deliveries, quality
 from tidemark.operators.percentiles import exact_percentiles
 from tidemark.operators.temporal import boundaries, first_row, periods_of
 from tidemark.plans import retention_model as model
-from tidemark.plans import serving
+from tidemark.plans import rule_queries, serving
+from tidemark.plans.operational import OperationalTables
 from tidemark.plans.testdata import TestTables, duckdb_tables
 from tidemark.streaming import windows
 
@@ -548,8 +549,9 @@ def _(t: TestTables) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(TestTables(spark, sf_dir))) for name, f in QUERIES.items()}
+    own = {name: (lambda spark, sf_dir, f=f: f(TestTables(spark, sf_dir))) for name, f in QUERIES.items()}
+    return own | {name: (lambda spark, sf_dir, f=f: f(OperationalTables(spark, sf_dir))) for name, f in rule_queries.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | rule_queries.oracle_sql()

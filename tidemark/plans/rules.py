@@ -80,11 +80,26 @@ def event_stats(parent: DataFrame, events: DataFrame, key: str, first: str, last
 
 
 def active(events: DataFrame, periods: DataFrame, on: list[str], period_id: str, name: str, event_id: str = "event_id", time: str = "event_time") -> DataFrame:
-    """events with the number of periods with equal keys that hold their time; null keys meet none."""
-    few = events.select(event_id, time, *[c for c in on if c != event_id])
-    inside = during(few, periods.select(*on, F.col(period_id).alias("_period"), "valid_from", "valid_to"), on, time=time)
-    n = inside.groupBy(F.col(event_id).alias("_id")).agg(F.count_distinct("_period").alias("_n"))
-    return events.join(n, F.col(event_id) == F.col("_id"), "left").withColumn(name, F.coalesce("_n", F.lit(0))).drop("_id", "_n")
+    """events with the number of periods with equal keys that hold their time; null keys meet none, repeated ids count apart."""
+    key = list(dict.fromkeys([event_id, time, *on]))
+    inside = during(events.select(*key).distinct(), periods.select(*on, F.col(period_id).alias("_period"), "valid_from", "valid_to"), on, time=time)
+    n = inside.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.count_distinct("_period").alias("_n"))
+    joined = events.join(n, [F.col(c) == F.col(f"_{c}") for c in key], "left")
+    return joined.withColumn(name, F.coalesce("_n", F.lit(0))).drop("_n", *[f"_{c}" for c in key])
+
+
+def entitled(events: DataFrame, t: Tables, counted_by: list[str], name: str, event_id: str = "event_id", time: str = "event_time") -> DataFrame:
+    """events with the number of their account's plan periods (or of pairs with entitlements) that give their feature at their time.
+
+    Events meet their account's plans first, and then the entitlements of those plans to their feature: never all features.
+    """
+    key = [event_id, time, "account_id", "feature_id"]
+    plans = t["subscription_plan_period"].select("account_id", "plan_id", "subscription_plan_period_id", "valid_from", "valid_to")
+    given = t["plan_feature_entitlement_period"].select("plan_id", "feature_id", "entitlement_period_id", "valid_from", "valid_to")
+    held = during(events.select(*key).distinct(), plans, ["account_id"], time=time).drop("valid_from", "valid_to")
+    n = during(held, given, ["plan_id", "feature_id"], time=time).groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.count_distinct(*counted_by).alias("_n"))
+    joined = events.join(n, [F.col(c) == F.col(f"_{c}") for c in key], "left")
+    return joined.withColumn(name, F.coalesce("_n", F.lit(0))).drop("_n", *[f"_{c}" for c in key])
 
 
 def history(periods: DataFrame, key: str, period_id: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
@@ -117,12 +132,6 @@ def role_periods(t: Tables, *roles: str) -> DataFrame:
     return common(member_periods(t), role, "membership_id")
 
 
-def entitled_periods(t: Tables) -> DataFrame:
-    """The time in which an account's plan gives it a feature."""
-    given = t["plan_feature_entitlement_period"].select("plan_id", "feature_id", "entitlement_period_id", "valid_from", "valid_to")
-    return common(t["subscription_plan_period"], given, "plan_id")
-
-
 def paid_periods(t: Tables) -> DataFrame:
     return t["subscription_plan_period"].join(t["plan_catalog"].where("plan_name <> 'free'").select("plan_id"), "plan_id")
 
@@ -245,8 +254,7 @@ def _(t: Tables) -> DataFrame:
     points = during(plans, on, ["account_id"], time="at").select(*keys).union(during(given, on, ["feature_id"], time="at").select(*keys))
     points = points.union(on.select("enablement_period_id", "account_id", "feature_id", "valid_from")).distinct()
     points = points.withColumn("point", F.struct("enablement_period_id", "at"))
-    entitled = entitled_periods(t).withColumn("pair", F.struct("subscription_plan_period_id", "entitlement_period_id"))
-    wrong = active(points, entitled, ["account_id", "feature_id"], "pair", "n", event_id="point", time="at").where("n <> 1")
+    wrong = entitled(points, t, ["subscription_plan_period_id", "entitlement_period_id"], "n", event_id="point", time="at").where("n <> 1")
     return found(wrong, "enablement_without_one_entitlement", "enablement_period_id", "at")
 
 
@@ -277,7 +285,7 @@ def _(t: Tables) -> DataFrame:
     """A used feature has one membership, one entitling plan and one enablement, on the account's own website."""
     events = own_website(of_type(t["product_behaviour_event"], "feature_used"), t)
     events = active(events, member_periods(t), ["user_id", "account_id"], "membership_period_id", "members")
-    events = active(events, entitled_periods(t), ["account_id", "feature_id"], "subscription_plan_period_id", "plans")
+    events = entitled(events, t, ["subscription_plan_period_id"], "plans")
     events = active(events, t["website_feature_enablement_period"], ["website_id", "feature_id"], "enablement_period_id", "enabled")
     return found(events.where("not owned or members <> 1 or plans <> 1 or enabled <> 1"), "feature_used_context", "event_id")
 
@@ -287,7 +295,7 @@ def _(t: Tables) -> DataFrame:
     """A locked attempt is made by a user in one plan that does not give the feature."""
     events = of_type(t["product_behaviour_event"], "locked_feature_attempted")
     events = active(events, t["subscription_plan_period"], ["account_id"], "subscription_plan_period_id", "plans")
-    events = active(events, entitled_periods(t), ["account_id", "feature_id"], "subscription_plan_period_id", "entitled")
+    events = entitled(events, t, ["subscription_plan_period_id"], "entitled")
     return found(events.where("user_id is null or feature_id is null or plans <> 1 or entitled > 0"), "locked_attempt_context", "event_id")
 
 
