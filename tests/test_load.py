@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from datetime import datetime, timedelta, timezone
 
 import pytest
 
@@ -18,7 +20,8 @@ def package(root, rating="5.0", status="FROZEN", event="e1"):
     again = {k: line[k] for k in reversed(line)} | {"event_id": event}
     (root / "e.jsonl").write_text(json.dumps(line) + "\n\n" + json.dumps(again) + "\n")
     fields = [("account", "a.csv", "csv", 2, ["account_id"]), ("period", "p.csv", "csv", 1, ["period_id", "account_id", "valid_from", "valid_to"]), ("rating", "r.csv", "csv", 1, ["rating_id", "rating_value"]), ("event", "e.jsonl", "jsonl", 2, list(line))]
-    datasets = [{"number": i + 1, "dataset": n, "path": p, "format": f, "rows": k, "required_fields": cols, "sha256": n} for i, (n, p, f, k, cols) in enumerate(fields)]
+    digest = lambda p: hashlib.sha256((root / p).read_bytes()).hexdigest()
+    datasets = [{"number": i + 1, "dataset": n, "path": p, "format": f, "rows": k, "required_fields": cols, "sha256": digest(p)} for i, (n, p, f, k, cols) in enumerate(fields)]
     (root / "contract.json").write_text(json.dumps({"contract_version": "1.0", "status": status, "datasets_expected": 4, "datasets": datasets}))
     return str(root / "contract.json")
 
@@ -46,6 +49,63 @@ def test_failed_attempt_stays_invisible_and_can_be_repeated(spark, tmp_path):
     assert load.full_load(spark, made, root, "b1", duplicates={"event": 1})["status"] == "SUCCESS"
 
 
+def refused(spark, made, root, message):
+    with pytest.raises(c.ContractError, match=message):
+        load.full_load(spark, made, root, "b1", duplicates={"event": 1})
+    assert load.published(spark, root) == {}
+    assert [r.status for r in load.runs(spark, root).collect()] == ["FAILED"]
+
+
+def test_wrong_digest_is_refused(spark, tmp_path):
+    made = c.load_contract(package(tmp_path))
+    (tmp_path / "a.csv").write_text("account_id\nA1\nA3\n")
+    refused(spark, made, str(tmp_path / "out"), "SHA-256 differs from the contract's: ..account")
+
+
+def test_missing_file_is_refused(spark, tmp_path):
+    made = c.load_contract(package(tmp_path))
+    (tmp_path / "r.csv").unlink()
+    refused(spark, made, str(tmp_path / "out"), "missing: ..r.csv")
+
+
+def test_orphans_are_refused(spark, tmp_path):
+    package(tmp_path)
+    (tmp_path / "p.csv").write_text("period_id,account_id,valid_from,valid_to\nP1,A9,2024-01-01T00:00:00Z,\n")
+    raw = json.loads((tmp_path / "contract.json").read_text())
+    raw["datasets"][1]["sha256"] = hashlib.sha256((tmp_path / "p.csv").read_bytes()).hexdigest()
+    (tmp_path / "contract.json").write_text(json.dumps(raw))
+    refused(spark, c.load_contract(str(tmp_path / "contract.json")), str(tmp_path / "out"), "without an owner: .*period.account_id")
+
+
+def test_plan_order_and_totals(tmp_path):
+    made = c.load_contract(package(tmp_path))
+    assert load.needs_of(made) == {1: (), 2: (1,), 3: (), 4: ()}
+    assert c.check_plan(made, load.needs_of(made), 6) == [[1, 3, 4], [2]]
+    with pytest.raises(c.ContractError, match="6 rows, the plan 7"):
+        c.check_plan(made, load.needs_of(made), 7)
+    with pytest.raises(c.ContractError, match="differ in"):
+        c.check_plan(made, {1: (), 2: (1,)})
+
+
+def test_target_with_another_batch_is_refused(spark, tmp_path):
+    made, root = c.load_contract(package(tmp_path)), str(tmp_path / "out")
+    load.full_load(spark, made, root, "b1", duplicates={"event": 1})
+    with pytest.raises(load.BatchConflict, match="not empty"):
+        load.full_load(spark, made, root, "b2", duplicates={"event": 1})
+    assert load.full_load(spark, made, root, "b2", duplicates={"event": 1}, replace=True)["status"] == "SUCCESS"
+    assert sorted(r.batch for r in load.runs(spark, root).collect()) == ["b1", "b2"]
+
+
+def test_lock_of_a_dead_process_expires(spark, tmp_path):
+    made, root = c.load_contract(package(tmp_path)), str(tmp_path / "out")
+    store = load.Store(spark, root)
+    store.write("state/b1.lock", {"at": datetime.now(timezone.utc).isoformat(), "owner": "r9"}, new=True)
+    with pytest.raises(load.BatchConflict, match="r9"):
+        load.full_load(spark, made, root, "b1", duplicates={"event": 1})
+    store.write("state/b1.lock", {"at": (datetime.now(timezone.utc) - timedelta(days=2)).isoformat(), "owner": "r9"})
+    assert load.full_load(spark, made, root, "b1", duplicates={"event": 1})["status"] == "SUCCESS"
+
+
 @pytest.mark.parametrize("change, message", [({"rating": "4.5"}, "no whole number"), ({"rating": ""}, "is empty")])
 def test_bad_values_fail(spark, tmp_path, change, message):
     made = c.load_contract(package(tmp_path, **change))

@@ -84,16 +84,24 @@ CHECKS = {
 }
 
 
-def foreign_keys(t: Tables) -> dict[str, DataFrame]:
-    """Children whose non-null reference has no owner, by 'fk table.column'."""
-    out = {}
-    for name, df in t.items():
-        for column in df.columns:
+def references(columns: Mapping[str, list[str]]) -> list[tuple[str, str, str, str]]:
+    """(table, column, owner, key) of every reference among tables with these columns."""
+    out = []
+    for name, own in columns.items():
+        for column in own:
             key = OTHER_NAMES.get(column, column)
-            if (owner := OWNERS.get(key)) and owner != name:
-                out[f"fk {name}.{column}"] = orphan(df, t[owner], column, key)
-    payments = t["payment_refund_activity_event"]
-    out["fk payment_refund_activity_event.original_payment_ref"] = orphan(payments, payments.where("payment_ref is not null"), "original_payment_ref", "payment_ref")
+            if (owner := OWNERS.get(key)) and owner != name and owner in columns:
+                out.append((name, column, owner, key))
+    return out
+
+
+def foreign_keys(t: Tables) -> dict[str, DataFrame]:
+    """Children whose non-null reference has no owner, by 'fk table.column'; references to tables that are not there are left out."""
+    found = references({name: df.columns for name, df in t.items()})
+    out = {f"fk {name}.{column}": orphan(t[name], t[owner], column, key) for name, column, owner, key in found}
+    if "payment_refund_activity_event" in t:
+        payments = t["payment_refund_activity_event"]
+        out["fk payment_refund_activity_event.original_payment_ref"] = orphan(payments, payments.where("payment_ref is not null"), "original_payment_ref", "payment_ref")
     return out
 
 

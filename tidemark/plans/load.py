@@ -2,8 +2,9 @@
 
 Spark has no transaction over several tables. A batch's tables are Parquet under ``<root>/batches/<batch>-<attempt>``;
 readers find the current folder through ``<root>/published.json``, which is replaced as a whole after every count has
-been reconciled. A failed attempt is never visible and never overwrites another. Control files are small JSON texts
-written through the Hadoop file system, so the root can be on any store that Spark writes to.
+been reconciled and every reference has an owner. A failed attempt is never visible and never overwrites another.
+Control files are small JSON texts written through Hadoop's file system, so the root can be on any store that Spark
+writes to; they are reached through the session's JVM gateway, which Spark Connect does not have.
 """
 
 from __future__ import annotations
@@ -11,14 +12,17 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.sources.contract import Contract, ContractError, read_raw, reconcile, row_counts, target_rows
+from tidemark.operators.quality import summary
+from tidemark.plans import constraints
+from tidemark.sources.contract import Contract, ContractError, check_files, check_plan, read_raw, reconcile, row_counts, target_rows
 
 PROCESS, SKIP = "PROCESS", "SKIP"
 PROCESSING, SUCCESS, FAILED = "PROCESSING", "SUCCESS", "FAILED"
+EXPIRY = timedelta(days=1)  # after which a lock is taken to be that of a dead process
 
 
 class BatchConflict(RuntimeError):
@@ -78,29 +82,57 @@ def _now() -> str:
     return datetime.now(timezone.utc).isoformat(timespec="milliseconds")
 
 
-def full_load(spark: SparkSession, contract: Contract, root: str, batch: str, nullable: Mapping[str, frozenset[str]] | None = None, duplicates: Mapping[str, int] | None = None) -> dict:
+def needs_of(contract: Contract) -> dict[int, tuple[int, ...]]:
+    """Of each dataset the numbers of those that its columns refer to."""
+    number = {d.name: d.number for d in contract.datasets}
+    out: dict[int, set[int]] = {n: set() for n in number.values()}
+    for name, _, owner, _ in constraints.references({d.name: d.target_columns for d in contract.datasets}):
+        out[number[name]].add(number[owner])
+    return {n: tuple(sorted(found)) for n, found in out.items()}
+
+
+def _lock(store: Store, batch: str, run: str) -> None:
+    """Takes the batch's lock, also one older than EXPIRY."""
+    name = f"state/{batch}.lock"
+    held = store.read(name)
+    if held and datetime.now(timezone.utc) - datetime.fromisoformat(held["at"]) > EXPIRY:
+        store.delete(name)
+    try:
+        store.write(name, {"at": _now(), "owner": run}, new=True)
+    except Exception as e:
+        raise BatchConflict(f"the batch is being processed by {(held or {}).get('owner')}") from e
+
+
+def full_load(
+    spark: SparkSession, contract: Contract, root: str, batch: str, nullable: Mapping[str, frozenset[str]] | None = None,
+    duplicates: Mapping[str, int] | None = None, replace: bool = False,
+) -> dict:
     """Loads all datasets of the contract and publishes them together; returns the run's record.
 
-    Rows expected of a table are the contract's less the known exact duplicates (``duplicates`` by dataset). The record
-    of each attempt is kept under ``runs/``.
+    Before anything is read, files must exist and have the contract's digests. Datasets are written in the order of
+    their references. Before anything is published, row counts must be the contract's less the known exact duplicates
+    (``duplicates`` by dataset), and all references must have owners. A root that shows another batch is refused unless
+    ``replace``. The record of each attempt is kept under ``runs/``.
     """
     store, fingerprint = Store(spark, root), contract.fingerprint()
-    try:
-        store.write(f"state/{batch}.lock", {"at": _now()}, new=True)
-    except Exception as e:
-        raise BatchConflict("the batch is being processed") from e
     run = {"run": uuid.uuid4().hex, "batch": batch, "fingerprint": fingerprint, "started_at": _now()}
+    _lock(store, batch, run["run"])
     try:
         state = store.read(f"state/{batch}.json")
         if state and state["status"] == PROCESSING:  # its process ended without a word: the lock was free
             state = state | {"status": FAILED}
         if decide(state, fingerprint) == SKIP:
             return run | {"status": "SKIPPED", "ended_at": _now()}
+        shown = store.read("published.json")
+        if shown and shown["batch"] != batch and not replace:
+            raise BatchConflict(f"the target is not empty: it shows batch {shown['batch']}")
         store.write(f"state/{batch}.json", {"fingerprint": fingerprint, "status": PROCESSING})
         folder = f"batches/{batch}-{run['run']}"
         try:
+            check_files(spark, contract)
+            by_number = {d.number: d for d in contract.datasets}
             written = {}
-            for d in contract.datasets:
+            for d in (by_number[n] for group in check_plan(contract, needs_of(contract)) for n in group):
                 rows = target_rows(read_raw(spark, d, contract.root), d, (nullable or {}).get(d.name, frozenset({"valid_to"})))
                 path = f"{store.root}/{folder}/{d.name}"
                 rows.write.mode("errorifexists").parquet(path)
@@ -109,6 +141,10 @@ def full_load(spark: SparkSession, contract: Contract, root: str, batch: str, nu
             checked = reconcile(row_counts(written), expected).collect()  # one row for each dataset
             if wrong := [r.asDict() for r in checked if r["status"] != "PASS"]:
                 raise ContractError(f"row counts differ: {wrong}")
+            if keys := constraints.foreign_keys(written):
+                orphans = summary(keys).where("violations > 0").collect()  # one row for each reference
+                if orphans:
+                    raise ContractError(f"references without an owner: {[(r['rule'], r['violations']) for r in orphans]}")
             run |= {"status": SUCCESS, "tables": {r["dataset"]: r["actual"] for r in checked}}
             store.write("published.json", {"folder": folder, "batch": batch, "tables": sorted(written)})
         except Exception as e:
@@ -122,6 +158,12 @@ def full_load(spark: SparkSession, contract: Contract, root: str, batch: str, nu
     return run
 
 
+def runs(spark: SparkSession, root: str) -> DataFrame:
+    """(run, batch, fingerprint, status, started_at, ended_at, error) of all attempts that ended, one row each."""
+    schema = "run string, batch string, fingerprint string, status string, started_at timestamp, ended_at timestamp, error string"
+    return spark.read.schema(schema).json(f"{root.rstrip('/')}/runs")
+
+
 def published(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The published tables by name; {} before the first load."""
     now = Store(spark, root).read("published.json")

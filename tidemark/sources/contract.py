@@ -142,13 +142,43 @@ def target_rows(raw: DataFrame, d: Dataset, nullable: frozenset[str] = frozenset
 # ---------------------------------------------------------------- integrity
 
 
-def file_digests(spark: SparkSession, contract: Contract) -> DataFrame:
-    """(path, sha256) of the contract's files, each digested by the task that reads it."""
-    paths = [f"{contract.root}/{d.path}" for d in contract.datasets]
+MOST_BYTES = 2**31 - 1  # of a file, which one row holds while it is digested
+
+
+def check_files(spark: SparkSession, contract: Contract) -> None:
+    """ContractError for files that are missing, too large to digest, or have another SHA-256 than the contract's.
+
+    Names and sizes come from a listing; contents are read and digested by one task a file, the largest files apart.
+    Datasets without a digest in the contract are only looked for.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(contract.root).select("path", "length")
+    wanted = spark.createDataFrame([(d.name, "/" + d.path.lstrip("/")) for d in contract.datasets], "dataset string, ending string")
+    found = {r["dataset"]: r for r in listed.join(F.broadcast(wanted), F.expr("endswith(path, ending)")).collect()}  # one row for each dataset
+    if missing := [d.path for d in contract.datasets if d.name not in found]:
+        raise ContractError(f"files are missing: {missing}")
+    if large := [d.path for d in contract.datasets if d.sha256 and found[d.name]["length"] > MOST_BYTES]:
+        raise ContractError(f"files are larger than {MOST_BYTES} bytes and cannot be digested: {large}")
+    known = {found[d.name]["path"]: d for d in contract.datasets if d.sha256}
+    digests = file_digests(spark, list(known)).collect() if known else []  # one row for each dataset
+    if wrong := [known[r["path"]].name for r in digests if r["sha256"] != known[r["path"]].sha256]:
+        raise ContractError(f"SHA-256 differs from the contract's: {sorted(wrong)}")
+
+
+def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, sha256) of files, each digested by the task that reads it."""
     files = spark.read.format("binaryFile").load(paths)
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def check_plan(contract: Contract, needs: Mapping[int, tuple[int, ...]], total_rows: int | None = None) -> list[list[int]]:
+    """The groups of ``load_order``; ContractError unless the needs cover just the contract's datasets, and its rows add up."""
+    if set(needs) != {d.number for d in contract.datasets}:
+        raise ContractError(f"the plan and the contract differ in {sorted(set(needs) ^ {d.number for d in contract.datasets})}")
+    if total_rows is not None and sum(d.rows for d in contract.datasets) != total_rows:
+        raise ContractError(f"the contract has {sum(d.rows for d in contract.datasets)} rows, the plan {total_rows}")
+    return load_order(needs)
+
+
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(dataset, actual) of all tables, in one job."""
     out = None
