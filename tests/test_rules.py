@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 import pytest
 
-from tidemark.plans import constraints, rules
+from tidemark.plans import constraints, rule_queries, rules
 
 
 def d(day: int) -> datetime:
@@ -83,6 +84,7 @@ BROKEN = [
     ("DQ-04", "website_address_period", [("AD1", "W1", "x", "platform", d(1), d(9))], {("live_period_address_coverage_gap", "LP1")}),
     ("DQ-05", "page_access_period", [("PA2", "P1", "public", d(4), d(9))], {("page_access_internal_gap", "PA2"), ("page_access_final_period_not_open", "PA2")}),
     ("DQ-06", "content_item", [("C2", "P1", "file")], {("content_missing_access_history", "C2")}),
+    ("DQ-06", "content_item_access_period", [("CA1", "C1", "public", d(1), d(3)), ("CA2", "C1", "public", d(4), d(9))], {("content_access_internal_gap", "CA2"), ("content_access_final_period_not_open", "CA2")}),
     ("DQ-07", "website_feature_enablement_period", [("EP1", "W1", "F1", d(4), d(15))], {("enablement_without_one_entitlement", "EP1")}),
     ("DQ-08", "website_feature_enablement_period", [("EP1", "W1", "F1", d(6), d(16))], {("enablement_end_event_mismatch", "EP1"), ("disabled_event_without_period_end", "FE2")}),
     ("DQ-09", "product_behaviour_event", [("PE2", "product_accessed", d(2), "U9", "A1", None, None)], {("product_event_context", "PE2")}),
@@ -117,6 +119,21 @@ BROKEN = [
     ("DQ-30", "support_request", [("SR1", "A1", "U9", None, "x", None)], {("support_requester_not_member", "SU1")}),
     ("DQ-31", "support_request", [("SR1", "A9", "U1", "W1", "x", None)], {("support_website_account", "SR1")}),
     ("DQ-32", "support_lifecycle_event", [("SU2", "SR1", "support_request_resolved", d(3), None)], {("support_open_resolve", "SR1")}),
+    ("DQ-01", "user_account_role_assignment_period", [("R9", "M2", "viewer", datetime(2023, 12, 30), d(1))], {("role_period_outside_membership", "R9")}),
+    ("DQ-04", "website_lifecycle_event", [("WE9", "W1", "website_created", d(1))], {("website_created_cardinality_or_time", "W1")}),
+    ("DQ-05", "page", [("P2", "W1")], {("page_missing_access_history", "P2")}),
+    ("DQ-08", "website_feature_enablement_period", [("EP1", "W1", "F1", d(7), d(15))], {("enablement_start_event_mismatch", "EP1"), ("enabled_event_without_period_start", "FE1")}),
+    ("DQ-14", "website_member", [("MB1", "W2")], {("registration_member_website_mismatch", "RS1")}),
+    ("DQ-14", "member_registration_success_event", [("RS1", "W1", "MB1", "I1", "invitation", d(1))], {("invitation_registration_mismatch", "RS1")}),
+    ("DQ-15", "website_member", [("MB2", "W1")], {("member_registration_cardinality", "MB2"), ("member_missing_state_history", "MB2")}),
+    ("DQ-15", "member_state_period", [("MS1", "MB1", "active", d(3), d(5)), ("MS2", "MB1", "suspended", d(6), None)], {("member_state_internal_gap", "MS2")}),
+    ("DQ-17", "comment", [("CM2", "MB1", "P1")], {("comment_posted_cardinality", "CM2")}),
+    ("DQ-22", "audience_session", [("S1", "V1", "W2")], {("session_member_website_mismatch", "SA1")}),
+    ("DQ-25", "account", [("A2",)], {("subscription_missing_history", "A2")}),
+    ("DQ-28", "subscription_plan_period", [("SP2", "A1", "PLAN_STANDARD", d(5), d(21))], {("subscription_period_beyond_closure", "SP2")}),
+    ("DQ-28", "billing_cycle_period", [("B2", "A1", "annual", d(10), d(21))], {("billing_period_beyond_closure", "B2")}),
+    ("DQ-28", "feature_enablement_lifecycle_event", [("FE3", "W1", "F1", "feature_disabled", d(21))], {("feature_event_after_closure", "FE3")}),
+    ("DQ-28", "subscription_lifecycle_event", [("SE9", "A1", "subscription_renewed", d(21), None, None, None, None)], {("subscription_event_after_closure", "SE9")}),
 ]
 
 CONSTRAINTS = [
@@ -161,7 +178,12 @@ def test_good_tables_keep_all_rules(spark, good):
     assert {k: v for k, v in found.items() if v} == {}
 
 
-@pytest.mark.parametrize("name, table, put, expected", BROKEN, ids=[f"{b[0]}-{b[1]}" for b in BROKEN])
+def test_every_kind_of_violation_is_broken():
+    known = set(re.findall(r"SELECT '(\w+)' AS violation_type", " ".join(part for parts in rule_queries.RULE_SQL.values() for part in parts)))
+    assert known == {kind_ for *_, expected in BROKEN for kind_, _ in expected}
+
+
+@pytest.mark.parametrize("name, table, put, expected", BROKEN, ids=[f"{b[0]}-{b[1]}-{i}" for i, b in enumerate(BROKEN)])
 def test_broken_tables_break_their_rule(spark, good, name, table, put, expected):
     got = rules.violations(good | {table: frame(spark, table, put)}, name).collect()
     assert {(r.violation_type, r.entity_id) for r in got} == expected

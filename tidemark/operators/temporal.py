@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import active_at, add_months, month_start, overlaps
 
 
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """Marks df for broadcast if it has ``most`` rows or fewer (counted, with a limit); else leaves it as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def first_row(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """key and columns of each key's first row by ``order``, which should be unique; combined before the shuffle."""
     best = df.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_row"))

@@ -14,7 +14,7 @@ from tidemark.operators import deliveries, quality
 from tidemark.operators.percentiles import exact_percentiles
 from tidemark.operators.temporal import boundaries, first_row, periods_of
 from tidemark.plans import retention_model as model
-from tidemark.plans import rule_queries, serving
+from tidemark.plans import reports, rule_queries, serving
 from tidemark.plans.operational import OperationalTables
 from tidemark.plans.testdata import TestTables, duckdb_tables
 from tidemark.streaming import windows
@@ -530,6 +530,72 @@ def _(t: TestTables) -> DataFrame:
     return model.score(fitted, rows).select("account_id", "split_name", "target_m6", "score")
 
 
+# ---------------------------------------------------------------- reports
+
+ROWS = f", rows AS ({SQL['ml_dataset']})"
+FEATURES, COUNTED = model.FEATURES, " + ".join(reports.COUNTED)
+VOLUME = {"accounts": "count(*)", "known": "count(target_m6)", "paid": "count(*) FILTER (target_m6 = 1)", "not_paid": "count(*) FILTER (target_m6 = 0)"}
+CHECKS = {
+    "repeated_accounts": "count(*) - count(DISTINCT account_id)", "totals_unlike_sums": f"count(*) FILTER (total_product_events <> {COUNTED})",
+    "more_live_than_created": "count(*) FILTER (live_websites_at_first_paid > websites_created_before_paid)", "negative_features": f"count(*) FILTER (least({', '.join(FEATURES)}) < 0)",
+}
+
+
+def dataset_rows(t: TestTables) -> DataFrame:
+    return model.dataset(t, cutoff=CUTOFF, splits=SPLITS)
+
+
+@query("ml_data_set_report", ROWS + " " + " UNION ALL ".join([
+    *[f"SELECT 'volume' AS section, coalesce(split_name, 'ALL') AS part, '{k}' AS metric, {v}::DOUBLE AS value FROM rows GROUP BY ROLLUP (split_name)" for k, v in VOLUME.items()],
+    *[f"SELECT 'feature', '{f}', '{k}', {v}::DOUBLE FROM rows" for f in FEATURES for k, v in {
+        "nulls": f"count(*) - count({f})", "nonzero": f"count(*) FILTER ({f} <> 0)", "nonzero_pct": f"round(count(*) FILTER ({f} <> 0) * 100.0::DOUBLE / nullif(count(*), 0), 2)", "largest": f"round(max({f}::DOUBLE), 6)"}.items()],
+    *[f"SELECT 'reconciliation', NULL, '{k}', ({v})::DOUBLE FROM rows" for k, v in CHECKS.items()],
+]))
+def _(t: TestTables) -> DataFrame:
+    return reports.data_set_report(dataset_rows(t))
+
+
+@query("ml_always_paid", ROWS + """
+SELECT coalesce(split_name, 'ALL') AS split_name, count(*) AS accounts, count(*) FILTER (target_m6 = 1) AS tp, count(*) FILTER (target_m6 = 0) AS fp, round(avg(target_m6), 6) AS accuracy,
+  CASE WHEN max(target_m6) = 1 THEN 0.5 ELSE 0 END::DOUBLE AS balanced_accuracy, round(avg(target_m6), 6) AS precision_1, CASE WHEN max(target_m6) = 1 THEN 1 ELSE 0 END::DOUBLE AS recall_1, 0.0::DOUBLE AS recall_0
+FROM rows WHERE target_m6 IS NOT NULL GROUP BY ROLLUP (split_name)""")
+def _(t: TestTables) -> DataFrame:
+    return reports.always_paid(dataset_rows(t))
+
+
+@query("ml_feature_medians", ROWS + " " + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, target_m6 AS target, count(*) AS rows, round(quantile_cont({f}::DOUBLE, 0.5), 6) AS median, round(avg({f}::DOUBLE), 6) AS mean FROM rows WHERE target_m6 IS NOT NULL AND {f} IS NOT NULL GROUP BY 2" for f in FEATURES))
+def _(t: TestTables) -> DataFrame:
+    return reports.feature_medians(dataset_rows(t))
+
+
+@query("ml_threshold_sweep", SCORED + f"""
+, c AS (SELECT threshold, count(*) FILTER (label = 1 AND score >= threshold) AS tp, count(*) FILTER (label = 0 AND score >= threshold) AS fp, count(*) FILTER (label = 1 AND score < threshold) AS fn,
+  count(*) FILTER (label = 0 AND score < threshold) AS tn FROM s, (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in reports.THRESHOLDS)}]) AS threshold) WHERE label IS NOT NULL GROUP BY 1)
+SELECT threshold, tp, fp, fn, tn, round((tp + tn)::DOUBLE / (tp + fp + fn + tn), 6) AS accuracy, round((tp::DOUBLE / nullif(tp + fn, 0) + tn::DOUBLE / nullif(tn + fp, 0)) / 2, 6) AS balanced_accuracy,
+  round(tn::DOUBLE / nullif(tn + fn, 0), 6) AS precision_0, round(tn::DOUBLE / nullif(tn + fp, 0), 6) AS recall_0, round(2.0::DOUBLE * tn / nullif(2 * tn + fn + fp, 0), 6) AS f1_0 FROM c""")
+def _(t: TestTables) -> DataFrame:
+    return reports.threshold_sweep(scored(t))
+
+
+@query("report_calendar", """
+, ends AS (SELECT date_trunc('year', min(o_orderdate)) AS a, make_date(year(max(o_orderdate)), 12, 31) AS b FROM orders)
+SELECT d::DATE AS date, year(d)::INT AS year, quarter(d)::INT AS quarter, month(d)::INT AS month_no, monthname(d) AS month, day(d)::INT AS day FROM ends, LATERAL (SELECT unnest(generate_series(a, b::TIMESTAMP, INTERVAL 1 DAY)) AS d)""")
+def _(t: TestTables) -> DataFrame:
+    return reports.calendar(t["orders"], "o_orderdate")
+
+
+@query("report_feature_visual", """
+, uses AS (SELECT feature_id, event_type, count(*) AS events, count(DISTINCT account_id) AS accounts FROM product_behaviour_event GROUP BY 1, 2)
+, shown AS (SELECT feature_name, sum(events)::BIGINT AS events, sum(accounts)::BIGINT AS accounts FROM uses LEFT JOIN feature USING (feature_id)
+  WHERE event_type IN ('feature_used', 'locked_feature_attempted') AND feature_name IN ('brand#1', 'brand#2', 'brand#3', 'brand#14') GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY events DESC, feature_name)::INT AS sort FROM shown""")
+def _(t: TestTables) -> DataFrame:
+    uses = t["product_behaviour_event"].groupBy("feature_id", "event_type").agg(F.count("*").alias("events"), F.countDistinct("account_id").alias("accounts"))
+    keep = {"event_type": ["feature_used", "locked_feature_attempted"], "feature_name": ["brand#1", "brand#2", "brand#3", "brand#14"]}
+    return reports.visual(uses, ["feature_name"], ["events", "accounts"], keep, "events", [(t["feature"], "feature_id")])
+
+
 # ---------------------------------------------------------------- windows over events
 
 

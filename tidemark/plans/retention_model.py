@@ -77,13 +77,13 @@ def website_features(t: Tables, accounts: DataFrame) -> DataFrame:
 
 def dataset(t: Tables, months: int = MONTHS, cutoff: str = CUTOFF, splits: tuple = SPLITS) -> DataFrame:
     """One row for each account of the population: features, split and target (1 paid, 0 not, null unknown)."""
-    rows = state_label(t, months, cutoff)
+    people, rows = population(t, months, cutoff), state_label(t, months, cutoff)
     split = F.lit("OUTSIDE_SPLIT")
     for name, before in reversed(splits):
         split = F.when(F.col("first_paid_at") < at(before), name).otherwise(split)
     target = F.when(F.col("state") == "paid", 1).when(F.col("state") == "not_paid", 0)
     labelled = rows.select("account_id", "first_paid_at", "horizon_at", split.alias("split_name"), target.alias("target"))
-    joined = labelled.join(product_features(t, rows), "account_id").join(website_features(t, rows), "account_id")
+    joined = labelled.join(product_features(t, people), "account_id").join(website_features(t, people), "account_id")
     return joined.select(*[c for c in joined.columns if c != "target"], F.col("target").alias(f"target_m{months}"))
 
 

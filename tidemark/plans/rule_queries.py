@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from tidemark.operators.quality import summary
-from tidemark.plans import constraints, rules
+from tidemark.plans import constraints, reports, rules
 from tidemark.plans.operational import DERIVED, OperationalTables, duckdb_tables
 
 HEAD = f"""{duckdb_tables()}
@@ -274,7 +274,7 @@ def queries() -> dict[str, Callable[[OperationalTables], DataFrame]]:
     """dq_rule_01 to dq_rule_32 (all violations), the constraint families and dq_verdicts (counts)."""
     out = {f"dq_rule_{name[3:]}": (lambda t, name=name: rules.violations(t, name)) for name in rules.RULES}
     out |= {name: (lambda t, family=family: summary(family(t))) for name, family in FAMILIES.items()}
-    return out | {"dq_verdicts": rules.verdicts}
+    return out | {"dq_verdicts": rules.verdicts, "dq_samples": reports.samples, "dq_imperfections": reports.imperfections}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -284,4 +284,11 @@ def oracle_sql() -> dict[str, str]:
 
     out = {f"dq_rule_{name[3:]}": f"{HEAD} " + " UNION ALL ".join(parts) for name, parts in RULE_SQL.items()}
     out |= {name: counts(parts) for name, parts in constraint_sql().items()}
-    return out | {"dq_verdicts": counts({name: "(" + " UNION ALL ".join(parts) + ")" for name, parts in RULE_SQL.items()})}
+    out["dq_verdicts"] = counts({name: "(" + " UNION ALL ".join(parts) + ")" for name, parts in RULE_SQL.items()})
+    some = "(SELECT '{}' AS rule, * FROM ({}) ORDER BY violation_type, entity_id, \"at\" NULLS FIRST LIMIT 5)"
+    out["dq_samples"] = f"{HEAD} " + " UNION ALL ".join(some.format(name, " UNION ALL ".join(parts)) for name, parts in RULE_SQL.items())
+    blank = {"product_event_without_website": ("product_behaviour_event", "website_id"), "signup_without_account": ("signup_journey_context", "resulting_account_id"), "interaction_without_page": ("audience_interaction_event", "page_id"), "open_membership_period": ("user_account_membership_period", "valid_to")}
+    late = """SELECT 'late_session_attribution' AS imperfection, count(*) FILTER (attributed_at > t + INTERVAL 1 DAY) AS rows, count(*) AS of
+      FROM session_member_attribution JOIN (SELECT session_id, min(event_time) AS t FROM session_lifecycle_event WHERE event_type = 'session_started' GROUP BY 1) USING (session_id)"""
+    out["dq_imperfections"] = f"{HEAD} {late} " + " ".join(f"UNION ALL SELECT '{k}', count(*) - count({c}), count(*) FROM {t}" for k, (t, c) in blank.items())
+    return out

@@ -15,7 +15,7 @@ from tidemark.functions.columns import (
     ZONE, active_at, add_days, at, local_month, month_end_snapshot, month_label, month_sort, next_month, pct, ratio, seconds_between,
 )
 from tidemark.operators.percentiles import exact_percentiles
-from tidemark.operators.temporal import boundaries, during, first_row, horizon_rows, months_of, overlapping, small
+from tidemark.operators.temporal import boundaries, during, first_row, horizon_rows, months_of, overlapping
 
 Tables = Mapping[str, DataFrame]
 
@@ -41,7 +41,7 @@ ALIGNED = [(1, "M1", 143, 49, 140, 49, 0, 91, 3), (3, "M3", 143, 86, 132, 86, 0,
 def plan_periods(t: Tables) -> DataFrame:
     """Plan periods with lower-case plan names."""
     names = t["plan_catalog"].select("plan_id", F.lower("plan_name").alias("plan_name"))
-    return t["subscription_plan_period"].join(small(names), "plan_id")
+    return t["subscription_plan_period"].join(names, "plan_id")
 
 
 def closures(t: Tables) -> DataFrame:
@@ -57,7 +57,7 @@ def first_paid(periods: DataFrame) -> DataFrame:
 
 def commercial_transition(t: Tables) -> DataFrame:
     """Upgrade, downgrade, cancel and reactivate paths with their shares of the type and of all."""
-    names = small(t["plan_catalog"].select("plan_id", "plan_name"))
+    names = t["plan_catalog"].select("plan_id", "plan_name")
     moves = t["subscription_lifecycle_event"].where(F.col("event_type").isin(*[e for e, _ in TRANSITIONS]))
     once = moves.groupBy("event_type", "from_plan_id", "to_plan_id", "account_id").agg(F.count("*").alias("n"))
     for side in ("from", "to"):
@@ -110,7 +110,7 @@ def feature(t: Tables) -> DataFrame:
 def feature_adoption(t: Tables) -> DataFrame:
     """Accounts that used a feature, of those whose plan ever gave it."""
     periods = t["subscription_plan_period"].select("account_id", "plan_id", "valid_from", "valid_to")
-    given = small(t["plan_feature_entitlement_period"].select("plan_id", "feature_id", "valid_from", "valid_to"))
+    given = t["plan_feature_entitlement_period"].select("plan_id", "feature_id", "valid_from", "valid_to")
     eligible = overlapping(periods, given, ["plan_id"]).select("account_id", F.col("other_feature_id").alias("feature_id")).distinct()
     used = t["product_behaviour_event"].where("event_type = 'feature_used'").select("account_id", "feature_id", F.lit(1).alias("used")).distinct()
     summary = eligible.join(used, ["account_id", "feature_id"], "left").groupBy("feature_id").agg(F.count("*").alias("e"), F.count("used").alias("a"))
@@ -131,7 +131,7 @@ def locked_feature_signal(t: Tables) -> DataFrame:
     attempts = t["product_behaviour_event"].where("event_type = 'locked_feature_attempted'").select("event_id", "event_time", "user_id", "account_id", "website_id", "feature_id")
     periods = plan_periods(t).select("account_id", "plan_id", "plan_name", "valid_from", "valid_to")
     placed = during(attempts, periods, ["account_id"]).drop("valid_from", "valid_to")
-    given = small(t["plan_feature_entitlement_period"].select("plan_id", "feature_id", "valid_from", "valid_to"))
+    given = t["plan_feature_entitlement_period"].select("plan_id", "feature_id", "valid_from", "valid_to")
     locked = during(placed, given, ["plan_id", "feature_id"], how="left_anti")
     counts = [F.count_if(F.col("plan_name") == p).alias(f"{p}_attempt_events") for p in (FREE, *PAID)]
     accounts = [F.countDistinct(F.when(F.col("plan_name") == p, F.col("account_id"))).alias(f"{p}_attempting_accounts") for p in (FREE, *PAID)]

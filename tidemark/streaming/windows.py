@@ -32,3 +32,17 @@ def tumbling(df: DataFrame, time: str, width: str = "1 day", delay: str = "1 hou
     rows = df.withWatermark(time, delay) if df.isStreaming else df
     found = rows.groupBy(*(by or []), F.window(time, width).alias("w")).agg(F.count("*").alias("events"))
     return found.select(*(by or []), F.col("w.start").alias("window_start"), "events")
+
+
+def write_once(stream: DataFrame, path: str, checkpoint: str, key: str | None = None):
+    """Starts a query whose micro-batches are each written whole to ``path/batch=<id>``, over what a failed try left there.
+
+    A batch that runs again after a failure replaces its own folder, so every row is in the table once. With ``key``,
+    repeats inside a batch are dropped; ``deliveries_once`` drops those across batches.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.dropDuplicates([key]) if key else batch
+        rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
