@@ -16,6 +16,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.functions.redaction import redacted_text
 from tidemark.operators.quality import summary
 from tidemark.plans import constraints
 from tidemark.sources.contract import Contract, ContractError, check_files, check_plan, read_raw, reconcile, row_counts, target_rows
@@ -148,7 +149,7 @@ def full_load(
             run |= {"status": SUCCESS, "tables": {r["dataset"]: r["actual"] for r in checked}}
             store.write("published.json", {"folder": folder, "batch": batch, "tables": sorted(written)})
         except Exception as e:
-            run |= {"status": FAILED, "error": f"{type(e).__name__}: {str(e)[:500]}"}
+            run |= {"status": FAILED, "error": redacted_text(f"{type(e).__name__}: {str(e)[:500]}")}
             raise
         finally:
             store.write(f"state/{batch}.json", {"fingerprint": fingerprint, "status": run.get("status", FAILED)})
