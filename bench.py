@@ -12,7 +12,7 @@ from tidemark.session import session
 HEADLINE = [
     "conversion_horizon", "commercial_transition", "feature_adoption", "locked_feature_signal", "paid_retention_horizon", "product_paid_computed", "rating_snapshot",
     "support_monthly", "support_summary", "website_monthly", "dedup_exact", "dq_contiguity", "dq_overlap", "dq_coverage", "dq_interval_count", "dq_summary",
-    "ml_dataset", "paid_time_clipped", "average_precision", "session_gap",
+    "ml_dataset", "paid_time_clipped", "average_precision", "session_gap", "dq_verdicts",
 ]
 
 
