@@ -31,7 +31,7 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 #: Keys with over one row in HOT, and over FEW rows, are joined by broadcast; there are fewer than HOT of them, whatever the data.
-HOT, FEW = 1000, 256
+HOT, FEW, LINKS = 1000, 256, 1 << 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -62,18 +62,18 @@ def text_batches(spark: SparkSession, rows: int = 256, size: int = 1 << 24) -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-def joined_evenly(rows: DataFrame, labels: DataFrame, on: list[str], n: str, total: int | None = None) -> DataFrame:
+def joined_evenly(rows: DataFrame, labels: DataFrame, on: list[str], n: str, total: int | None = None, few: int = FEW) -> DataFrame:
     """Inner join of rows to labels, whose keys ``on`` are unique and without nulls; ``n`` is the key's number of rows.
 
-    Keys that hold more than one in HOT of all rows (and more than FEW) are fewer than HOT: their labels are broadcast, so that their rows
+    Keys that hold more than one in HOT of all rows (and more than ``few``) are fewer than HOT: their labels are broadcast, so that their rows
     stay where they are. No other key can fill a task. Both tables are read twice and should be cheap to read; ``total``
     is the number of rows, counted from the labels if it is not given.
     """
     if total is None:
         total = labels.agg(F.sum(n)).first()[0] or 0
-    if total <= FEW:
+    if total <= few:
         return rows.join(labels.drop(n), on)
-    most = max(FEW, total / HOT)
+    most = max(few, total / HOT)
     hot = F.broadcast(labels.where(F.col(n) > most).drop(n))
     cold = rows.join(hot.select(*on), on, "left_anti").join(labels.where(F.col(n) <= most).drop(n), on)
     return rows.join(hot, on).unionByName(cold)
@@ -123,10 +123,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_n"))
-        large = joined_evenly(both, least, ["u"], "_n", 2 * state[0]).where("v > u")
+        large = joined_evenly(both, least, ["u"], "_n", 2 * state[0], LINKS).where("v > u")
         large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), label)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
-        small = joined_evenly(large, least, ["u"], "_n", 2 * state[0])
+        small = joined_evenly(large, least, ["u"], "_n", 2 * state[0], LINKS)
         hung = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
         now = written(_edges(hung, F.col("u"), F.col("v")), label)
         if (new := mark(now)) == state:

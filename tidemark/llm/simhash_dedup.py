@@ -184,8 +184,18 @@ def places_fit(n: str, m: str, i: str, j: str, similarity: Fraction) -> Column:
     return F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= least_shared(n, m, similarity)
 
 
-def similar(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, similarity: Fraction) -> DataFrame:
-    """Those of the pairs (u, v) of sets c that have the similarity."""
+def hopeful(pairs: DataFrame, classes: DataFrame, similarity: Fraction) -> DataFrame:
+    """The different pairs (u, v) of sets c, u below v, whose sizes and prefixes allow the similarity."""
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct()
+    heads = classes.select("c", "n", "prefix")
+    pairs = pairs.join(heads.toDF("u", "nu", "x"), "u").join(heads.toDF("v", "nv", "y"), "v").where(lengths_fit("nu", "nv", similarity))
+    # what a set's prefix may miss of the shared shingles is no more than what the set may
+    least = least_shared("nu", "nv", similarity) + F.least(F.size("x") - F.col("nu"), F.size("y") - F.col("nv"))
+    return written(pairs.where(F.size(F.array_intersect("x", "y")) >= least).select("u", "v"), "simhash-pairs")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, similarity: Fraction) -> DataFrame:
+    """Those of the pairs that have the similarity, by their whole sets."""
 
     @F.pandas_udf("c long, hashes array<long>")
     def again(texts: pd.Series) -> pd.DataFrame:
@@ -193,13 +203,7 @@ def similar(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, si
         return pd.DataFrame([(set_hash(x), x.view(np.int64)) for x in sets], columns=["c", "hashes"])
 
     p, q = similarity.numerator, similarity.denominator
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct()
-    heads = classes.select("c", "n", "prefix")
-    pairs = pairs.join(heads.toDF("u", "nu", "x"), "u").join(heads.toDF("v", "nv", "y"), "v").where(lengths_fit("nu", "nv", similarity))
-    # what a set's prefix may miss of the shared shingles is no more than what the set may
-    least = least_shared("nu", "nv", similarity) + F.least(F.size("x") - F.col("nu"), F.size("y") - F.col("nv"))
-    pairs = written(pairs.where(F.size(F.array_intersect("x", "y")) >= least).select("u", "v"), "simhash-pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes, "c").select("t", F.col("c").alias("_c"), "rows")
+    wanted = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct().join(classes, "c").select("t", F.col("c").alias("_c"), "rows")
     texts = joined_evenly(docs.select(F.xxhash64("text").alias("t"), "text"), written(wanted, "simhash-wanted"), ["t"], "rows")
     texts = texts.groupBy("_c").agg(F.first("text").alias("text"))
     sets = written(texts.select("_c", again("text").alias("got")).where("got.c = _c").select("_c", "got.hashes"), "simhash-sets")
@@ -209,6 +213,25 @@ def similar(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, si
     return written(shared.where(enough).select("u", "v"), "simhash-similar")
 
 
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the pairs whose sets are not yet in one component."""
+    at = roots.select(F.col("node").alias("_node"), "root")
+    rooted = pairs.join(at.toDF("_u", "_ru"), F.col("u") == F.col("_u"), "left").join(at.toDF("_v", "_rv"), F.col("v") == F.col("_v"), "left")
+    return rooted.where(F.coalesce("_ru", "u") != F.coalesce("_rv", "v")).select("u", "v")
+
+
+def similar(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, similarity: Fraction) -> DataFrame:
+    """Links (u, v) that connect what the pairs of sets c with the similarity connect, and no others.
+
+    One pair of each set comes first, that with the smallest partner. Other pairs count only where they would connect
+    what is still apart, so that a group of copies costs whole sets in proportion to its members, not to its pairs.
+    """
+    pairs = hopeful(pairs, classes, similarity)
+    first = verified(docs, written(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "simhash-first"), classes, size, similarity)
+    rest = written(apart(pairs, written(components(first, "simhash-links"), "simhash-roots")), "simhash-more")
+    return first.unionByName(verified(docs, rest, classes, size, similarity))
+
+
 def similar_links(docs: DataFrame, classes: DataFrame, size: int, similarity: Fraction) -> DataFrame:
     """(u, v) links among the different sets c that connect all pairs with the similarity, and no others."""
     holders = classes.groupBy("fp").agg(F.min("c").alias("p"))
