@@ -194,19 +194,23 @@ def hopeful(pairs: DataFrame, classes: DataFrame, similarity: Fraction) -> DataF
     return written(pairs.where(F.size(F.array_intersect("x", "y")) >= least).select("u", "v"), "simhash-pairs")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, similarity: Fraction) -> DataFrame:
-    """Those of the pairs that have the similarity, by their whole sets."""
+def whole_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(c, hashes) of the sets that occur in pairs; each from one text, which is the only time that texts are moved for it."""
 
     @F.pandas_udf("c long, hashes array<long>")
     def again(texts: pd.Series) -> pd.DataFrame:
         sets = [np.unique(shingles(t, size)) for t in texts]
         return pd.DataFrame([(set_hash(x), x.view(np.int64)) for x in sets], columns=["c", "hashes"])
 
-    p, q = similarity.numerator, similarity.denominator
     wanted = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct().join(classes, "c").select("t", F.col("c").alias("_c"), "rows")
     texts = joined_evenly(docs.select(F.xxhash64("text").alias("t"), "text"), written(wanted, "simhash-wanted"), ["t"], "rows")
     texts = texts.groupBy("_c").agg(F.first("text").alias("text"))
-    sets = written(texts.select("_c", again("text").alias("got")).where("got.c = _c").select("_c", "got.hashes"), "simhash-sets")
+    return written(texts.select("_c", again("text").alias("got")).where("got.c = _c").select(F.col("_c").alias("c"), "got.hashes"), "simhash-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """Those of the pairs that have the similarity, by their whole sets."""
+    p, q = similarity.numerator, similarity.denominator
     both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
     shared = both.withColumn("_n", F.size(F.array_intersect("x", "y")).cast("long"))
     enough = (p + q) * F.col("_n") >= p * (F.size("x").cast("long") + F.size("y"))
@@ -227,9 +231,10 @@ def similar(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, si
     what is still apart, so that a group of copies costs whole sets in proportion to its members, not to its pairs.
     """
     pairs = hopeful(pairs, classes, similarity)
-    first = verified(docs, written(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "simhash-first"), classes, size, similarity)
-    rest = written(apart(pairs, written(components(first, "simhash-links"), "simhash-roots")), "simhash-more")
-    return first.unionByName(verified(docs, rest, classes, size, similarity))
+    sets = whole_sets(docs, pairs, classes, size)
+    first = verified(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), sets, similarity)
+    rest = apart(pairs, written(components(first, "simhash-links"), "simhash-roots"))
+    return first.unionByName(verified(rest, sets, similarity))
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, size: int, similarity: Fraction) -> DataFrame:
