@@ -7,9 +7,11 @@ result or differ from an input in case only, neither disturb it nor reach its re
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,13 +37,13 @@ HOT, FEW, LINKS = 1000, 256, 1 << 16
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset a local session makes one; a cluster's raises ValueError."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir. Where that is unset a local session makes one, as in tests; a cluster's raises ValueError."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
@@ -62,6 +64,19 @@ def text_batches(spark: SparkSession, rows: int = 256, size: int = 1 << 24) -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 256, size: int = 1 << 24) -> Iterator[None]:
+    """As ``text_batches``, for results that are computed inside the block; puts the session's options back."""
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    old = [spark.conf.get(n) for n in names]
+    text_batches(spark, rows, size)
+    try:
+        yield
+    finally:
+        for n, v in zip(names, old):
+            spark.conf.set(n, v)
+
+
 def joined_evenly(rows: DataFrame, labels: DataFrame, on: list[str], n: str, total: int | None = None, few: int = FEW) -> DataFrame:
     """Inner join of rows to labels, whose keys ``on`` are unique and without nulls; ``n`` is the key's number of rows.
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, embedding_dedup, language_id, license_scan, line_dedup
-from tidemark.llm import mixing, sharding, simhash_dedup, token_counts, token_output
+from tidemark.llm import decontamination, embedding_dedup, language_id, lexical_search, license_scan, line_dedup
+from tidemark.llm import mixing, prefix_trie, sharding, simhash_dedup, token_counts, token_output, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.op8,
         "op9_decontamination": decontamination.op9,
         "op10_simhash_dedup": simhash_dedup.op10,
+        "op11_lexical_search": lexical_search.op11,
+        "op12_prefix_trie": prefix_trie.op12,
+        "op13_vector_search": vector_search.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op2_embedding_dedup": embedding_dedup.OP2_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
+    return {
+        "op1_mixing": mixing.OP1_SQL, "op2_embedding_dedup": embedding_dedup.OP2_SQL, "op8_line_dedup": line_dedup.OP8_SQL,
+        "op11_lexical_search": lexical_search.OP11_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL, "op13_vector_search": vector_search.OP13_SQL,
+    }
