@@ -12,25 +12,41 @@ summed together, which gives the same result for any number of items and terms.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pick, shared_folder, table, written
+from tidemark.llm.common import arrow_batches, pick, shared_folder, table, written
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BUCKETS, ENTRIES, TOP = 16, 1 << 17, 10
+#: Of the 128 ASCII bytes digits and letters stay, A-Z as a-z, and the others become spaces; bytes of other letters stay.
+FOLD = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
 
-def terms(text: str) -> Column:
-    """All terms of a text, in their own case."""
-    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+def counted(df: DataFrame) -> DataFrame:
+    """row, id, n, term, tf: a row for each distinct term of each text of ``df``, which has row, id and text.
 
+    n is the text's number of terms with repeats, tf the number of those equal to term. Null texts have no terms.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [(t or b"").translate(FOLD).split() for t in batch["text"].view(pa.binary()).to_pylist()]
+            counts = [Counter(w) for w in words]
+            sizes = [len(c) for c in counts]
+            of = np.repeat(np.arange(len(words)), sizes)
+            terms = pa.array([t for c in counts for t in c], pa.binary()).view(pa.string())
+            tf = np.fromiter((n for c in counts for n in c.values()), np.int64, len(of))
+            n = np.repeat(np.fromiter(map(len, words), np.int64, len(words)), sizes)
+            yield pa.RecordBatch.from_arrays([batch["row"].take(pa.array(of)), batch["id"].take(pa.array(of)), pa.array(n), terms, pa.array(tf)], ["row", "id", "n", "term", "tf"])
 
-def folded(term: str) -> Column:
-    """A-Z as a-z; other letters stay as they are."""
-    return F.when(F.octet_length(term) == F.length(term), F.lower(term)).otherwise(F.translate(term, UPPER, LOWER))
+    return df.select("row", "id", "text").mapInArrow(count, f"row long, id {df.schema['id'].dataType.simpleString()}, n long, term string, tf long")
 
 
 def bucket(buckets: int) -> Column:
@@ -41,24 +57,23 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     """The index: row, id, n, term, tf, bucket. row is a document's number, n its terms with repeats, tf those equal to term.
 
     Null texts, and texts without terms, have no row. Each input row is a document of its own, also where ids repeat or
-    are null. Texts are shuffled once, by row number; counting and writing follow in place.
+    are null. Texts are shuffled once, by row number; they are counted and written where they then are.
     """
     spark = docs.sparkSession
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = pick(docs, id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id()).where("text is not null")
-    words = base.repartition(files, "row").select("row", "id", terms("text").alias("words"))
-    each = words.select("row", "id", F.size("words").cast("long").alias("n"), F.explode("words").alias("term"))
-    counted = each.withColumn("term", folded("term")).groupBy("row", "id", "n", "term").agg(F.count("*").alias("tf"))
     name = f"postings_{uuid.uuid4().hex}"
-    out = counted.withColumn("bucket", bucket(buckets)).write.format("parquet").partitionBy("bucket").bucketBy(files, "row").sortBy("term")
-    out.option("path", f"{shared_folder(spark)}/tidemark/{name}").saveAsTable(name)
+    with arrow_batches(spark):
+        out = counted(base.repartition(files, "row")).withColumn("bucket", bucket(buckets)).write.format("parquet").partitionBy("bucket")
+        out.bucketBy(files, "row").sortBy("term").option("path", f"{shared_folder(spark)}/tidemark/{name}").saveAsTable(name)
     return spark.table(name)
 
 
 def wanted(items: DataFrame, id_col: str = "item_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """item, term, times, bucket, one row for each distinct term of each item."""
-    words = pick(items, item=id_col, text=text_col).select("item", F.explode(terms("text")).alias("term"))
-    return words.withColumn("term", folded("term")).groupBy("item", "term").agg(F.count("*").alias("times")).withColumn("bucket", bucket(buckets))
+    """item, term, times, bucket, one row for each distinct term of each item, as a table."""
+    words = counted(pick(items, id=id_col, text=text_col).withColumn("row", F.lit(0).cast("long")))
+    with arrow_batches(items.sparkSession):
+        return written(words.groupBy(F.col("id").alias("item"), "term").agg(F.sum("tf").alias("times")).withColumn("bucket", bucket(buckets)), "search-terms")
 
 
 def search(index: DataFrame, items: DataFrame, k: int = TOP, id_col: str = "item_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
@@ -68,7 +83,7 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP, id_col: str = "item
     Equal scores stand by ascending id, nulls last, and rows of equal id each have a rank. Without documents, or without
     items, the result is empty.
     """
-    asked = written(wanted(items, id_col, text_col, buckets), "search-terms")
+    asked = wanted(items, id_col, text_col, buckets)
     parts = -(-asked.count() // ENTRIES)
     docs, length = index.groupBy("row").agg(F.first("n").alias("n")).agg(F.count("*"), F.sum("n")).first()
     if not parts or not docs:
