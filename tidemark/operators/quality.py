@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import active_at, contained_in
-from tidemark.operators.temporal import during
+from tidemark.operators.intervals import steps
+from tidemark.operators.ranges import LEAST, PARTS, running
 
 FOREVER = "9999-12-31 00:00:00"
 
@@ -29,15 +30,17 @@ def overlap(periods: DataFrame, key: str, order: list[str], start: str = "valid_
     return periods.withColumn("latest_end", latest).where(F.col(start) < F.col("latest_end")).drop("latest_end")
 
 
-def coverage(outer: DataFrame, inner: DataFrame, key: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
+def coverage(outer: DataFrame, inner: DataFrame, key: str, start: str = "valid_from", end: str = "valid_to", parts: int = PARTS, least: int = LEAST) -> DataFrame:
     """(key, at): boundary points at which an outer period is active and no inner period of the key is.
 
-    Between two neighbouring boundary points nothing changes, so testing the points tests all instants.
+    Between two neighbouring boundary points nothing changes, so testing the points tests all instants. Both sides are
+    swept together: each point's running numbers of active outer and inner periods decide.
     """
-    points = [df.select(key, F.col(c).alias("at")).where("at is not null") for df, c in ((outer, start), (inner, start), (inner, end))]
-    points = points[0].union(points[1]).union(points[2]).distinct()
-    needed = during(points, outer.select(key, start, end), [key], time="at", start=start, end=end, how="left_semi")
-    return during(needed, inner.select(key, start, end), [key], time="at", start=start, end=end, how="left_anti")
+    edges = steps(outer, [key], start, end, "outer").select(key, "at", "outer", F.lit(0).alias("inner"), F.col("begins").alias("point"))
+    edges = edges.unionAll(steps(inner, [key], start, end, "inner").select(key, "at", F.lit(0), "inner", F.lit(True)))
+    changes = edges.groupBy(key, "at").agg(F.sum("outer").alias("outer"), F.sum("inner").alias("inner"), F.bool_or("point").alias("point"))
+    swept = running(changes, [key], "at", ["outer", "inner"], parts, least, outer.select(key).unionAll(inner.select(key)))
+    return swept.where("point and outer_so_far > 0 and inner_so_far = 0").select(key, "at")
 
 
 def containment(child: DataFrame, parent: DataFrame, on: list[str], start: str = "valid_from", end: str = "valid_to") -> DataFrame:

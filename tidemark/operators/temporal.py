@@ -45,12 +45,53 @@ def during(
 
 
 def overlapping(
-    left: DataFrame, right: DataFrame, on: list[str], start: str = "valid_from", end: str = "valid_to",
+    left: DataFrame, right: DataFrame, on: list[str], start: str = "valid_from", end: str = "valid_to", width: str | None = None,
 ) -> DataFrame:
-    """Pairs of periods with equal keys that share an instant; the right side's columns get the prefix ``other_``."""
+    """Pairs of periods with equal keys that share an instant; the right side's columns get the prefix ``other_``.
+
+    Both sides are cut into bins of time and joined on key and bin, so that a key of few values is dealt out over as many
+    tasks as it has bins. A pair counts in the bin of its later start alone. ``width`` is an interval's text; by default
+    it is the median length of the closed periods, or the MOST_BINS-th part of the time between the first and the last start
+    if that is longer, so that no period, open or long, is repeated more often than MOST_BINS times.
+    """
     other = right.withColumnsRenamed({c: f"other_{c}" for c in right.columns})
-    same = [F.col(c) == F.col(f"other_{c}") for c in on]
-    return left.join(other, [*same, overlaps(F.col(start), F.col(end), F.col(f"other_{start}"), F.col(f"other_{end}"))])
+    bounds = _bin_bounds(left, right, start, end, width)
+    mine, others = _binned(left, bounds, start, end, ""), _binned(other, bounds, f"other_{start}", f"other_{end}", "other")
+    same = [F.col(c) == F.col(f"other_{c}") for c in on] + [F.col("_bin") == F.col("_otherbin"), F.col("_bin") == F.greatest("_first", "_otherfirst")]
+    found = mine.join(others, [*same, overlaps(F.col(start), F.col(end), F.col(f"other_{start}"), F.col(f"other_{end}"))])
+    return found.drop("_bin", "_first", "_otherbin", "_otherfirst")
+
+
+MOST_BINS, EPOCH = 256, "1970-01-01 00:00:00"
+
+
+def _micros(t: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), t)
+
+
+def _bin_bounds(left: DataFrame, right: DataFrame, start: str, end: str, width: str | None) -> Column:
+    """A struct of the first start, the last start and the width of the bins, in microseconds, as a scalar subquery."""
+    both = left.select(_micros(F.col(start)).alias("a"), _micros(F.col(end)).alias("b"))
+    both = both.unionAll(right.select(_micros(F.col(start)), _micros(F.col(end))))
+    usual = F.percentile_approx(F.when(F.col("b") > F.col("a"), F.col("b") - F.col("a")), 0.5)
+    first, last = F.min("a"), F.max("a")
+    measured = F.greatest(usual, F.ceil((last - first + 1) / F.lit(MOST_BINS)).cast("long"), F.lit(1))
+    if width:
+        epoch = F.lit(EPOCH).cast("timestamp_ntz")
+        measured = _micros(epoch + F.expr(f"INTERVAL {width}"))
+    return both.agg(F.struct(first.alias("first"), last.alias("last"), measured.alias("width"))).scalar()
+
+
+def _binned(periods: DataFrame, bounds: Column, start: str, end: str, tag: str) -> DataFrame:
+    """A row for each bin in which the period is active, up to the last bin that has a start; ``_first`` is its first bin."""
+    rows = periods.where(F.col(start).isNotNull()).withColumn("_b", bounds)
+
+    def place(t: Column) -> Column:
+        return F.floor((t - F.col("_b.first")) / F.col("_b.width")).cast("long")
+
+    first, last = place(_micros(F.col(start))), place(F.least(F.coalesce(_micros(F.col(end)) - 1, F.col("_b.last")), F.col("_b.last")))
+    rows = rows.withColumns({f"_{tag}first": first, "_l": last})
+    return rows.withColumn(f"_{tag}bin", F.explode(F.sequence(f"_{tag}first", F.greatest(f"_{tag}first", "_l")))).drop("_b", "_l")
 
 
 def periods_of(events: DataFrame, key: str, time: str, order: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import deliveries, quality
+from tidemark.operators.intervals import as_of, coverage_depth, merged_periods
 from tidemark.operators.percentiles import exact_percentiles
 from tidemark.operators.temporal import boundaries, first_row, periods_of
 from tidemark.plans import retention_model as model
@@ -334,6 +335,41 @@ def _(t: TestTables) -> DataFrame:
     return deliveries.once(rows.union(rows.where("event_type = 'error'")), "event_id")
 
 
+# ---------------------------------------------------------------- sweeps and as-of lookups
+
+
+@query("as_of_plan", """SELECT event_id, e.account_id, event_time, CASE WHEN p.valid_to IS NULL OR event_time < p.valid_to THEN plan_id END AS plan_id
+FROM product_behaviour_event e ASOF LEFT JOIN subscription_plan_period p ON e.account_id = p.account_id AND e.event_time >= p.valid_from""")
+def _(t: TestTables) -> DataFrame:
+    events = t["product_behaviour_event"].select("event_id", "account_id", "event_time")
+    return as_of(events, t["subscription_plan_period"], ["account_id"], ["plan_id"], until="valid_to")
+
+
+@query("as_of_plan_change", """, latest AS (SELECT plan_id, valid_from, max(account_id) AS last_joined FROM subscription_plan_period GROUP BY ALL)
+SELECT event_id, plan, event_time, last_joined FROM (SELECT *, CASE WHEN event_type = 'feature_used' THEN 'P1' ELSE 'P3' END AS plan FROM product_behaviour_event) e
+ASOF LEFT JOIN latest ON plan = plan_id AND event_time >= valid_from""")
+def _(t: TestTables) -> DataFrame:
+    plan = F.when(F.col("event_type") == "feature_used", "P1").otherwise("P3").alias("plan")
+    joined = t["subscription_plan_period"].select(F.col("plan_id").alias("plan"), F.col("account_id").alias("last_joined"), "valid_from")
+    return as_of(t["product_behaviour_event"].select("event_id", plan, "event_time"), joined, ["plan"], ["last_joined"], order=["last_joined"])
+
+
+@query("coverage_depth", """, points AS (SELECT plan_id, valid_from AS "at", 1 AS step FROM subscription_plan_period UNION ALL SELECT plan_id, valid_to, -1 FROM subscription_plan_period WHERE valid_to IS NOT NULL)
+, depths AS (SELECT plan_id, "at", sum(sum(step)) OVER (PARTITION BY plan_id ORDER BY "at") AS depth FROM points GROUP BY 1, 2)
+, changes AS (SELECT *, lag(depth) OVER (PARTITION BY plan_id ORDER BY "at") AS before FROM depths)
+SELECT * FROM (SELECT plan_id, "at" AS valid_from, lead("at") OVER (PARTITION BY plan_id ORDER BY "at") AS valid_to, depth::BIGINT AS depth FROM changes WHERE depth IS DISTINCT FROM coalesce(before, 0)) WHERE depth > 0""")
+def _(t: TestTables) -> DataFrame:
+    return coverage_depth(t["subscription_plan_period"], ["plan_id"])
+
+
+@query("merged_periods", """
+, ends AS (SELECT *, max(coalesce(valid_to, TIMESTAMP '9999-12-31')) OVER (PARTITION BY website_id ORDER BY valid_from, valid_to NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM website_live_period)
+, islands AS (SELECT *, sum(CASE WHEN valid_from <= m THEN 0 ELSE 1 END) OVER (PARTITION BY website_id ORDER BY valid_from, valid_to NULLS FIRST ROWS UNBOUNDED PRECEDING) AS island FROM ends)
+SELECT website_id, min(valid_from) AS valid_from, CASE WHEN bool_or(valid_to IS NULL) THEN NULL ELSE max(valid_to) END AS valid_to FROM islands GROUP BY website_id, island""")
+def _(t: TestTables) -> DataFrame:
+    return merged_periods(t["website_live_period"], ["website_id"])
+
+
 # ---------------------------------------------------------------- data quality templates
 
 GAPPED = ", gapped AS (SELECT * FROM subscription_plan_period WHERE plan_id <> 'P2')"
