@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import active_at, contained_in, live_at, local_month, month_end_snapshot, overlaps
 from tidemark.operators import deliveries, quality
-from tidemark.operators.percentiles import exact_percentiles
+from tidemark.operators.percentiles import exact_percentiles, ranked
 from tidemark.plans import retention_model, serving
 from tidemark.streaming import windows
 
@@ -142,3 +142,25 @@ def test_ranking_metrics_with_ties(spark):
     assert tuple(retention_model.precision_at(s, 2, "id").first()) == (2, 1, 50.0, 50.0)
     c = retention_model.confusion(s, [0.5]).first()
     assert (c["tp"], c["fp"], c["fn"], c["tn"], c["recall_0"]) == (2, 1, 0, 1, 0.5)
+
+
+def test_percentiles_and_counts_of_crowded_values(spark):
+    draw = random.Random(4)
+    rows = [("a", draw.choice([None, 5 + draw.random() * 1e-6])) for _ in range(3000)] + [("none", None)] * 3
+    got = exact_percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"p": 0.5}, "rows", "known", "mean").orderBy("g").collect()
+    v = sorted(x for _, x in rows if x is not None)
+    middle = (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+    assert tuple(got[0])[2:4] == (3000, len(v)) and got[0]["p"] == pytest.approx(middle, abs=1e-15) and got[0]["mean"] == pytest.approx(sum(v) / len(v))
+    assert tuple(got[1]) == ("none", None, 3, 0, None)
+    counts = spark.createDataFrame([(0, x, 1) for x in v], "_all int, s double, n int")
+    plan = ranked(counts, ["_all"], "s", ["n"]).select("s", "n_before").collect()
+    assert {r["s"]: r["n_before"] for r in plan} == {x: i for i, x in enumerate(v)}
+
+
+def test_average_precision_of_a_rare_class_with_tiny_scores(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice([0, 0, 0, 1]), draw.random() * 1e-9) for _ in range(500)]
+    ordered = sorted(rows, key=lambda r: -r[1])
+    hits = [sum(r[0] for r in ordered[: i + 1]) / (i + 1) for i, r in enumerate(ordered) if r[0]]
+    got = retention_model.average_precision(spark.createDataFrame(rows, "label int, score double")).first()
+    assert tuple(got) == (len(hits), 500, round(sum(hits) / len(hits), 6))

@@ -21,15 +21,21 @@ def bounds(df: DataFrame, value: str, parts: int = PARTS) -> list:
     return sorted(set(found or []))
 
 
+def bounds_within(df: DataFrame, value: str, parts: int = PARTS) -> Column:
+    """As ``bounds``, as an array of ``parts`` - 1 numbers that the plan itself finds first, by a scalar subquery."""
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    return df.agg(F.percentile_approx(_number(df, value), shares, ACCURACY)).scalar()
+
+
 def place(df: DataFrame, value: str, cuts: list) -> Column:
-    """The number of bounds up to the value, by bisection; 0 for null."""
+    """The number of bounds (numbers or columns, rising) up to the value, by bisection; 0 for null."""
     v = _number(df, value)
 
     def among(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        return F.when(v < F.lit(cuts[middle]), among(low, middle)).otherwise(among(middle + 1, high))
+        return F.when(v < cuts[middle], among(low, middle)).otherwise(among(middle + 1, high))
 
     return F.when(v.isNull(), 0).otherwise(among(0, len(cuts)))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import active_at, add_months, at, live_at, quarter_start, seconds_between
+from tidemark.operators.percentiles import ranked
 from tidemark.operators.temporal import clipped_seconds
 from tidemark.plans.serving import FREE, PAID, Tables, closures, plan_periods
 
@@ -144,20 +145,14 @@ def score(model, rows: DataFrame) -> DataFrame:
 def average_precision(scored: DataFrame, label: str = "label", value: str = "score") -> DataFrame:
     """One row (positives, rows, average_precision): precision at each distinct score weighted by the recall gained.
 
-    Equal scores are counted first, so the ordered part has one row for each distinct score; those are summed in
-    score ranges by a prefix scan, never in one task.
+    Equal scores are counted first, so the ordered part has one row for each distinct score; those are ranked in buckets
+    whose bounds come from the scores, never in one task.
     """
     known = scored.where(F.col(label).isNotNull() & F.col(value).isNotNull())
-    steps = known.groupBy(F.col(value).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    steps = steps.withColumn("b", F.floor(F.col("s") * 4096).cast("long"))
-    above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each of some thousand ranges
-    ranges = steps.groupBy("b").agg(F.sum("n").alias("rn"), F.sum("p").alias("rp"))
-    every = Window.partitionBy(F.lit(1))
-    ranges = ranges.select("b", F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("p0"), F.sum("rp").over(every).alias("all_p"), F.sum("rn").over(every).alias("all_n"))
-    inside = Window.partitionBy("b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = steps.join(ranges, "b").withColumns({"tn": F.sum("n").over(inside) + F.col("n0"), "tp": F.sum("p").over(inside) + F.col("p0")})
-    gain = F.col("tp") / F.col("tn") * F.col("p") / F.nullif(F.col("all_p"), F.lit(0))
-    return curve.agg(F.max("all_p").alias("positives"), F.max("all_n").alias("rows"), F.round(F.sum(gain), 6).alias("average_precision"))
+    steps = known.groupBy(F.col(value).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p")).withColumn("_all", F.lit(0))
+    curve = ranked(steps, ["_all"], "s", ["n", "p"], falling=True)
+    gain = (F.col("p_before") + F.col("p")) / (F.col("n_before") + F.col("n")) * F.col("p") / F.nullif(F.col("p_of"), F.lit(0))
+    return curve.agg(F.max("p_of").alias("positives"), F.max("n_of").alias("rows"), F.round(F.sum(gain), 6).alias("average_precision"))
 
 
 def precision_at(scored: DataFrame, k: int, key: str, label: str = "label", value: str = "score") -> DataFrame:

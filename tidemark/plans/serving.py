@@ -277,10 +277,9 @@ def website_monthly(
     sessions = t["audience_session"].select("session_id").join(ends.where("starts = 1 and started_at is not null"), "session_id")
     whole = (F.col("ends") == 1) & (F.col("ended_at") >= F.col("started_at"))
     sessions = sessions.select(local_month(F.col("started_at"), zone).alias("month_start"), F.when(whole, seconds_between(F.col("started_at"), F.col("ended_at"))).alias("seconds"))
-    by_month = sessions.groupBy("month_start").agg(F.count("*").alias("sessions"), F.count("seconds").alias("valid_duration_sessions"), F.round(F.avg("seconds") / 60, 2).alias("avg_session_minutes"))
     levels = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p95": 0.95}
-    spread = exact_percentiles(sessions, ["month_start"], "seconds", levels).select("month_start", *[F.round(F.col(k) / 60, 2).alias(f"{k}_session_minutes") for k in levels])
-    by_month = by_month.join(spread, "month_start", "left")
+    spread = exact_percentiles(sessions, ["month_start"], "seconds", levels, "sessions", "valid_duration_sessions", "avg")
+    by_month = spread.select("month_start", "sessions", "valid_duration_sessions", *[F.round(F.col(k) / 60, 2).alias(f"{k}_session_minutes") for k in (*levels, "avg")])
 
     names = {"page_viewed": "page_views", "form_submitted": "forms_submitted", "failure_friction": "friction_events"}
     acts = t["audience_interaction_event"].groupBy(local_month(time, zone).alias("month_start")).agg(*[F.count_if(kind == k).alias(v) for k, v in names.items()])
