@@ -140,3 +140,60 @@ def test_decide_conflicts():
     for state in ({"fingerprint": "g", "status": "FAILED"}, {"fingerprint": "f", "status": "PROCESSING"}):
         with pytest.raises(load.BatchConflict):
             load.decide(state, "f")
+
+
+def test_counters_come_with_the_record(spark, tmp_path):
+    made, root = c.load_contract(package(tmp_path)), str(tmp_path / "out")
+    load.full_load(spark, made, root, "b1", duplicates={"event": 1})
+    r = load.runs(spark, root).first()
+    assert (r.raw_records_scanned, r.rows_loaded, r.duplicates_skipped, r.datasets_processed, r.transaction_outcome) == (6, 5, 1, 4, "COMMIT")
+    assert r.counters["event"].asDict() == {"raw": 2, "emitted": 1, "duplicates": 1} and r.duration_ms > 0 and r.failure_stage is None
+
+
+def test_failed_stage_is_recorded(spark, tmp_path):
+    made, root = c.load_contract(package(tmp_path)), str(tmp_path / "out")
+    with pytest.raises(c.ContractError):
+        load.full_load(spark, made, root, "b1")
+    r = load.runs(spark, root).first()
+    assert (r.failure_stage, r.error_type, r.transaction_outcome, r.raw_records_scanned) == ("reconcile", "ContractError", "ROLLBACK", 6)
+
+
+def test_only_one_run_takes_an_expired_lock_and_none_frees_anothers(spark, tmp_path):
+    store, old = load.Store(spark, str(tmp_path)), (datetime.now(timezone.utc) - timedelta(days=2)).isoformat()
+    store.write("state/b.lock", {"at": old, "owner": "r0"})
+    load._lock(store, "b", "r1")
+    with pytest.raises(load.BatchConflict, match="r1"):
+        load._lock(store, "b", "r2")
+    with pytest.raises(load.BatchConflict, match="passed"):
+        load._renew(store, "b", "r2")
+    load._renew(store, "b", "r1")
+    assert load._owned(store, "b", "r1") and not load._owned(store, "b", "r2")
+
+
+def test_bad_lines_are_named_by_file_and_line(spark, tmp_path):
+    made = c.load_contract(package(tmp_path))
+    good = json.dumps({"event_id": "e", "event_type": "x" * 50, "event_time": "2024-01-01T00:00:00Z"})
+    lines = [good if i % 97 else "" for i in range(3000)]
+    lines[7], lines[1234], lines[2999] = "[1]", '{"event_id": 1}', '{"event_id": '
+    (tmp_path / "e.jsonl").write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        found = c.bad_lines(spark, made["event"], made.root)
+        assert sorted(r["line"] for r in found.collect()) == [8, 1235, 3000]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    raw = json.loads((tmp_path / "contract.json").read_text())
+    raw["datasets"][3]["sha256"] = hashlib.sha256((tmp_path / "e.jsonl").read_bytes()).hexdigest()
+    (tmp_path / "contract.json").write_text(json.dumps(raw))
+    refused(spark, c.load_contract(str(tmp_path / "contract.json")), str(tmp_path / "out"), r"'e.jsonl', 8.*'e.jsonl', 1235")
+
+
+def test_large_files_are_digested_in_pieces(spark, tmp_path):
+    path = tmp_path / "large"
+    with path.open("wb") as f:
+        f.truncate(3 << 30)
+    sha = hashlib.sha256()
+    for _ in range(3 << 6):
+        sha.update(bytes(1 << 24))
+    assert tuple(c.file_digests(spark, [f"file:{path}"]).first()) == (f"file:{path}", sha.hexdigest(), 3 << 30)

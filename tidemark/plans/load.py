@@ -12,14 +12,16 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions.redaction import redacted_text
 from tidemark.operators.quality import summary
 from tidemark.plans import constraints
-from tidemark.sources.contract import Contract, ContractError, check_files, check_plan, read_raw, reconcile, row_counts, target_rows
+from tidemark.sources.contract import Contract, ContractError, Dataset, bad_lines, check_files, check_plan, read_raw, reconcile, row_counts, target_rows
 
 PROCESS, SKIP = "PROCESS", "SKIP"
 PROCESSING, SUCCESS, FAILED = "PROCESSING", "SUCCESS", "FAILED"
@@ -75,6 +77,10 @@ class Store:
             options[0] = option.OVERWRITE
             context.rename(path, target, options)
 
+    def move(self, name: str, to: str) -> bool:
+        """False if the file is gone or the other name is taken."""
+        return bool(self.fs.rename(self._path(name), self._path(to)))
+
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), False)
 
@@ -93,30 +99,63 @@ def needs_of(contract: Contract) -> dict[int, tuple[int, ...]]:
 
 
 def _lock(store: Store, batch: str, run: str) -> None:
-    """Takes the batch's lock, also one older than EXPIRY."""
+    """Takes the batch's lock, also one older than EXPIRY.
+
+    An expired lock is moved aside, which only one of several processes can do; who finds that it has moved another's fresh lock
+    puts it back.
+    """
     name = f"state/{batch}.lock"
     held = store.read(name)
     if held and datetime.now(timezone.utc) - datetime.fromisoformat(held["at"]) > EXPIRY:
-        store.delete(name)
+        aside = f"state/{batch}.expired-{run}"
+        if store.move(name, aside) and store.read(aside) != held:
+            store.move(aside, name)
     try:
         store.write(name, {"at": _now(), "owner": run}, new=True)
     except Exception as e:
-        raise BatchConflict(f"the batch is being processed by {(held or {}).get('owner')}") from e
+        raise BatchConflict(f"the batch is being processed by {(store.read(name) or {}).get('owner')}") from e
+
+
+def _owned(store: Store, batch: str, run: str) -> bool:
+    return (store.read(f"state/{batch}.lock") or {}).get("owner") == run
+
+
+def _renew(store: Store, batch: str, run: str) -> None:
+    """Sets the lock's time anew; BatchConflict if it has passed to another run."""
+    if not _owned(store, batch, run):
+        raise BatchConflict("the batch's lock has passed to another run")
+    store.write(f"state/{batch}.lock", {"at": _now(), "owner": run})
+
+
+def _write(spark: SparkSession, d: Dataset, source: str, path: str, nullable: frozenset[str]) -> tuple[DataFrame, dict]:
+    """Writes one dataset; returns its table and the counters of the writing job: rows read, written and left out as repeats."""
+    read, emitted = Observation(), Observation()
+    raw = read_raw(spark, d, source).observe(read, F.count(F.lit(1)).alias("n"))
+    rows = target_rows(raw, d, nullable).observe(emitted, F.count(F.lit(1)).alias("n"))
+    try:
+        rows.write.mode("errorifexists").parquet(path)
+    except Exception as e:
+        if d.format == "jsonl" and (bad := bad_lines(spark, d, source).orderBy("file", "line").limit(5).collect()):
+            raise ContractError(f"{d.name}: not an object with the contract's fields: {[(r['file'].rpartition('/')[2], r['line']) for r in bad]}") from e
+        raise
+    counts = {"raw": read.get["n"], "emitted": emitted.get["n"]}
+    return spark.read.schema(rows.schema).parquet(path), counts | {"duplicates": counts["raw"] - counts["emitted"]}
 
 
 def full_load(
     spark: SparkSession, contract: Contract, root: str, batch: str, nullable: Mapping[str, frozenset[str]] | None = None,
-    duplicates: Mapping[str, int] | None = None, replace: bool = False,
+    duplicates: Mapping[str, int] | None = None, replace: bool = False, at_once: int = 4,
 ) -> dict:
     """Loads all datasets of the contract and publishes them together; returns the run's record.
 
     Before anything is read, files must exist and have the contract's digests. Datasets are written in the order of
-    their references. Before anything is published, row counts must be the contract's less the known exact duplicates
-    (``duplicates`` by dataset), and all references must have owners. A root that shows another batch is refused unless
-    ``replace``. The record of each attempt is kept under ``runs/``.
+    their references, ``at_once`` of those that do not refer to each other at a time. Before anything is published, the rows read, counted
+    by the writing job itself, must be the contract's, those left out as exact repeats the known ones (``duplicates``
+    by dataset), and all references must have owners. Where a counter does not agree, which a task that ran twice can cause, the
+    table is counted before the load is refused. A root that shows another batch is refused unless ``replace``. The record of each attempt is kept under ``runs/``.
     """
     store, fingerprint = Store(spark, root), contract.fingerprint()
-    run = {"run": uuid.uuid4().hex, "batch": batch, "fingerprint": fingerprint, "started_at": _now()}
+    run = {"run": uuid.uuid4().hex, "batch": batch, "fingerprint": fingerprint, "mode": "full", "started_at": _now(), "datasets_expected": len(contract.datasets)}
     _lock(store, batch, run["run"])
     try:
         state = store.read(f"state/{batch}.json")
@@ -129,40 +168,65 @@ def full_load(
             raise BatchConflict(f"the target is not empty: it shows batch {shown['batch']}")
         store.write(f"state/{batch}.json", {"fingerprint": fingerprint, "status": PROCESSING})
         folder = f"batches/{batch}-{run['run']}"
+        counters: dict[str, dict] = {}
+        stage = "files"
         try:
             check_files(spark, contract)
             by_number = {d.number: d for d in contract.datasets}
             written = {}
-            for d in (by_number[n] for group in check_plan(contract, needs_of(contract)) for n in group):
-                rows = target_rows(read_raw(spark, d, contract.root), d, (nullable or {}).get(d.name, frozenset({"valid_to"})))
-                path = f"{store.root}/{folder}/{d.name}"
-                rows.write.mode("errorifexists").parquet(path)
-                written[d.name] = spark.read.schema(rows.schema).parquet(path)
+            for group in check_plan(contract, needs_of(contract)):
+                stage = "write"
+                with ThreadPoolExecutor(at_once) as pool:
+                    made = {by_number[n].name: pool.submit(_write, spark, by_number[n], contract.root, f"{store.root}/{folder}/{by_number[n].name}", (nullable or {}).get(by_number[n].name, frozenset({"valid_to"}))) for n in group}
+                for name, future in made.items():
+                    written[name], counters[name] = future.result()
+                _renew(store, batch, run["run"])
+            stage = "reconcile"
             expected = {d.name: d.rows - (duplicates or {}).get(d.name, 0) for d in contract.datasets}
-            checked = reconcile(row_counts(written), expected).collect()  # one row for each dataset
-            if wrong := [r.asDict() for r in checked if r["status"] != "PASS"]:
-                raise ContractError(f"row counts differ: {wrong}")
+            odd = [d.name for d in contract.datasets if (counters[d.name]["raw"], counters[d.name]["emitted"]) != (d.rows, expected[d.name])]
+            if odd:
+                checked = reconcile(row_counts({n: written[n] for n in odd}), {n: expected[n] for n in odd}).collect()  # one row for each dataset
+                if wrong := [r.asDict() | {"raw": counters[r["dataset"]]["raw"]} for r in checked if r["status"] != "PASS"]:
+                    raise ContractError(f"row counts differ: {wrong}")
+                for d in (d for d in contract.datasets if d.name in odd):
+                    counters[d.name] = {"raw": d.rows, "emitted": expected[d.name], "duplicates": d.rows - expected[d.name]}
+            stage = "references"
             if keys := constraints.foreign_keys(written):
                 orphans = summary(keys).where("violations > 0").collect()  # one row for each reference
                 if orphans:
                     raise ContractError(f"references without an owner: {[(r['rule'], r['violations']) for r in orphans]}")
-            run |= {"status": SUCCESS, "tables": {r["dataset"]: r["actual"] for r in checked}}
+            stage = "publish"
+            _renew(store, batch, run["run"])
+            run |= {"tables": {n: c["emitted"] for n, c in counters.items()}, "target_tables_reconciled": len(written)}
             store.write("published.json", {"folder": folder, "batch": batch, "tables": sorted(written)})
+            run |= {"status": SUCCESS, "transaction_outcome": "COMMIT"}
         except Exception as e:
-            run |= {"status": FAILED, "error": redacted_text(f"{type(e).__name__}: {str(e)[:500]}")}
+            text = redacted_text(str(e)[:500])
+            run |= {"status": FAILED, "transaction_outcome": "ROLLBACK", "failure_stage": stage, "error_type": type(e).__name__, "error_message": text, "error": f"{type(e).__name__}: {text}"}
             raise
         finally:
-            store.write(f"state/{batch}.json", {"fingerprint": fingerprint, "status": run.get("status", FAILED)})
-            store.write(f"runs/{run['run']}.json", run | {"ended_at": _now()})
+            total = lambda what: sum(c[what] for c in counters.values())
+            run |= {"ended_at": _now(), "counters": counters, "datasets_processed": len(counters), "raw_records_scanned": total("raw"), "duplicates_skipped": total("duplicates"), "rows_loaded": total("emitted")}
+            run["duration_ms"] = round((datetime.fromisoformat(run["ended_at"]) - datetime.fromisoformat(run["started_at"])).total_seconds() * 1000)
+            if _owned(store, batch, run["run"]):
+                store.write(f"state/{batch}.json", {"fingerprint": fingerprint, "status": run.get("status", FAILED)})
+            store.write(f"runs/{run['run']}.json", run)
     finally:
-        store.delete(f"state/{batch}.lock")
+        if _owned(store, batch, run["run"]):
+            store.delete(f"state/{batch}.lock")
     return run
 
 
+RUN = (
+    "run string, batch string, fingerprint string, mode string, status string, started_at timestamp, ended_at timestamp, duration_ms long, datasets_expected int, "
+    "datasets_processed int, raw_records_scanned long, duplicates_skipped long, rows_loaded long, target_tables_reconciled int, transaction_outcome string, "
+    "failure_stage string, error_type string, error_message string, error string, counters map<string,struct<raw:bigint,emitted:bigint,duplicates:bigint>>"
+)
+
+
 def runs(spark: SparkSession, root: str) -> DataFrame:
-    """(run, batch, fingerprint, status, started_at, ended_at, error) of all attempts that ended, one row each."""
-    schema = "run string, batch string, fingerprint string, status string, started_at timestamp, ended_at timestamp, error string"
-    return spark.read.schema(schema).json(f"{root.rstrip('/')}/runs")
+    """All attempts that ended, one row each, with their counters by dataset and in total."""
+    return spark.read.schema(RUN).json(f"{root.rstrip('/')}/runs")
 
 
 def published(spark: SparkSession, root: str) -> dict[str, DataFrame]:

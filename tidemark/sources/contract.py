@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import deliveries
+from tidemark.session import ship
 
 # Names of time and integer columns, source fields that targets do not keep, and datasets of deliveries.
 TIMES, WHOLE = ("event_time", "valid_from", "valid_to", "invitation_time", "attributed_at"), ("rating_value",)
@@ -103,13 +105,35 @@ def read_raw(spark: SparkSession, d: Dataset, root: str) -> DataFrame:
         schema = ", ".join(f"`{f}` string" for f in d.fields)
         return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", enforceSchema=False)
     lines = spark.read.text(path).where("trim(value) != ''")
-    parsed = F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"})
-    keys = F.array_sort(F.map_keys("m"))
-    wanted = F.lit(json.dumps(sorted(d.fields)))
-    bad = ~F.trim("value").startswith("{") | F.col("m").isNull() | (F.to_json(keys) != F.regexp_replace(wanted, ", ", ","))
     message = F.concat(F.lit(f"{d.name}: not an object with the contract's fields: "), F.substring("value", 1, 200))
-    checked = F.when(bad, F.raise_error(message)).otherwise(F.col("m"))
-    return lines.select("value", parsed.alias("m")).select(checked.alias("m")).select(*[F.col("m")[f].alias(f) for f in d.fields])
+    checked = F.when(_bad(d), F.raise_error(message)).otherwise(F.col("m"))
+    return lines.select("value", _parsed().alias("m")).select(checked.alias("m")).select(*[F.col("m")[f].alias(f) for f in d.fields])
+
+
+def _parsed() -> Column:
+    return F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"})
+
+
+def _bad(d: Dataset) -> Column:
+    """Whether ``value``, parsed as ``m``, is no object with just the dataset's fields."""
+    wanted = F.lit(json.dumps(sorted(d.fields), separators=(",", ":")))
+    return ~F.trim("value").startswith("{") | F.col("m").isNull() | (F.to_json(F.array_sort(F.map_keys("m"))) != wanted)
+
+
+def bad_lines(spark: SparkSession, d: Dataset, root: str) -> DataFrame:
+    """(file, line, text) of the lines of a JSON-lines dataset that are no objects with the contract's fields; lines count from 1.
+
+    Files are read in ranges by as many tasks as Spark likes. A line's number is its place in its range plus the lines of
+    the file's earlier ranges, which are counted and summed: one row for each range.
+    """
+    rows = spark.read.option("lineSep", "\n").text(f"{root}/{d.path}")
+    place = F.monotonically_increasing_id()
+    rows = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), place.alias("place"))
+    ranges = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    bad = rows.where("trim(value) != ''").withColumn("m", _parsed()).where(_bad(d)).join(ranges, ["file", "block"])
+    return bad.select("file", (F.col("before") + F.col("place") - F.col("first") + 1).alias("line"), F.substring("value", 1, 200).alias("text"))
 
 
 def _typed(d: Dataset, name: str, nullable: bool) -> Column:
@@ -142,22 +166,20 @@ def target_rows(raw: DataFrame, d: Dataset, nullable: frozenset[str] = frozenset
 # ---------------------------------------------------------------- integrity
 
 
-MOST_BYTES = 2**31 - 1  # of a file, which one row holds while it is digested
+PIECE = 1 << 20
 
 
 def check_files(spark: SparkSession, contract: Contract) -> None:
-    """ContractError for files that are missing, too large to digest, or have another SHA-256 than the contract's.
+    """ContractError for files that are missing or have another SHA-256 than the contract's.
 
-    Names and sizes come from a listing; contents are read and digested by one task a file, the largest files apart.
-    Datasets without a digest in the contract are only looked for.
+    Names come from a listing; contents are read and digested by one task a file. Datasets without a digest in the
+    contract are only looked for.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(contract.root).select("path", "length")
     wanted = spark.createDataFrame([(d.name, "/" + d.path.lstrip("/")) for d in contract.datasets], "dataset string, ending string")
     found = {r["dataset"]: r for r in listed.join(F.broadcast(wanted), F.expr("endswith(path, ending)")).collect()}  # one row for each dataset
     if missing := [d.path for d in contract.datasets if d.name not in found]:
         raise ContractError(f"files are missing: {missing}")
-    if large := [d.path for d in contract.datasets if d.sha256 and found[d.name]["length"] > MOST_BYTES]:
-        raise ContractError(f"files are larger than {MOST_BYTES} bytes and cannot be digested: {large}")
     known = {found[d.name]["path"]: d for d in contract.datasets if d.sha256}
     digests = file_digests(spark, list(known)).collect() if known else []  # one row for each dataset
     if wrong := [known[r["path"]].name for r in digests if r["sha256"] != known[r["path"]].sha256]:
@@ -165,9 +187,36 @@ def check_files(spark: SparkSession, contract: Contract) -> None:
 
 
 def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, sha256) of files, each digested by the task that reads it."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, sha256, bytes) of files of any size, each read by one task in pieces of PIECE bytes.
+
+    Files are opened through Arrow's file systems, which know local paths and the usual stores.
+    """
+    ship(spark)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                sha, size = hashlib.sha256(), 0
+                with _opened(path) as stream:
+                    while piece := stream.read(PIECE):
+                        sha.update(piece)
+                        size += len(piece)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([sha.hexdigest()]), pa.array([size])], ["path", "sha256", "bytes"])
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path")
+    return files.mapInArrow(digest, "path string, sha256 string, bytes long")
+
+
+def _opened(path: str):
+    """A stream of the file's bytes."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" not in path:
+        return fs.LocalFileSystem().open_input_stream(path)
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_stream(name)
 
 
 def check_plan(contract: Contract, needs: Mapping[int, tuple[int, ...]], total_rows: int | None = None) -> list[list[int]]:
