@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.operators.quality import summary
-from tidemark.plans import constraints, reports, rules
+from tidemark.plans import changes, constraints, reports, rules
 from tidemark.plans.operational import DERIVED, OperationalTables, duckdb_tables
 
 HEAD = f"""{duckdb_tables()}
@@ -270,10 +271,37 @@ COLUMNS = {
 FAMILIES: dict[str, Callable] = {"dq_fk": constraints.foreign_keys, "dq_unique": constraints.unique_keys, "dq_apart": constraints.periods, "dq_checks": constraints.values, "dq_between_rows": constraints.between_rows}
 
 
+#: A next version of three tables: some members and pages on another website, some payments later; in both dialects.
+NEXT = {
+    "website_member": {"website_id": "CASE WHEN member_id % 50 = 1 THEN website_id + 1 ELSE website_id END"},
+    "page": {"website_id": "CASE WHEN page_id % 70 = 2 THEN website_id + 1 ELSE website_id END"},
+    "payment_refund_activity_event": {"event_time": "CASE WHEN account_id % 8 = 0 AND event_type = 'payment_succeeded' THEN event_time + INTERVAL 250 DAY ELSE event_time END"},
+}
+
+
+def next_version(t: OperationalTables) -> dict[str, DataFrame]:
+    changed = {name: t[name].withColumns({c: F.expr(text) for c, text in columns.items()}) for name, columns in NEXT.items()}
+    return changed | {name: t[name] for name in ("comment", "rating")}
+
+
+def guards_sql() -> str:
+    def moved(parent: str, key: str, other: str, other_key: str) -> str:
+        return f"""SELECT DISTINCT 'moved {parent}' AS guard, n.{key}::VARCHAR AS entity_id FROM {parent} o JOIN next_{parent} n USING ({key})
+          JOIN (SELECT member_id, page_id FROM comment UNION ALL SELECT member_id, page_id FROM rating) g USING ({key}) JOIN next_{other} x USING ({other_key})
+          WHERE o.website_id IS DISTINCT FROM n.website_id AND x.website_id IS DISTINCT FROM n.website_id"""
+
+    later = ", ".join(f"next_{name} AS (SELECT * REPLACE ({', '.join(f'{text} AS {c}' for c, text in columns.items())}) FROM {name})" for name, columns in NEXT.items())
+    return f"""{HEAD}, {later} {moved("website_member", "member_id", "page", "page_id")} UNION ALL {moved("page", "page_id", "website_member", "member_id")} UNION ALL
+      SELECT 'changed refunded payment', o.event_id::VARCHAR FROM payment_refund_activity_event o JOIN next_payment_refund_activity_event n USING (event_id)
+      WHERE o.event_time <> n.event_time AND EXISTS (FROM next_payment_refund_activity_event r WHERE r.event_type = 'payment_refunded' AND r.original_payment_ref = o.payment_ref
+        AND (r.account_id IS DISTINCT FROM n.account_id OR n.event_time >= r.event_time))"""
+
+
 def queries() -> dict[str, Callable[[OperationalTables], DataFrame]]:
     """dq_rule_01 to dq_rule_32 (all violations), the constraint families and dq_verdicts (counts)."""
     out = {f"dq_rule_{name[3:]}": (lambda t, name=name: rules.violations(t, name)) for name in rules.RULES}
     out |= {name: (lambda t, family=family: summary(family(t))) for name, family in FAMILIES.items()}
+    out["change_guards"] = lambda t: changes.guards(t, next_version(t))
     return out | {"dq_verdicts": rules.verdicts, "dq_samples": reports.samples, "dq_imperfections": reports.imperfections}
 
 
@@ -283,6 +311,7 @@ def oracle_sql() -> dict[str, str]:
         return f"{HEAD} SELECT rule, violations, CASE WHEN violations = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM ({rows})"
 
     out = {f"dq_rule_{name[3:]}": f"{HEAD} " + " UNION ALL ".join(parts) for name, parts in RULE_SQL.items()}
+    out["change_guards"] = guards_sql()
     out |= {name: counts(parts) for name, parts in constraint_sql().items()}
     out["dq_verdicts"] = counts({name: "(" + " UNION ALL ".join(parts) + ")" for name, parts in RULE_SQL.items()})
     some = "(SELECT '{}' AS rule, * FROM ({}) ORDER BY violation_type, entity_id, \"at\" NULLS FIRST LIMIT 5)"
