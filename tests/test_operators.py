@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import active_at, contained_in, live_at, local_month, month_end_snapshot, overlaps
-from tidemark.operators import deliveries, quality
+from tidemark.operators import deliveries, distinct_sets, quality
 from tidemark.operators.percentiles import exact_percentiles, ranked
 from tidemark.plans import retention_model, serving
 from tidemark.streaming import windows
@@ -164,3 +164,24 @@ def test_average_precision_of_a_rare_class_with_tiny_scores(spark):
     hits = [sum(r[0] for r in ordered[: i + 1]) / (i + 1) for i, r in enumerate(ordered) if r[0]]
     got = retention_model.average_precision(spark.createDataFrame(rows, "label int, score double")).first()
     assert tuple(got) == (len(hits), 500, round(sum(hits) / len(hits), 6))
+
+
+def test_sets_of_ids_merge_exactly(spark):
+    draw = random.Random(6)
+    rows = [(draw.choice("ab"), draw.choice("xyz"), draw.choice([None, draw.randrange(-5, 200), draw.randrange(10**12)])) for _ in range(500)]
+    sets = distinct_sets.id_sets(spark.createDataFrame(rows, "g string, h string, i long"), ["g", "h"], "i", n=F.count("*"))
+    count = lambda keep: (len({i for g, h, i in rows if keep(g, h) and i is not None}), sum(keep(g, h) for g, h, _ in rows))
+    assert values(distinct_sets.counted(sets, ["g", "h"], "d", ["n"]), "g", "h", "d", "n") == [(a, b, *count(lambda g, h: (g, h) == (a, b))) for a in "ab" for b in "xyz"]
+    assert values(distinct_sets.counted(distinct_sets.merged(sets, ["g"], ["n"]), ["g"], "d", ["n"]), "g", "d", "n") == [(a, *count(lambda g, h: g == a)) for a in "ab"]
+    assert values(distinct_sets.counted(distinct_sets.merged(sets, [], ["n"]), [], "d", ["n"]), "d", "n") == [count(lambda g, h: True)]
+    with pytest.raises(ValueError, match="whole"):
+        distinct_sets.id_sets(spark.createDataFrame(rows, "g string, h string, i long"), ["g"], "h")
+
+
+def test_transitions_of_text_and_whole_ids_agree(spark):
+    moves = [(draw, f"A{i % 7}", "f", "s" if i % 3 else "p") for i in range(40) for draw in (("subscription_upgraded", "subscription_cancelled")[i % 2],)]
+    plans = spark.createDataFrame([("f", "free"), ("s", "Standard"), ("p", "premium")], "plan_id string, plan_name string")
+    text = spark.createDataFrame(moves, "event_type string, account_id string, from_plan_id string, to_plan_id string")
+    whole = text.withColumn("account_id", F.expr("cast(substr(account_id, 2) AS bigint)"))
+    got = [values(serving.commercial_transition({"plan_catalog": plans, "subscription_lifecycle_event": df}), "*") for df in (text, whole)]
+    assert got[0] == got[1] and len(got[0]) == 4

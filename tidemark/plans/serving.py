@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import (
     ZONE, active_at, add_days, at, local_month, month_end_snapshot, month_label, month_sort, next_month, pct, ratio, seconds_between,
 )
+from tidemark.operators.distinct_sets import counted, has_whole_ids, id_sets, merged
 from tidemark.operators.percentiles import exact_percentiles
 from tidemark.operators.temporal import boundaries, during, first_row, horizon_rows, months_of, overlapping
 
@@ -55,16 +56,19 @@ def first_paid(periods: DataFrame) -> DataFrame:
     return paid.groupBy("account_id").agg(F.min("boundary_time").alias("first_paid_time"))
 
 
-def commercial_transition(t: Tables) -> DataFrame:
-    """Upgrade, downgrade, cancel and reactivate paths with their shares of the type and of all."""
-    names = t["plan_catalog"].select("plan_id", "plan_name")
-    moves = t["subscription_lifecycle_event"].where(F.col("event_type").isin(*[e for e, _ in TRANSITIONS]))
-    once = moves.groupBy("event_type", "from_plan_id", "to_plan_id", "account_id").agg(F.count("*").alias("n"))
-    for side in ("from", "to"):
-        once = once.join(names.withColumnsRenamed({"plan_id": f"{side}_plan_id", "plan_name": f"{side}_plan_name"}), f"{side}_plan_id", "left")
-    path = F.struct("from_plan_id", "from_plan_name", "to_plan_id", "to_plan_name")
-    levels = once.withColumn("path", path).rollup("event_type", "path").agg(F.sum("n").alias("n"), F.countDistinct("account_id").alias("accounts"), F.grouping_id().alias("level"))
-    by_type, every = Window.partitionBy("event_type"), Window.partitionBy(F.lit(1))  # one row for each path or total
+def _set_levels(moves: DataFrame, path: list[str]) -> DataFrame:
+    """Events and accounts of each path, of its type and of all, from one pass: accounts are bitmaps, united level by level."""
+    sets = id_sets(moves, path, "account_id", n=F.count("*"))
+    types = counted(merged(sets, path[:1], ["n"]), path[:1], "type_account_count", ["n"]).withColumnRenamed("n", "type_event_count")
+    every = counted(merged(sets, [], ["n"]), [], "all_transition_accounts", ["n"]).withColumnRenamed("n", "all_transition_events")
+    return counted(sets, path, "accounts", ["n"]).join(types, path[0]).crossJoin(F.broadcast(every))  # one row of totals
+
+
+def _rolled_levels(moves: DataFrame, path: list[str]) -> DataFrame:
+    """The same for ids that are no whole numbers, by a rollup over the accounts of each path."""
+    once = moves.groupBy(*path, "account_id").agg(F.count("*").alias("n")).withColumn("path", F.struct(*path[1:]))
+    levels = once.rollup(path[0], "path").agg(F.sum("n").alias("n"), F.countDistinct("account_id").alias("accounts"), F.grouping_id().alias("level"))
+    by_type, every = Window.partitionBy(path[0]), Window.partitionBy(F.lit(1))  # one row for each path or total
 
     def total(column: str, level: int, w: Window) -> F.Column:
         return F.max(F.when(F.col("level") == level, F.col(column))).over(w)
@@ -73,13 +77,23 @@ def commercial_transition(t: Tables) -> DataFrame:
         "type_event_count": total("n", 1, by_type), "type_account_count": total("accounts", 1, by_type),
         "all_transition_events": total("n", 3, every), "all_transition_accounts": total("accounts", 3, every),
     })
-    rows = levels.where("level = 0").select("event_type", "path.*", "*")
+    return levels.where("level = 0").select(path[0], "path.*", "n", "accounts", *[c for c in levels.columns if c.startswith(("type_", "all_"))])
+
+
+def commercial_transition(t: Tables) -> DataFrame:
+    """Upgrade, downgrade, cancel and reactivate paths with their shares of the type and of all."""
+    moves = t["subscription_lifecycle_event"].where(F.col("event_type").isin(*[e for e, _ in TRANSITIONS]))
+    path = ["event_type", "from_plan_id", "to_plan_id"]
+    rows = _set_levels(moves, path) if has_whole_ids(moves, "account_id") else _rolled_levels(moves, path)
+    names = t["plan_catalog"].select("plan_id", "plan_name")
+    for side in ("from", "to"):
+        rows = rows.join(names.withColumnsRenamed({"plan_id": f"{side}_plan_id", "plan_name": f"{side}_plan_name"}), f"{side}_plan_id", "left")
     label, order = F.lit(None).cast("string"), F.lit(None).cast("int")
     for i, (e, name) in enumerate(TRANSITIONS):
         label, order = F.when(F.col("event_type") == e, name).otherwise(label), F.when(F.col("event_type") == e, i + 1).otherwise(order)
     rank = Window.partitionBy(F.lit(1)).orderBy(order, F.desc("n"), F.asc_nulls_last("from_plan_name"), F.asc_nulls_last("to_plan_name"))
     return rows.select(
-        levels["event_type"], label.alias("event_type_label"), order.alias("event_type_order"), "from_plan_id", "from_plan_name", "to_plan_id", "to_plan_name",
+        "event_type", label.alias("event_type_label"), order.alias("event_type_order"), "from_plan_id", "from_plan_name", "to_plan_id", "to_plan_name",
         F.concat("from_plan_name", F.lit(" → "), "to_plan_name").alias("path_label"), F.col("n").alias("transition_events"), F.col("accounts").alias("distinct_accounts"),
         pct(F.col("n"), F.col("type_event_count")).alias("share_within_transition_type_pct"), pct(F.col("n"), F.col("all_transition_events")).alias("share_of_all_transitions_pct"),
         "type_event_count", "type_account_count", "all_transition_events", "all_transition_accounts", F.row_number().over(rank).alias("path_sort_order"),
