@@ -68,3 +68,27 @@ def test_visual(spark):
     names = spark.createDataFrame([("a", "A"), ("b", "B")], "k string, name string")
     got = reports.visual(view, ["name"], ["n"], {"part": [1, 2]}, "n", [(names, "k")]).collect()
     assert [(r["name"], r["n"], r["sort"]) for r in got] == [("A", 12, 1), ("B", 12, 2)]
+
+
+def test_a_visual_can_ignore_a_filter_of_the_page(spark):
+    view = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 4)], "f string, m string, n int")
+    got = lambda **more: sorted(tuple(r)[:2] for r in reports.visual(view, ["f"], ["n"], page={"f": ["a"], "m": ["x"]}, **more).collect())
+    assert got() == [("a", 1)] and got(ignore=("m",)) == [("a", 3)] and got(ignore=("f", "m"), keep={"f": ["b"]}) == [("b", 4)]
+
+
+def test_value_shares_count_nulls(spark):
+    rows = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "v string")
+    assert sorted(map(tuple, reports.value_shares(rows, "v").collect()), key=str) == [("a", 2, 0.5), ("b", 1, 0.25), (None, 1, 0.25)]
+    assert reports.value_shares(rows.where("false"), "v").count() == 0
+
+
+def test_exported_data_set_is_ordered_over_all_files(spark, tmp_path):
+    draw = random.Random(9)
+    made = [(i, datetime(2024, 1, draw.randrange(1, 28)), datetime(2025, 1, 1), "TRAIN", *[draw.randrange(9)] * 9, 1) for i in range(500)]
+    kinds = ["long", "timestamp_ntz", "timestamp_ntz", "string", "double", *["long"] * 8, "int"]
+    df = spark.createDataFrame([(*r[:4], float(r[4]), *r[5:]) for r in made], ", ".join(f"{c} {k}" for c, k in zip(retention_model.EXPORTED, kinds))).repartition(5)
+    retention_model.export_dataset(df.withColumn("more", df.account_id), str(tmp_path / "out"))
+    lines = [line for f in sorted((tmp_path / "out").glob("part-*")) for line in f.read_text().splitlines()]
+    assert lines[0].split(",") == retention_model.EXPORTED
+    keys = [(line.split(",")[1], int(line.split(",")[0])) for line in lines if not line.startswith("account_id")]
+    assert keys == sorted(keys) and len(keys) == 500

@@ -535,6 +535,43 @@ def _(t: TestTables) -> DataFrame:
     return model.paid_time(t, 12, CUTOFF)
 
 
+@query("paid_time_summary", f"""
+, pop AS (SELECT *, first_paid_at + INTERVAL 12 MONTH AS h FROM anchor WHERE first_paid_at + INTERVAL 12 MONTH < TIMESTAMP '{CUTOFF}')
+, spent AS (
+  SELECT account_id, sum(greatest(0, epoch_us(least(coalesce(valid_to, h), h) - greatest(valid_from, first_paid_at)))) / 1e6 AS s, epoch_us(any_value(h) - any_value(first_paid_at)) / 1e6 AS of
+  FROM pop JOIN named USING (account_id) WHERE plan <> 'free' GROUP BY 1)
+SELECT count(*) AS eligible_accounts, round(avg(s / 86400), 2) AS average_paid_days, round(min(s / 86400), 2) AS minimum_paid_days, round(max(s / 86400), 2) AS maximum_paid_days,
+  count(*) FILTER (s = of) AS fully_paid, count(*) FILTER (s / of >= 0.95 AND s / of < 1) AS paid_95_to_100_pct, count(*) FILTER (s / of >= 0.8 AND s / of < 0.95) AS paid_80_to_95_pct,
+  count(*) FILTER (s / of >= 0.5 AND s / of < 0.8) AS paid_50_to_80_pct, count(*) FILTER (s / of < 0.5) AS paid_below_50_pct, round(avg(s / 86400) FILTER (s < of), 2) AS average_partial_paid_days,
+  count(*) FILTER (s < 0 OR s > of) AS invalid_duration_accounts FROM spent""")
+def _(t: TestTables) -> DataFrame:
+    return model.paid_time_summary(t, 12, CUTOFF)
+
+
+def population_sql(m: int) -> str:
+    return f"""SELECT CASE WHEN q IS NULL THEN 'SUMMARY' ELSE 'COHORT_QUARTER' END AS result_section, 'M{m}' AS horizon, q AS first_paid_quarter, CASE WHEN q IS NULL THEN (SELECT count(*) FROM anchor) END AS ever_paid_accounts,
+  count(*) AS eligible_accounts, count(*) FILTER (paid AND NOT gone) AS paid_accounts, count(*) FILTER (gone AND NOT paid) AS not_paid_accounts, count(*) FILTER (paid = gone) AS unknown_accounts,
+  count(*) - count(DISTINCT account_id) AS duplicate_account_rows
+FROM (SELECT *, date_trunc('quarter', first_paid_at)::DATE AS q FROM ({state_flags(m)})) GROUP BY ROLLUP (q)"""
+
+
+def state_flags(m: int) -> str:
+    horizon = f"first_paid_at + INTERVAL {m} MONTH"
+    return f"""SELECT a.account_id, first_paid_at, EXISTS (FROM named n WHERE n.account_id = a.account_id AND plan <> 'free' AND {horizon} >= valid_from AND ({horizon} < valid_to OR valid_to IS NULL)) AS paid,
+  EXISTS (FROM named n WHERE n.account_id = a.account_id AND plan = 'free' AND {horizon} >= valid_from AND ({horizon} < valid_to OR valid_to IS NULL))
+    OR EXISTS (FROM closed c WHERE c.account_id = a.account_id AND closure_time <= {horizon}) AS gone FROM anchor a WHERE {horizon} < TIMESTAMP '{CUTOFF}'"""
+
+
+@query("population_report", " " + " UNION ALL ".join(population_sql(m) for m in (3, 6)))
+def _(t: TestTables) -> DataFrame:
+    return model.population_report(t, cutoff=CUTOFF)
+
+
+@query("value_shares", "SELECT event_type AS value, count(*) AS rows, round(count(*)::DOUBLE / (SELECT count(*) FROM product_behaviour_event), 6) AS share FROM product_behaviour_event GROUP BY 1")
+def _(t: TestTables) -> DataFrame:
+    return reports.value_shares(t["product_behaviour_event"], "event_type")
+
+
 def scored(t: TestTables) -> DataFrame:
     """Labelled documents scored by their length; ties are common."""
     docs = t["documents"].select("doc_id", (F.least("n_chars", F.lit(20000)) / 20000.0).alias("score"))

@@ -103,17 +103,27 @@ def calendar(times: DataFrame, time: str) -> DataFrame:
     return days.select("date", F.year(d).alias("year"), F.quarter(d).alias("quarter"), F.month(d).alias("month_no"), F.date_format(d, "MMMM").alias("month"), F.day(d).alias("day"))
 
 
+def value_shares(df: DataFrame, column: str) -> DataFrame:
+    """(value, rows, share): how often each value occurs, null among them, and its share of all rows."""
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows"))
+    every = df.agg(F.count("*").alias("_all"))
+    return counts.crossJoin(F.broadcast(every)).select("value", "rows", F.round(F.col("rows") / F.col("_all"), 6).alias("share"))  # one row of totals
+
+
 def visual(
     view: DataFrame, by: list[str], totals: list[str], keep: dict[str, list] | None = None, order: str | None = None, relations: list[tuple[DataFrame, str]] | None = None,
+    page: dict[str, list] | None = None, ignore: tuple[str, ...] = (),
 ) -> DataFrame:
     """What a report shows of a view: many-to-one relations joined, kept values (slicers, categories), sums by ``by``.
 
-    ``order`` names the total by which rows are ranked, largest first; equal ones follow ``by``.
+    ``order`` names the total by which rows are ranked, largest first; equal ones follow ``by``. ``page`` has the values
+    kept by the page's slicers and by clicks on other visuals, of which the columns in ``ignore`` do not reach this one.
     """
     rows = view
     for other, key in relations or []:
         rows = rows.join(other, key, "left")
-    for column, values in (keep or {}).items():
+    kept = [*(keep or {}).items(), *[(c, v) for c, v in (page or {}).items() if c not in ignore]]
+    for column, values in kept:
         rows = rows.where(F.col(column).isin(values))
     out = rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in totals])
     if order:

@@ -100,15 +100,62 @@ def quarter_cohorts(t: Tables, months: int = MONTHS, cutoff: str = CUTOFF) -> Da
     return rows.groupBy("quarter").agg(F.count("*").alias("accounts"), *[F.count_if(F.col("state") == s).alias(s) for s in ("paid", "not_paid", "unknown")])
 
 
-def paid_time(t: Tables, months: int = 12, cutoff: str = CUTOFF) -> DataFrame:
-    """Days of paid plan inside the first ``months`` after the first payment, with a band of the share."""
+def population_report(t: Tables, months: tuple[int, ...] = (3, 6), cutoff: str = CUTOFF) -> DataFrame:
+    """For each horizon one SUMMARY row and a COHORT_QUARTER row for each quarter of first payment, by one rollup a horizon."""
+    ever = first_paid_at(t).agg(F.count("*").alias("ever"))
+    out = None
+    for m in months:
+        rows = state_label(t, m, cutoff).withColumn("first_paid_quarter", quarter_start(F.col("first_paid_at")))
+        counts = [F.count_if(F.col("state") == s).alias(f"{s}_accounts") for s in ("paid", "not_paid", "unknown")]
+        # one row for each account by construction; the difference shows a broken join
+        found = rows.rollup("first_paid_quarter").agg(
+            F.count("*").alias("eligible_accounts"), *counts, (F.count("*") - F.count_distinct("account_id")).alias("duplicate_account_rows"), F.grouping_id().alias("_all"),
+        ).crossJoin(F.broadcast(ever))
+        section = F.when(F.col("_all") == 1, "SUMMARY").otherwise("COHORT_QUARTER")
+        some = found.select(section.alias("result_section"), F.lit(f"M{m}").alias("horizon"), "first_paid_quarter", F.when(F.col("_all") == 1, F.col("ever")).alias("ever_paid_accounts"), *found.columns[1:6])
+        out = some if out is None else out.unionAll(some)
+    return out
+
+
+def paid_seconds(t: Tables, months: int, cutoff: str) -> DataFrame:
+    """(account_id, s, of): seconds of paid plan in the first ``months`` after the first payment, and the seconds of that time."""
     rows = population(t, months, cutoff)
     paid = plan_periods(t).where(F.col("plan_name").isin(*PAID)).select("account_id", "valid_from", "valid_to")
     spent = clipped_seconds(F.col("valid_from"), F.col("valid_to"), F.col("first_paid_at"), F.col("horizon_at"))
     sums = rows.join(paid, "account_id").groupBy("account_id", "first_paid_at", "horizon_at").agg(F.sum(spent).alias("s"))
-    share = F.col("s") / seconds_between(F.col("first_paid_at"), F.col("horizon_at"))
+    return sums.select("account_id", "s", seconds_between(F.col("first_paid_at"), F.col("horizon_at")).alias("of"))
+
+
+def paid_time(t: Tables, months: int = 12, cutoff: str = CUTOFF) -> DataFrame:
+    """Days of paid plan inside the first ``months`` after the first payment, with a band of the share."""
+    share = F.col("s") / F.col("of")
     band = F.when(share >= 0.999999, "full").when(share >= 0.75, "75-99").when(share >= 0.5, "50-74").when(share >= 0.25, "25-49").otherwise("under 25")
-    return sums.select("account_id", F.round(F.col("s") / 86400, 4).alias("paid_days"), F.round(share * 100, 2).alias("paid_share_pct"), band.alias("band"))
+    return paid_seconds(t, months, cutoff).select("account_id", F.round(F.col("s") / 86400, 4).alias("paid_days"), F.round(share * 100, 2).alias("paid_share_pct"), band.alias("band"))
+
+
+def paid_time_summary(t: Tables, months: int = 12, cutoff: str = CUTOFF) -> DataFrame:
+    """One row: the distribution of paid time, with counts by band of its share of the horizon."""
+    days, share = F.col("s") / 86400, F.col("s") / F.col("of")
+    bands = {"paid_95_to_100_pct": (0.95, 1.0), "paid_80_to_95_pct": (0.80, 0.95), "paid_50_to_80_pct": (0.50, 0.80)}
+    return paid_seconds(t, months, cutoff).agg(
+        F.count("*").alias("eligible_accounts"), F.round(F.avg(days), 2).alias("average_paid_days"), F.round(F.min(days), 2).alias("minimum_paid_days"),
+        F.round(F.max(days), 2).alias("maximum_paid_days"), F.count_if(F.col("s") == F.col("of")).alias("fully_paid"),
+        *[F.count_if((share >= lo) & (share < hi)).alias(name) for name, (lo, hi) in bands.items()], F.count_if(share < 0.5).alias("paid_below_50_pct"),
+        F.round(F.avg(F.when(F.col("s") < F.col("of"), days)), 2).alias("average_partial_paid_days"),
+        F.count_if((F.col("s") < 0) | (F.col("s") > F.col("of"))).alias("invalid_duration_accounts"),
+    )
+
+
+# The exported data set's columns, in order.
+EXPORTED = [
+    "account_id", "first_paid_at", "horizon_at", "split_name", "days_until_first_paid", "total_product_events", "product_access_count", "locked_attempt_count",
+    "feature_used_count", "analytics_view_count", "other_event_count", "websites_created_before_paid", "live_websites_at_first_paid", "target_m6",
+]
+
+
+def export_dataset(rows: DataFrame, path: str) -> None:
+    """Writes the data set as CSV with a header, ordered by first payment and account over all files by name."""
+    rows.select(*EXPORTED).orderBy("first_paid_at", "account_id").write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").csv(path, header=True)
 
 
 # ---------------------------------------------------------------- model and ranking metrics
