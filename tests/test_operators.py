@@ -185,3 +185,11 @@ def test_transitions_of_text_and_whole_ids_agree(spark):
     whole = text.withColumn("account_id", F.expr("cast(substr(account_id, 2) AS bigint)"))
     got = [values(serving.commercial_transition({"plan_catalog": plans, "subscription_lifecycle_event": df}), "*") for df in (text, whole)]
     assert got[0] == got[1] and len(got[0]) == 4
+
+
+def test_attempts_by_sets_and_by_counts_agree(spark):
+    draw = random.Random(7)
+    rows = [(draw.choice("fg"), draw.choice(["free", "standard", "premium", "other"]), draw.randrange(9), draw.randrange(30), draw.choice([None, draw.randrange(5)])) for _ in range(200)]
+    locked = spark.createDataFrame(rows, "feature_id string, plan_name string, account_id long, user_id long, website_id long")
+    plain = serving._attempt_counts(locked)
+    assert values(serving._attempt_sets(locked, ["account_id", "user_id", "website_id"]), *plain.columns) == values(plain, "*")

@@ -140,6 +140,33 @@ def lifecycle_kpis(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in LIFECYCLE_KPIS.items()])
 
 
+def _attempt_counts(locked: DataFrame) -> DataFrame:
+    """Attempts and distinct ids of each feature, for ids of any type."""
+    counts = [F.count_if(F.col("plan_name") == p).alias(f"{p}_attempt_events") for p in (FREE, *PAID)]
+    accounts = [F.countDistinct(F.when(F.col("plan_name") == p, F.col("account_id"))).alias(f"{p}_attempting_accounts") for p in (FREE, *PAID)]
+    return locked.groupBy("feature_id").agg(
+        F.count("*").alias("attempt_events"), F.countDistinct("account_id").alias("distinct_attempting_accounts"), F.countDistinct("user_id").alias("distinct_attempting_users"),
+        F.countDistinct("website_id").alias("distinct_websites"), F.count_if(F.col("website_id").isNull()).alias("attempts_without_website"), *counts, *accounts,
+    )
+
+
+def _attempt_sets(locked: DataFrame, ids: list[str]) -> DataFrame:
+    """The same from one pass for whole ids, which are bitmaps by feature, plan and kind; the plans' sets are united for the feature."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("long").alias("id")) for c in ids])).alias("_id")
+    rows = locked.select("feature_id", "plan_name", kinds).select("feature_id", "plan_name", "_id.*")
+    sets = id_sets(rows, ["feature_id", "plan_name", "kind"], "id", n=F.count("*"), blank=F.count_if(F.col("id").isNull()))
+    of_feature = counted(merged(sets, ["feature_id", "kind"], ["n", "blank"]), ["feature_id", "kind"], "d", ["n", "blank"])
+    of_plan = counted(sets.where(F.col("kind") == ids[0]), ["feature_id", "plan_name"], "d", ["n"])
+    pick = lambda column, key, value: F.coalesce(F.max(F.when(F.col(key) == value, F.col(column))), F.lit(0))
+    distinct = dict(zip(ids, ("distinct_attempting_accounts", "distinct_attempting_users", "distinct_websites")))
+    whole = of_feature.groupBy("feature_id").agg(
+        pick("n", "kind", ids[0]).alias("attempt_events"), *[pick("d", "kind", c).alias(name) for c, name in distinct.items()], pick("blank", "kind", ids[2]).alias("attempts_without_website"),
+    )
+    plans = (FREE, *PAID)
+    by_plan = of_plan.groupBy("feature_id").agg(*[pick("n", "plan_name", p).alias(f"{p}_attempt_events") for p in plans], *[pick("d", "plan_name", p).alias(f"{p}_attempting_accounts") for p in plans])
+    return whole.join(by_plan, "feature_id")
+
+
 def locked_feature_signal(t: Tables) -> DataFrame:
     """Attempts at features that the account's plan did not give at that time."""
     attempts = t["product_behaviour_event"].where("event_type = 'locked_feature_attempted'").select("event_id", "event_time", "user_id", "account_id", "website_id", "feature_id")
@@ -147,12 +174,8 @@ def locked_feature_signal(t: Tables) -> DataFrame:
     placed = during(attempts, periods, ["account_id"]).drop("valid_from", "valid_to")
     given = t["plan_feature_entitlement_period"].select("plan_id", "feature_id", "valid_from", "valid_to")
     locked = during(placed, given, ["plan_id", "feature_id"], how="left_anti")
-    counts = [F.count_if(F.col("plan_name") == p).alias(f"{p}_attempt_events") for p in (FREE, *PAID)]
-    accounts = [F.countDistinct(F.when(F.col("plan_name") == p, F.col("account_id"))).alias(f"{p}_attempting_accounts") for p in (FREE, *PAID)]
-    summary = locked.groupBy("feature_id").agg(
-        F.count("*").alias("attempt_events"), F.countDistinct("account_id").alias("distinct_attempting_accounts"), F.countDistinct("user_id").alias("distinct_attempting_users"),
-        F.countDistinct("website_id").alias("distinct_websites"), F.count_if(F.col("website_id").isNull()).alias("attempts_without_website"), *counts, *accounts,
-    )
+    ids = ["account_id", "user_id", "website_id"]
+    summary = _attempt_sets(locked, ids) if all(has_whole_ids(locked, c) for c in ids) else _attempt_counts(locked)
     n = F.col("attempt_events")
     shares = [pct(F.col(f"{p}_attempt_events"), n).alias(f"{p}_event_share_pct") for p in (FREE, *PAID)]
     rank = Window.partitionBy(F.lit(1)).orderBy(F.desc("distinct_attempting_accounts"), F.desc("attempt_events"), "feature_name", "feature_id")
