@@ -53,3 +53,21 @@ def test_export_and_report(spark, tmp_path):
         operations.report_text(a, "A", 1)
     with pytest.raises(ValueError, match="format"):
         operations.export({"c": a}, root, {"c": "xml"})
+
+
+def test_views_outlive_their_session_and_are_replaced_together(spark, tmp_path):
+    root, other = str(tmp_path / "out"), spark.newSession()
+    assert operations.stored_catalog(spark, root) is None
+    a, b = spark.createDataFrame([(1, "x")], "id int, t string"), spark.createDataFrame([(2.5,)], "v double")
+    assert operations.publish_views({"vw_a": a, "vw_b": b}, root) == ["vw_a", "vw_b"]
+    assert {n: [tuple(r) for r in df.collect()] for n, df in operations.published_views(other, root).items()} == {"vw_a": [(1, "x")], "vw_b": [(2.5,)]}
+    operations.publish_views({"vw_a": a.union(a)}, root)
+    assert [n for n in operations.published_views(other, root)] == ["vw_a"] and operations.published_views(other, root)["vw_a"].count() == 2
+    assert [(r.table_name, r.column_name, r.data_type) for r in operations.stored_catalog(other, root).orderBy("ordinal").collect()] == [("vw_a", "id", "int"), ("vw_a", "t", "string")]
+
+
+def test_contract_is_read_through_spark(spark, tmp_path):
+    path = package(tmp_path)
+    made = c.load_contract(f"file://{path}", spark=spark)
+    assert made.datasets == c.load_contract(path).datasets and made.root == f"file://{tmp_path}"
+    assert operations.validate(spark, f"file://{path}").datasets == made.datasets

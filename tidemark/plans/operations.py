@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from tidemark.sources.contract import TIME_FORMAT, Contract, ContractError, chec
 
 BATCH = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,63}")
 
+
 def batch_id(contract: Contract, given: str | None = None) -> str:
     """The given id if it is fit for a file name, else one that follows from the contract's version and content."""
     if given is None:
@@ -23,8 +25,8 @@ def batch_id(contract: Contract, given: str | None = None) -> str:
 
 
 def validate(spark: SparkSession, path: str, root: str | None = None) -> Contract:
-    """The contract at a path, read and checked, with all its files present and unchanged."""
-    contract = load_contract(path, root)
+    """The contract at a path, on any store that Spark reads, read and checked, with all its files present and unchanged."""
+    contract = load_contract(path, root, spark)
     check_files(spark, contract)
     return contract
 
@@ -41,6 +43,30 @@ def catalog(tables: Mapping[str, DataFrame]) -> DataFrame | None:
     return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table_name string, column_name string, ordinal int, data_type string") if rows else None
 
 
+def stored_catalog(spark: SparkSession, root: str) -> DataFrame | None:
+    """As ``catalog``, of the tables that a store has published and of the views computed from them; None for an empty store."""
+    return catalog(load.published(spark, root) | published_views(spark, root))
+
+
+def publish_views(views: Mapping[str, DataFrame], root: str) -> list[str]:
+    """Computes views into tables that outlive the session, and shows all of them at once, in place of those shown before.
+
+    Each is written under a folder of this call; one small file names the folder that readers take.
+    """
+    spark = next(iter(views.values())).sparkSession
+    folder = f"views/{uuid.uuid4().hex}"
+    for name, df in views.items():
+        df.write.parquet(f"{root.rstrip('/')}/{folder}/{name}")
+    load.Store(spark, root).write("views.json", {"folder": folder, "views": sorted(views)})
+    return sorted(views)
+
+
+def published_views(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The published views by name; {} before there are any."""
+    now = load.Store(spark, root).read("views.json")
+    return {v: spark.read.parquet(f"{root.rstrip('/')}/{now['folder']}/{v}") for v in now["views"]} if now else {}
+
+
 def target_check(spark: SparkSession, contract: Contract, root: str) -> DataFrame:
     """(dataset, missing, unexpected, status) of the published tables against the contract's target columns."""
     shown = load.published(spark, root)

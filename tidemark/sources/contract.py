@@ -65,9 +65,15 @@ class Contract:
         return hashlib.sha256(json.dumps(parts, separators=(",", ":")).encode()).hexdigest()
 
 
-def load_contract(path: str, root: str | None = None) -> Contract:
-    """Reads and checks a contract: frozen, as many datasets as it expects, unique numbers and names, known formats."""
-    raw = json.loads(Path(path).read_text())
+def load_contract(path: str, root: str | None = None, spark: SparkSession | None = None) -> Contract:
+    """Reads and checks a contract: frozen, as many datasets as it expects, unique numbers and names, known formats.
+
+    With a session the path may be on any store that Spark reads; else it is the driver's own file.
+    """
+    text = spark.read.text(path, wholetext=True).first() if spark else [Path(path).read_text()]
+    if text is None:
+        raise ContractError("the contract is empty")
+    raw = json.loads(text[0])
     if raw.get("status") != "FROZEN":
         raise ContractError(f"the contract is {raw.get('status')!r}, not FROZEN")
     made = tuple(Dataset(d["number"], d["dataset"], d.get("path", ""), d["format"], d["rows"], tuple(d["required_fields"]), d.get("sha256")) for d in raw["datasets"])
@@ -78,7 +84,7 @@ def load_contract(path: str, root: str | None = None) -> Contract:
             raise ContractError(f"a dataset's {what} occurs twice")
     if wrong := [d.name for d in made if d.format not in FORMATS or not d.fields]:
         raise ContractError(f"unknown format or no fields: {wrong}")
-    return Contract(raw["contract_version"], root or str(Path(path).parent), made)
+    return Contract(raw["contract_version"], root or path.rpartition("/")[0] or ".", made)
 
 
 def load_order(needs: Mapping[int, tuple[int, ...]]) -> list[list[int]]:
