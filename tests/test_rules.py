@@ -6,6 +6,7 @@ import re
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import constraints, rule_queries, rules
 
@@ -205,3 +206,19 @@ def test_broken_tables_break_their_constraint(spark, good, name, table, put):
     of_kind = KINDS[name.split()[0]]
     assert of_kind(good)[name].isEmpty()
     assert not of_kind(good | {table: frame(spark, table, put)})[name].isEmpty()
+
+
+def test_only_rules_that_read_what_a_delivery_touched_are_judged_again(spark, good, monkeypatch):
+    for name in [n for n in rules.RULES if n not in ("DQ-18", "DQ-30", "DQ-31", "DQ-32")]:
+        monkeypatch.delitem(rules.RULES, name)
+    before = spark.createDataFrame([tuple(r) for r in rules.verdicts(good).collect()], "rule string, violations long, status string")
+    assert rules.inputs(good, "DQ-31") == {"website", "support_request"}
+    broken = dict(good) | {"support_request": good["support_request"].withColumn("website_id", F.lit("elsewhere"))}
+    judged = []
+    for name, f in list(rules.RULES.items()):
+        monkeypatch.setitem(rules.RULES, name, lambda t, name=name, f=f: (judged.append(name) if not isinstance(t, rules.Traced) else None, f(t))[1])
+    after = rules.verdicts_after(broken, before, {"support_request"})
+    assert set(judged) == {n for n in rules.RULES if "support_request" in rules.inputs(broken, n)} and 0 < len(judged) < 4
+    full = {tuple(r) for r in rules.verdicts(broken).collect()}
+    assert {tuple(r) for r in after.collect()} == full
+    assert {tuple(r) for r in rules.verdicts_after(broken, before.where("rule <> 'DQ-31'"), set()).collect()} == {tuple(r) for r in before.where("rule <> 'DQ-31'").collect()} | {r for r in full if r[0] == "DQ-31"}

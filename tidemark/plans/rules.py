@@ -565,3 +565,38 @@ def violations(t: Tables, name: str) -> DataFrame:
 def verdicts(t: Tables) -> DataFrame:
     """(rule, violations, status) of all rules, in one job."""
     return summary({name: f(t) for name, f in RULES.items()})
+
+
+class Traced(Mapping):
+    """Tables that remember which of them were asked for."""
+
+    def __init__(self, t: Tables):
+        self.t, self.read = t, set()
+
+    def __getitem__(self, name: str) -> DataFrame:
+        self.read.add(name)
+        return self.t[name]
+
+    def __iter__(self):
+        return iter(self.t)
+
+    def __len__(self) -> int:
+        return len(self.t)
+
+
+def inputs(t: Tables, name: str) -> set[str]:
+    """The tables that a rule reads, found by planning it; no job runs."""
+    traced = Traced(t)
+    RULES[name](traced)
+    return traced.read
+
+
+def verdicts_after(t: Tables, before: DataFrame, touched: set[str]) -> DataFrame:
+    """As ``verdicts``, after a delivery to the ``touched`` tables: rules that read none of them keep their verdict of ``before``.
+
+    Rules that ``before`` lacks are judged too.
+    """
+    known = {r["rule"] for r in before.select("rule").distinct().collect()}  # one row for each rule
+    again = {name: f(t) for name, f in RULES.items() if name not in known or inputs(t, name) & touched}
+    kept = before.where(F.col("rule").isin([n for n in RULES if n not in again])).select("rule", "violations", "status")
+    return kept.unionByName(summary(again)) if again else kept
