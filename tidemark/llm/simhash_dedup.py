@@ -262,11 +262,12 @@ def similar_links(docs: DataFrame, classes: DataFrame, size: int, similarity: Fr
     return first.unionByName(similar(docs, rest, classes, size, similarity))
 
 
-def classified(texts: DataFrame, size: int, similarity: float | None) -> tuple[DataFrame, DataFrame, str]:
+def classified(texts: DataFrame, size: int, similarity: float | None, keep_rows: bool = True) -> tuple[DataFrame, DataFrame, str]:
     """Rows, labels and their common column: a class of texts that the search takes for one (a fingerprint or a set).
 
     Rows are (id, k1, k2, class) of every row of (id, k1, k2, text), labels (class, rows, best) of every class; best is
-    the first of its component's rows by (id is null, id, k1, k2).
+    the first of its component's rows by (id is null, id, k1, k2). Without ``keep_rows`` the rows of a search by similarity
+    are not stored: reading them would compute them again.
     """
     one = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("rep"), F.count("*").alias("rows")
     if similarity is None:
@@ -278,7 +279,9 @@ def classified(texts: DataFrame, size: int, similarity: float | None) -> tuple[D
         if not 0 < least <= 1:
             raise ValueError("similarity must be above 0 and at most 1")
         text_batches(texts.sparkSession)
-        base = written(shingle_sets(texts, size, least), "simhash-fp")
+        base = shingle_sets(texts, size, least)
+        if keep_rows:
+            base = written(base, "simhash-fp")
         same = [F.first(x).alias(x) for x in ("n", "prefix")]
         # texts with one set may differ in their order or repeats of shingles, and so in fp
         classes = written(base.groupBy("c").agg(*one, F.min("t").alias("t"), F.min("fp").alias("fp"), *same), "simhash-classes")
@@ -316,7 +319,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     plain = docs.toDF(*names)
     id_, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
     keys = row_keys(id_, text)
-    _, labels, _ = classified(plain.select(id_.alias("id"), *keys, text.alias("text")), size, similarity)
+    _, labels, _ = classified(plain.select(id_.alias("id"), *keys, text.alias("text")), size, similarity, keep_rows=False)
     winners = labels.select("best.k1", "best.k2").distinct()
     order = F.xxhash64(*[c for c, kind in plain.dtypes if "map<" not in kind and kind != "variant"])
     rows = plain.select(*keys, F.struct(*names).alias("row"), order.alias("order"))
