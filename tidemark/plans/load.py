@@ -127,10 +127,22 @@ def _renew(store: Store, batch: str, run: str) -> None:
     store.write(f"state/{batch}.lock", {"at": _now(), "owner": run})
 
 
-def _write(spark: SparkSession, d: Dataset, source: str, path: str, nullable: frozenset[str]) -> tuple[DataFrame, dict]:
+def _observing(spark: SparkSession) -> SparkSession:
+    """A session of the same settings in which rows can be observed.
+
+    Once a session has observed rows, Spark 4.1 cannot ship its fitted models with a training summary to tasks any more.
+    """
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    return own
+
+
+def _write(spark: SparkSession, observing: SparkSession, d: Dataset, source: str, path: str, nullable: frozenset[str]) -> tuple[DataFrame, dict]:
     """Writes one dataset; returns its table and the counters of the writing job: rows read, written and left out as repeats."""
     read, emitted = Observation(), Observation()
-    raw = read_raw(spark, d, source).observe(read, F.count(F.lit(1)).alias("n"))
+    raw = read_raw(observing, d, source).observe(read, F.count(F.lit(1)).alias("n"))
     rows = target_rows(raw, d, nullable).observe(emitted, F.count(F.lit(1)).alias("n"))
     try:
         rows.write.mode("errorifexists").parquet(path)
@@ -174,10 +186,11 @@ def full_load(
             check_files(spark, contract)
             by_number = {d.number: d for d in contract.datasets}
             written = {}
+            observing = _observing(spark)
             for group in check_plan(contract, needs_of(contract)):
                 stage = "write"
                 with ThreadPoolExecutor(at_once) as pool:
-                    made = {by_number[n].name: pool.submit(_write, spark, by_number[n], contract.root, f"{store.root}/{folder}/{by_number[n].name}", (nullable or {}).get(by_number[n].name, frozenset({"valid_to"}))) for n in group}
+                    made = {by_number[n].name: pool.submit(_write, spark, observing, by_number[n], contract.root, f"{store.root}/{folder}/{by_number[n].name}", (nullable or {}).get(by_number[n].name, frozenset({"valid_to"}))) for n in group}
                 for name, future in made.items():
                     written[name], counters[name] = future.result()
                 _renew(store, batch, run["run"])
