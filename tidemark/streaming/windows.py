@@ -14,7 +14,10 @@ def instant(df: DataFrame, time: str) -> DataFrame:
 
 
 def deliveries_once(df: DataFrame, key: str, time: str, delay: str = "1 day") -> DataFrame:
-    """First delivery of each key; state is kept for ``delay`` only."""
+    """First delivery of each key; state is kept for ``delay`` only.
+
+    Payloads are not compared; ``stateful.deliveries`` reports those that differ.
+    """
     if not df.isStreaming:
         return df.dropDuplicates([key])
     return df.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
