@@ -1,13 +1,12 @@
 """Boilerplate lines by distinct-site spread.
 
-HyperLogLog sketches of the sites of each line merge by aggregation. Lines whose estimate lies within ``band``
-relative standard errors of the threshold are counted exactly. Lines on ``min_sites`` sites or more are boilerplate
-and are cut from every document.
+HyperLogLog sketches of the sites of each line merge by aggregation, one row for each line and task. Lines whose estimate
+lies within ``band`` relative standard errors of the threshold are counted exactly, and only their lines and sites are made
+distinct. Lines on ``min_sites`` sites or more are boilerplate and are cut from every document.
 
 Lines are compared by a 128-bit hash (two XXH64) of the trimmed line; blank lines are never boilerplate. Texts are split
-and hashed once. Lines and sites are made distinct before anything is joined, with partial aggregation, so that a line
-which is everywhere comes once for each site. A line that occurs on one site only cannot reach a threshold of two, and is
-dropped before sketching by a plain aggregate.
+and hashed once. A line that is everywhere reaches the shuffle as one sketch a task; where lines are joined to what was
+found, frequent ones stay in place.
 """
 
 from __future__ import annotations
@@ -33,19 +32,15 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, band:
     sites is counted where ``exact``, else estimated. Null sites count as one site.
     """
     key = ["h1", "h2"]
-    sites = written(lines.groupBy(*key, F.coalesce("site", F.lit("\0")).alias("site")).agg(F.count("*").alias("n")), "line-sites")
-    ends = sites.groupBy(*key).agg(F.min("site").alias("a"), F.max("site").alias("b"), F.count("*").alias("_n"), F.sum("n").alias("n"))
-    if min_sites > 1:
-        ends = ends.where("a != b")
-    many = written(ends.select(*key, "_n", "n"), "line-counts")
-    sites = written(joined_evenly(sites.select(*key, "site"), many.select(*key, "_n"), key, "_n"), "line-spread-sites")
-    sketched = sites.groupBy(*key).agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
+    at = lines.select(*key, F.coalesce("site", F.lit("\0")).alias("site"))
+    sketched = at.groupBy(*key).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.count("*").alias("n"))
     error = band * 1.04 / (1 << lg_k) ** 0.5 * min_sites + 1
-    sketched = written(sketched.select(*key, F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - error), "line-spread")
-    far = sketched.where(F.col("sites") > min_sites + error).withColumn("exact", F.lit(False))
-    near = sketched.where(F.col("sites") <= min_sites + error).select(*key)
-    counted = sites.join(near, key).groupBy(*key).agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
-    return far.unionByName(counted.withColumn("exact", F.lit(True))).join(many.drop("_n"), key)
+    sketched = written(sketched.where(F.col("sites") >= min_sites - error), "line-spread")
+    far = sketched.where(F.col("sites") > min_sites + error).select(*key, "n", "sites", F.lit(False).alias("exact"))
+    near = sketched.where(F.col("sites") <= min_sites + error).select(*key, "n")
+    sites = joined_evenly(at, near, key, "n").distinct()  # of lines in the band alone
+    counted = sites.groupBy(*key).agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).withColumn("exact", F.lit(True))
+    return far.unionByName(near.join(counted, key))
 
 
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
