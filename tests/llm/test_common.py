@@ -6,7 +6,9 @@ import os
 import subprocess
 import sys
 
-from tidemark.llm.common import arrow_batches
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import arrow_batches, emptied, sieved, written
 
 CODE = """
 from pyspark.sql import SparkSession
@@ -29,3 +31,18 @@ def test_options_are_put_back(spark):
     with arrow_batches(spark, 7):
         assert spark.conf.get(name) == "7"
     assert spark.conf.get(name) == old
+
+
+def test_sieve_keeps_all_keys_and_few_others(spark):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("h")).unionByName(spark.createDataFrame([(0,), (-1,), (None,), (2**63 - 1,), (-(2**63),)], "h long"))
+    rows = keys.unionByName(spark.range(3000, 60_000).select(F.xxhash64("id").alias("h"))).withColumn("_bit", F.lit("kept"))
+    got = sieved(rows.withColumnRenamed("_bit", "x"), keys, "h")
+    assert got.columns == ["h", "x"]
+    assert got.join(keys, "h", "left_semi").count() == 3004 and got.count() < 3004 + 60
+    assert sieved(rows.drop("_bit"), keys.limit(0), "h").count() == 0
+
+
+def test_emptied_tables_read_as_empty(spark):
+    t = written(spark.range(50), "test-emptied")
+    emptied(t, t.limit(0))
+    assert spark.read.parquet(t.inputFiles()[0].rsplit("/", 1)[0]).count() == 0

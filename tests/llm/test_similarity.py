@@ -70,3 +70,20 @@ def test_prefixes_of_similar_sets_meet():
 
 def test_empty(spark):
     assert m.near_duplicates(frame(spark, documents()).limit(0), size=5, similarity=0.8).count() == 0
+
+
+def test_members_meet_across_components_alone(spark):
+    """One posting of thousands in one component and one foreign set; others of several components of unequal sizes."""
+    draw = random.Random(8)
+    rows = [(1, c, 20, 0, 5) for c in range(5000)] + [(1, 9999, 20, 0, 9999)]
+    rows += [(h, 10_000 + draw.randrange(10**6), draw.randrange(18, 24), draw.randrange(4), draw.randrange(5)) for h in (2, 3, 4) for _ in range(60)]
+    rows += [(5, c, 20, 0, 7) for c in range(30)] + [(6, 1, 20, 0, 1)]
+    rooted = m.written(spark.createDataFrame(rows, "h long, c long, n long, i int, root long"), "test-rooted")
+    fits = lambda a, b: 5 * min(a[2], b[2]) >= 4 * max(a[2], b[2]) and 9 * min(a[2] - a[3], b[2] - b[3]) >= 4 * (a[2] + b[2])
+    want = sorted(tuple(sorted((a[1], b[1]))) for i, a in enumerate(rows) for b in rows[: i if a[0] > 1 else 0] if a[0] == b[0] and a[4] != b[4] and fits(a, b))
+    want = sorted(want + [(c, 9999) for c in range(5000)])
+    for chunk in (4096, 7):
+        if chunk == 7:
+            rooted, want = rooted.where("h > 1"), [p for p in want if p[1] != 9999]
+        got = m.unlike(rooted, Fraction("0.8"), chunk).collect()
+        assert sorted(tuple(sorted((r.u, r.v))) for r in got) == want

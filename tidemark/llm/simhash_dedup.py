@@ -15,10 +15,11 @@ With a ``similarity``, two documents are near-duplicates if the Jaccard similari
 among the first n - ceil(t n) + 1 and m - ceil(t m) + 1. Shingles that are frequent in a sample of the texts go last
 in that order, which keeps the buckets small and changes no result. The first shingle that two similar sets share stands
 early enough in both for all others to follow, so a bucket compares only members with such places (Xiao et al., 2008).
-Similar sets also share many of these first shingles,
-as few of either may be missing from the other: only pairs that do are verified, on the whole sets. First each
-member of a bucket is compared with three of its members; then all pairs of a bucket that are not yet in one
-component are compared, so that large groups of copies need rows in proportion to their size.
+Similar sets also share many of these first shingles, as few of either may be missing from the other: only pairs that do
+are verified, on the whole sets. First each member of a bucket is compared with three of its members; then the pairs of
+a bucket that are not yet in one component are compared, and they alone are formed, so that large groups of copies need
+rows in proportion to their size. Shingles of one set alone and texts without a pair are held back by sieves of bits before
+any shuffle, and tables go when their last reader is written.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, joined_evenly, pick, table, text_batches, written
+from tidemark.llm.common import components, emptied, joined_evenly, pick, sieved, table, text_batches, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 CHUNK = 1 << 16
+#: Members of a posting that one task compares with the others.
+DEALT = 4096
 #: One in SAMPLE texts tells which shingles are frequent: the first COMMON of those seen COMMON_LEAST times. They change speed alone.
 SAMPLE, COMMON_LEAST, COMMON = 16, 3, 1 << 16
 
@@ -203,7 +206,8 @@ def whole_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int)
         return pd.DataFrame([(set_hash(x), x.view(np.int64)) for x in sets], columns=["c", "hashes"])
 
     wanted = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct().join(classes, "c").select("t", F.col("c").alias("_c"), "rows")
-    texts = joined_evenly(docs.select(F.xxhash64("text").alias("t"), "text"), written(wanted, "simhash-wanted"), ["t"], "rows")
+    wanted = written(wanted, "simhash-wanted")
+    texts = joined_evenly(sieved(docs.select(F.xxhash64("text").alias("t"), "text"), wanted, "t"), wanted, ["t"], "rows")
     texts = texts.groupBy("_c").agg(F.first("text").alias("text"))
     return written(texts.select("_c", again("text").alias("got")).where("got.c = _c").select(F.col("_c").alias("c"), "got.hashes"), "simhash-sets")
 
@@ -233,8 +237,27 @@ def similar(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, si
     pairs = hopeful(pairs, classes, similarity)
     sets = whole_sets(docs, pairs, classes, size)
     first = verified(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), sets, similarity)
-    rest = apart(pairs, written(components(first, "simhash-links"), "simhash-roots"))
-    return first.unionByName(verified(rest, sets, similarity))
+    rest = verified(apart(pairs, written(components(first, "simhash-links"), "simhash-roots")), sets, similarity)
+    emptied(pairs, sets)
+    return first.unionByName(rest)
+
+
+def unlike(rooted: DataFrame, similarity: Fraction, chunk: int = DEALT) -> DataFrame:
+    """(u, v) of sets that share a posting but no component, where sizes and places allow the similarity.
+
+    In each posting all members meet only those outside the component with most members there, each two components on
+    one side. Members of that component are never compared with each other, and like members of another one no oftener than they
+    meet the largest, so the work is at most twice that of the pairs across components. Members of large postings are
+    dealt out in chunks, to each of which the others are sent.
+    """
+    counts = rooted.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h")
+    counts = counts.agg(F.max(F.struct("k", "root"))["root"].alias("most"), F.count("*").alias("_r"), F.sum("k").alias("_k")).where("_r > 1")
+    counts = written(counts.select("h", "most", "_k", F.ceil(F.col("_k") / chunk).cast("int").alias("chunks")), "simhash-apart")
+    dealt = joined_evenly(sieved(rooted, counts, "h"), counts, ["h"], "_k")
+    x = dealt.select("h", F.pmod(F.xxhash64("c"), "chunks").cast("int").alias("at"), *[F.col(a).alias(b) for a, b in (("c", "u"), ("n", "nu"), ("i", "iu"), ("root", "ru"), ("most", "most"))])
+    y = dealt.where("root != most").select("h", F.explode(F.expr("sequence(0, chunks - 1)")).alias("at"), *[F.col(a).alias(b) for a, b in (("c", "v"), ("n", "nv"), ("i", "iv"), ("root", "rv"))])
+    fit = lengths_fit("nu", "nv", similarity) & places_fit("nu", "nv", "iu", "iv", similarity)
+    return x.join(y, ["h", "at"]).where(((F.col("ru") == F.col("most")) | (F.col("ru") < F.col("rv"))) & fit).select("u", "v")
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, size: int, similarity: Fraction) -> DataFrame:
@@ -244,8 +267,8 @@ def similar_links(docs: DataFrame, classes: DataFrame, size: int, similarity: Fr
     near = near.join(holders.toDF("u", "pu"), "u").join(holders.toDF("v", "pv"), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))
     same = classes.join(holders, "fp").select(F.col("c").alias("u"), F.col("p").alias("v"))
     postings = classes.select("c", "n", F.posexplode("prefix").alias("i", "h"))
-    often = postings.groupBy("h").agg(F.count("*").alias("_k")).where("_k > 1")
-    full = written(joined_evenly(postings, written(often, "simhash-often"), ["h"], "_k"), "simhash-postings")
+    often = written(postings.groupBy("h").agg(F.count("*").alias("_k")).where("_k > 1"), "simhash-often")
+    full = written(joined_evenly(sieved(postings, often, "h"), often, ["h"], "_k"), "simhash-postings")
     one = F.struct("c", "n", "i")
     pivots = full.groupBy("h").agg(F.min(one).alias("_a"), F.max(one).alias("_b"), F.min_by(one, F.xxhash64("c")).alias("_c"), F.count("*").alias("_k"))
     stars = joined_evenly(full, written(pivots, "simhash-pivots"), ["h"], "_k")
@@ -253,13 +276,12 @@ def similar_links(docs: DataFrame, classes: DataFrame, size: int, similarity: Fr
     stars = stars.where(lengths_fit("n", "m", similarity) & places_fit("n", "m", "i", "j", similarity)).select("u", "v")
     first = similar(docs, near.unionByName(same).unionByName(stars), classes, size, similarity)
     roots = written(components(first, "simhash-links"), "simhash-roots")
-    rooted = full.join(roots, full.c == roots.node, "left").select("h", "c", "n", "i", F.coalesce("root", "c").alias("root"))
-    apart = rooted.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a != _b").select("h")
-    rooted = written(rooted.join(apart, "h", "left_semi"), "simhash-apart")
-    x, y = rooted.toDF("h", "u", "nu", "iu", "ru"), rooted.toDF("h", "v", "nv", "iv", "rv")
-    fit = lengths_fit("nu", "nv", similarity) & places_fit("nu", "nv", "iu", "iv", similarity)
-    rest = x.join(y, "h").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & fit).select("u", "v")
-    return first.unionByName(similar(docs, rest, classes, size, similarity))
+    rooted = full.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    rooted = written(rooted, "simhash-rooted")
+    emptied(full)
+    rest = similar(docs, unlike(rooted, similarity), classes, size, similarity)
+    emptied(rooted)
+    return first.unionByName(rest)
 
 
 def classified(texts: DataFrame, size: int, similarity: float | None, keep_rows: bool = True) -> tuple[DataFrame, DataFrame, str]:
@@ -291,7 +313,9 @@ def classified(texts: DataFrame, size: int, similarity: float | None, keep_rows:
     best = written(linked.groupBy("root").agg(F.min("rep").alias("best"), F.count("*").alias("_n")), "simhash-best")
     alone = classes.join(roots, classes[node] == roots.node, "left_anti").select(node, "rows", F.col("rep").alias("best"))
     labels = joined_evenly(linked, best, ["root"], "_n").select(node, "rows", "best").unionByName(alone)
-    return base, written(labels, "simhash-labels"), node
+    labels = written(labels, "simhash-labels")
+    emptied(classes)
+    return base, labels, node
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
