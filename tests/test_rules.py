@@ -222,3 +222,13 @@ def test_only_rules_that_read_what_a_delivery_touched_are_judged_again(spark, go
     full = {tuple(r) for r in rules.verdicts(broken).collect()}
     assert {tuple(r) for r in after.collect()} == full
     assert {tuple(r) for r in rules.verdicts_after(broken, before.where("rule <> 'DQ-31'"), set()).collect()} == {tuple(r) for r in before.where("rule <> 'DQ-31'").collect()} | {r for r in full if r[0] == "DQ-31"}
+
+
+def test_foreign_key_verdicts_broadcast_no_owner(good):
+    comment = good["comment"]
+    lost, none = comment.withColumn("member_id", F.lit("gone")), comment.withColumn("member_id", F.lit(None).cast("string"))
+    t = {name: good[name] for name in ("website_member", "page")} | {"comment": comment.unionAll(lost).unionAll(lost).unionAll(none)}
+    found = constraints.foreign_key_verdicts(t)
+    expected = {name: df.count() for name, df in constraints.foreign_keys(t).items()}
+    assert {r.rule: r.violations for r in found.collect()} == expected and expected["fk comment.member_id"] == 2
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
