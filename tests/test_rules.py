@@ -232,3 +232,32 @@ def test_foreign_key_verdicts_broadcast_no_owner(good):
     expected = {name: df.count() for name, df in constraints.foreign_keys(t).items()}
     assert {r.rule: r.violations for r in found.collect()} == expected and expected["fk comment.member_id"] == 2
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_crowded_keys_count_as_others_do(spark, monkeypatch):
+    """With MANY = 0 every key goes the way of crowded ones; nulls, repeated events and repeated ids among them."""
+    events = spark.createDataFrame([(1, "a", "f", d(2)), (1, "a", "f", d(2)), (1, "a", "f", d(9)), (2, "b", "g", d(2)), (3, None, "f", d(2)), (4, "a", None, d(2)), (5, "c", "f", None)], "event_id long, account_id string, feature_id string, event_time timestamp_ntz")
+    plans = [("p", "a", "x", d(1), None), ("p", "a", "x", d(1), d(5)), ("q", "a", "y", d(2), d(3)), ("r", "b", "x", d(2), d(2)), (None, "a", "x", d(1), None), ("s", None, "x", d(1), None)]
+    given = [("e", "x", "f", d(1), None), ("h", "y", "f", d(1), None), ("h", "y", "f", d(1), d(4)), ("i", "x", "g", d(1), None)]
+    t = {
+        "subscription_plan_period": spark.createDataFrame(plans, "subscription_plan_period_id string, account_id string, plan_id string, valid_from timestamp_ntz, valid_to timestamp_ntz"),
+        "plan_feature_entitlement_period": spark.createDataFrame(given, "entitlement_period_id string, plan_id string, feature_id string, valid_from timestamp_ntz, valid_to timestamp_ntz"),
+    }
+
+    def found():
+        e = rules.active(events, t["subscription_plan_period"], ["account_id"], "subscription_plan_period_id", "n")
+        e = rules.entitled(e, t, ["subscription_plan_period_id"], "m")
+        e = rules.entitled(e, t, ["subscription_plan_period_id", "entitlement_period_id"], "k")
+        return sorted(map(str, e.select("event_id", "account_id", "feature_id", "event_time", "n", "m", "k").collect()))
+
+    plain = found()
+    monkeypatch.setattr(rules, "MANY", 0)
+    assert found() == plain
+    assert sum("n=2, m=2, k=2" in x for x in plain) == 2 and sum("n=2, m=0, k=0" in x for x in plain) == 1
+
+
+def test_active_moves_events_once(spark):
+    events = spark.range(9).selectExpr("id AS event_id", "id % 3 AS account_id", "timestamp_ntz '2024-01-02' AS event_time")
+    periods = spark.range(3).selectExpr("id AS p", "id AS account_id", "timestamp_ntz '2024-01-01' AS valid_from", "cast(NULL AS timestamp_ntz) AS valid_to")
+    plan = rules.active(events, periods, ["account_id"], "p", "n")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Broadcast" not in plan
