@@ -18,3 +18,10 @@ def test_same_rows(spark, name):
 def test_scores_are_probabilities(spark):
     rows = queries()["logistic_scores"](spark, DATA).collect()
     assert rows and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_logistic_scores_compute_the_rows_once(spark):
+    from __spark_entry__ import queries
+
+    plan = queries()["logistic_scores"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan

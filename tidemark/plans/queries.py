@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -598,7 +599,8 @@ def _(t: TestTables) -> DataFrame:
 
 @query("logistic_scores", None)
 def _(t: TestTables) -> DataFrame:
-    rows = model.dataset(t, cutoff=CUTOFF, splits=SPLITS)
+    # one row for each account, read by every pass of the fit and by the scores: computed once, kept on disk
+    rows = model.dataset(t, cutoff=CUTOFF, splits=SPLITS).persist(StorageLevel.DISK_ONLY)
     fitted = model.fit(rows.where("split_name = 'TRAIN'"))
     return model.score(fitted, rows).select("account_id", "split_name", "target_m6", "score")
 
