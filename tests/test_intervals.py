@@ -131,3 +131,12 @@ def test_a_hot_key_is_dealt_out_evenly(spark):
     assert any_hot and ranges.hot_keys(df, ["k"], 3000) is None
     sizes = {(r["k"], r["_bucket"]): r["count"] for r in got.groupBy("k", "_bucket").count().collect()}
     assert max(sizes.values()) < 2 * 3000 / 64 and all(b == 0 for k, b in sizes if k != "hot")
+
+
+def test_as_of_reads_events_once_for_hot_keys(spark):
+    """In the plan of the result, what a bucket hands on comes from the states alone, over buckets without any."""
+    e = spark.range(900).selectExpr("0 AS k", "id", "timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, cast(id AS int)) AS event_time")
+    s = spark.range(1, 901, 400).selectExpr("0 AS k", "id AS v", "timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, cast(id AS int)) AS valid_from")
+    got = as_of(e, s, ["k"], ["v"], parts=16, least=0)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 900") == 1
+    assert {r.id: r.v for r in got.collect()} == {i: None if i < 1 else 1 + (i - 1) // 400 * 400 for i in range(900)}

@@ -58,9 +58,10 @@ def as_of(
     upto = Window.partitionBy(*on, "_bucket").orderBy("_at", F.col("_event").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = both.withColumn("_held", F.last("_state", ignorenulls=True).over(upto)).where("_event is not null")
     if any_hot:
-        ends = both.where("_bucket > 0").groupBy(*on, "_bucket").agg(F.max_by("_state", F.when(F.col("_state").isNotNull(), F.col("_at"))).alias("_last"))
-        before = Window.partitionBy(*on).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        carried = ends.select(*on, "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+        # states alone, so that the events are not read again; the last of a bucket holds up to the next bucket that has any
+        ends = both.where("_bucket > 0 and _state is not null").groupBy(*on, "_bucket").agg(F.max_by("_state", "_at").alias("_carried"))
+        upto_next = F.coalesce(F.lead("_bucket").over(Window.partitionBy(*on).orderBy("_bucket")), F.lit(parts))
+        carried = ends.withColumn("_next", upto_next).where("_bucket < _next").withColumn("_bucket", F.explode(F.expr("sequence(_bucket + 1, _next)"))).drop("_next")
         held = held.join(F.broadcast(carried), [*on, "_bucket"], "left").withColumn("_held", F.coalesce("_held", "_carried"))
     good = F.col("_at").isNotNull()
     if until:
