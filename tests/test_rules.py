@@ -261,3 +261,18 @@ def test_active_moves_events_once(spark):
     periods = spark.range(3).selectExpr("id AS p", "id AS account_id", "timestamp_ntz '2024-01-01' AS valid_from", "cast(NULL AS timestamp_ntz) AS valid_to")
     plan = rules.active(events, periods, ["account_id"], "p", "n")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Broadcast" not in plan
+
+
+def test_shuffled_partitions_of_rules_stay_small(spark):
+    """Large sizes are capped, in whatever unit, and a smaller one of the session's own stays."""
+    name, limit = "spark.sql.adaptive.advisoryPartitionSizeInBytes", rules.PARTITION
+    old = spark.conf.get(name)
+    try:
+        for size, want in (("64MB", limit), ("1g", limit), (str(limit * 2), limit), ("1m", 1 << 20), ("512kb", 512 << 10), ("1000", 1000)):
+            spark.conf.set(name, size)
+            invited = spark.range(3).selectExpr("id AS invitation_id", "id AS website_id", "current_timestamp() AS invitation_time")
+            rules.small_partitions({"membership_invitation": invited})
+            got = spark.conf.get(name)
+            assert got == (str(limit) if want == limit else size)
+    finally:
+        spark.conf.set(name, old)
