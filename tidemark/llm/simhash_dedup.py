@@ -41,6 +41,8 @@ CHUNK = 1 << 16
 DEALT = 4096
 #: One in SAMPLE texts tells which shingles are frequent: the first COMMON of those seen COMMON_LEAST times. They change speed alone.
 SAMPLE, COMMON_LEAST, COMMON = 16, 3, 1 << 16
+#: Sets with which each set is compared first. It changes speed alone, as all pairs of a posting that these leave apart are compared later.
+PARTNERS = 3
 
 
 def shingles(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -260,6 +262,16 @@ def unlike(rooted: DataFrame, similarity: Fraction, chunk: int = DEALT) -> DataF
     return x.join(y, ["h", "at"]).where(((F.col("ru") == F.col("most")) | (F.col("ru") < F.col("rv"))) & fit).select("u", "v")
 
 
+def partners(stars: DataFrame, most: int = PARTNERS) -> DataFrame:
+    """(u, v): of each set's pivots the ``most`` that its postings have most often, of equal ones the smallest; v is never u.
+
+    Sets with many postings in common are the likeliest to be similar. A set's pivots are not more than three times its prefix.
+    """
+    shared = stars.where("u != v").groupBy("u", "v").agg(F.count("*").alias("_n"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("_n"), "v"))), 1, most)
+    return shared.groupBy("u").agg(best.alias("_best")).select("u", F.explode("_best.v").alias("v"))
+
+
 def similar_links(docs: DataFrame, classes: DataFrame, size: int, similarity: Fraction) -> DataFrame:
     """(u, v) links among the different sets c that connect all pairs with the similarity, and no others."""
     holders = classes.groupBy("fp").agg(F.min("c").alias("p"))
@@ -273,7 +285,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, size: int, similarity: Fr
     pivots = full.groupBy("h").agg(F.min(one).alias("_a"), F.max(one).alias("_b"), F.min_by(one, F.xxhash64("c")).alias("_c"), F.count("*").alias("_k"))
     stars = joined_evenly(full, written(pivots, "simhash-pivots"), ["h"], "_k")
     stars = stars.select(F.col("c").alias("u"), "n", "i", F.explode(F.array("_a", "_b", "_c")).alias("v")).select("u", "n", "i", F.col("v.c").alias("v"), F.col("v.n").alias("m"), F.col("v.i").alias("j"))
-    stars = stars.where(lengths_fit("n", "m", similarity) & places_fit("n", "m", "i", "j", similarity)).select("u", "v")
+    stars = partners(stars.where(lengths_fit("n", "m", similarity) & places_fit("n", "m", "i", "j", similarity)))
     first = similar(docs, near.unionByName(same).unionByName(stars), classes, size, similarity)
     roots = written(components(first, "simhash-links"), "simhash-roots")
     rooted = full.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
