@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,6 +30,40 @@ def test_special_strings():
     assert [x.tolist() for x in ENCODER(texts)] == [whole(t) for t in texts]
 
 
+class Recorder:
+    """The library's encoder, and all strings that it was given."""
+
+    def __init__(self, own):
+        self.own, self.given = own, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += texts
+        return self.own.encode_batch_fast(texts, **options)
+
+    def encode(self, text, **options):
+        return self.own.encode(text, **options)
+
+
+def test_words_are_encoded_once_side_by_side():
+    encoder = tokens.WordEncoder(tokens.vocabulary("word_bpe_49k.json"))
+    encoder.own = Recorder(encoder.own)
+    texts = pa.array(["Red green", None, "green\tred. blue", "blue, red4 don't", "\u0130stanbul \u00e9t\u00e9 stra\u00dfe e\u0301"], pa.string())
+    assert [x.tolist() for x in encoder(texts[:3])] == [whole(t) for t in texts[:3].to_pylist()]
+    words, *rest = encoder.own.given
+    assert words == "blue green red" and rest == ["."]  # letters without a sign between them
+    assert [x.tolist() for x in encoder(texts)] == [whole(t) for t in texts.to_pylist()]
+    given = " ".join(encoder.own.given).split(" ")
+    assert max(Counter(c for c in given if c != "~").values()) == 1
+
+
+def test_pairs_of_one_slot_are_told_apart(monkeypatch):
+    monkeypatch.setattr(token_output, "SLOTS", 2)  # four slots for all pairs
+    ids = np.random.default_rng(5).integers(0, 9, 3000, dtype=np.uint32)
+    grammar = token_output.repair(ids, 9)
+    assert max(occurrences(grammar.symbols.tolist()).values()) < token_output.LEAST
+    assert grammar.expand(grammar.symbols)[0].tolist() == ids.tolist() == grammar.spelled().tolist()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 5), max_size=60), max_size=8), st.sampled_from([6, 49408, 65536, 100_000]))
 def test_blocks_round_trip(docs, vocabulary):

@@ -35,7 +35,7 @@ from tidemark.llm.common import pick, table, text_batches, written
 
 BLOCK, LEAST, END, SAMPLE, MAGIC = 1 << 20, 3, 2, 256, b"TMR2"
 #: A round takes a BATCH of the pairs that occur LEAST times, FEWEST at least; smaller rounds compress a little more and take longer.
-BATCH, FEWEST, SLOTS = 0.1, 1024, 20
+BATCH, FEWEST, SLOTS = 0.2, 1024, 22
 
 
 @dataclass
@@ -65,6 +65,19 @@ class Grammar:
             symbols[np.repeat(first, k) + inside] = self.flat[np.repeat(starts[rule], k) + inside]
             owner = None if owner is None else np.repeat(owner, n)
 
+    def spelled(self) -> np.ndarray:
+        """The ids of the symbols: each rule's expansion is made once, and each symbol's copied from it."""
+        rules = np.arange(len(self.sizes), dtype=np.uint32) + self.vocabulary
+        flat, owner = self.expand(rules, owner=np.arange(len(rules)))
+        k = np.bincount(owner, minlength=len(rules))
+        starts, table = np.cumsum(k) - k, np.concatenate((flat, np.arange(self.vocabulary, dtype=np.uint32)))
+        hit = self.symbols >= self.vocabulary
+        rule = self.symbols[hit] - self.vocabulary
+        n, first = np.ones(len(self.symbols), np.int64), self.symbols.astype(np.int64) + len(flat)
+        n[hit], first[hit] = k[rule], starts[rule]
+        ends = np.cumsum(n)
+        return table[np.repeat(first - (ends - n), n) + np.arange(n.sum())]
+
     def uses(self) -> np.ndarray:
         every = np.concatenate((self.symbols, self.flat))
         return np.bincount(every[every >= self.vocabulary] - self.vocabulary, minlength=len(self.sizes))
@@ -156,13 +169,21 @@ def repair(ids: np.ndarray, vocabulary: int) -> Grammar:
         top = ordered[edges[often]]
         rank = np.empty(len(top), np.int64)
         rank[np.lexsort((slot(top, 63), counts[often]))] = np.arange(len(top))
-        maybe = np.zeros(1 << bits, bool)
-        maybe[slot(top, bits)] = True
-        maybe = np.flatnonzero(maybe[slots])
-        pairs = pairs[maybe]
-        which = np.searchsorted(top, pairs)
-        known = which < len(top)
-        known[known] = top[which[known]] == pairs[known]
+        # the pair of each slot; those that share one with another are searched for
+        spots, owner = slot(top, bits), np.full(1 << bits, -1, np.int32)
+        owner[spots] = np.arange(len(top), dtype=np.int32)
+        shared = np.flatnonzero(np.bincount(spots[owner[spots] != np.arange(len(top))], minlength=1 << bits) > 0) if len(top) else spots
+        which = owner[slots]
+        maybe = np.flatnonzero(which >= 0)
+        pairs, which = pairs[maybe], which[maybe].astype(np.int64)
+        known = top[which] == pairs
+        if len(shared):
+            unsure = np.flatnonzero(~known)
+            unsure = unsure[np.isin(slots[maybe[unsure]], shared)]
+            place = np.searchsorted(top, pairs[unsure])
+            place[place == len(top)] = 0
+            hit = top[place] == pairs[unsure]
+            known[unsure[hit]], which[unsure[hit]] = True, place[hit]
         at, which = live[maybe[known]], which[known]
         if alone:  # pairs kept one another from paying: take some of which no two share a symbol
             good = np.flatnonzero(np.bincount(which[~second(at, which)], minlength=len(top)) >= LEAST)
@@ -254,7 +275,8 @@ class Block:
         self.grammar = Grammar(self.vocabulary, unpacked(right, self.bits, 0, flat), np.repeat(sizes, many), np.zeros(0, np.uint32))
 
     def ids(self) -> np.ndarray:
-        return self.grammar.expand(unpacked(self.data, self.bits, 0, self.count))[0]
+        grammar = self.grammar
+        return Grammar(grammar.vocabulary, grammar.flat, grammar.sizes, unpacked(self.data, self.bits, 0, self.count)).spelled()
 
     def document(self, i: int) -> np.ndarray:
         """Ids of one document: unpacks and expands only the symbols between the samples around it."""
@@ -280,7 +302,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     dealt out like others. A text longer than a block is a block of its own; one beyond 2 GB fits no row. An empty table
     gives no blocks.
     """
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, 2048)  # chunks that texts of a batch share are looked up once
     where = path or tokens.vocabulary("word_bpe_49k.json")
     kept = pick(docs, id=id_col, text=text_col).withColumn("_tie", F.monotonically_increasing_id())
     kept = kept.repartitionByRange("id", "_tie").sortWithinPartitions("id", "_tie").drop("_tie")
@@ -296,7 +318,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
         for batch in batches:
             id_type = batch.schema.field("id").type
-            for i, doc in zip(batch["id"].to_pylist(), encoder(batch["text"].to_pylist())):
+            for i, doc in zip(batch["id"].to_pylist(), encoder(batch["text"])):
                 ids.append(i)
                 docs.append(np.append(doc, np.uint32(end)))
                 size += len(doc) + 1
