@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from tidemark.llm import common
 from tidemark.llm.common import arrow_batches, emptied, sieved, written
 
 CODE = """
@@ -46,3 +47,13 @@ def test_emptied_tables_read_as_empty(spark):
     t = written(spark.range(50), "test-emptied")
     emptied(t, t.limit(0))
     assert spark.read.parquet(t.inputFiles()[0].rsplit("/", 1)[0]).count() == 0
+
+
+def test_sieve_is_as_large_as_its_keys_ask_for(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(common, "written", lambda df, label: tables.append(df.localCheckpoint()) or tables[-1])
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    for keys, maps in ((0, 0), (1, 1), (1000, 1), (5000, 8)):
+        passed = common.sieved(rows, rows.limit(keys).localCheckpoint(), "h", sparse=32)
+        assert keys <= passed.count() <= keys + 20_000 / 32 * 1.5
+        assert tables[-1].count() <= maps

@@ -32,8 +32,8 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*[F.col(f"c{names.index(c)}").alias(new) for new, c in columns.items()])
 
 
-#: Bits of a sieve, by default in 4,097 maps of 4 KiB: 16 MB on each executor, however many keys there are.
-SIEVE = 27
+#: A sieve has SPARSE bits a key at least unless told otherwise, and 2^SIEVE at most, in maps of 4 KiB: up to 16 MB on each executor.
+SIEVE, SPARSE = 27, 1024
 
 #: Keys with over one row in HOT, and over FEW rows, are joined by broadcast; there are fewer than HOT of them, whatever the data.
 HOT, FEW, LINKS = 1000, 256, 1 << 16
@@ -104,15 +104,17 @@ def joined_evenly(rows: DataFrame, labels: DataFrame, on: list[str], n: str, tot
     return rows.join(hot, on).unionByName(cold)
 
 
-def sieved(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """The rows whose 64-bit hash in ``on`` is among the keys', and some others: those that agree with a key in their low SIEVE bits.
+def sieved(rows: DataFrame, keys: DataFrame, on: str, sparse: int = SPARSE) -> DataFrame:
+    """The rows whose 64-bit hash in ``on`` is among the keys', and some others: those that agree with a key in their low bits.
 
     For use before a join that drops the others, so that most rows without a partner are never shuffled. Nulls go. Broadcast
-    are the bits alone; far more keys than bits let all rows pass.
+    are the bits alone, ``sparse`` a key (about one in as many other rows passes), so that few keys take little of the driver's memory;
+    far more keys than bits let all rows pass. The keys are read twice and should be cheap to read.
     """
+    bits = min(SIEVE, max(15, (keys.count() * sparse - 1).bit_length()))
 
     def spot(df: DataFrame) -> DataFrame:
-        low = F.col(on).bitwiseAND((1 << SIEVE) - 1)
+        low = F.col(on).bitwiseAND((1 << bits) - 1)
         return df.withColumns({"_map": F.bitmap_bucket_number(low), "_bit": F.bitmap_bit_position(low).cast("int")})
 
     # dealt by map first, or each task would send 4 KiB for every map that it has a key of

@@ -39,6 +39,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 CHUNK = 1 << 16
 #: Members of a posting that one task compares with the others.
 DEALT = 4096
+#: Bits a key of the sieves: one in about as many rows passes in vain, and the driver holds each sieve while it sends it.
+SPARSE = 32
 #: One in SAMPLE texts tells which shingles are frequent: the first COMMON of those seen COMMON_LEAST times. They change speed alone.
 SAMPLE, COMMON_LEAST, COMMON = 16, 3, 1 << 16
 
@@ -132,8 +134,8 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
     often = sample.select(F.explode(distinct("text")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_LEAST)
-    top = often.orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+    top = often.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()["h"].to_numpy()
+    return top[::-1].astype(np.int64).view(np.uint64)
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: Fraction) -> np.ndarray:
@@ -207,7 +209,7 @@ def whole_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int)
 
     wanted = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct().join(classes, "c").select("t", F.col("c").alias("_c"), "rows")
     wanted = written(wanted, "simhash-wanted")
-    texts = joined_evenly(sieved(docs.select(F.xxhash64("text").alias("t"), "text"), wanted, "t"), wanted, ["t"], "rows")
+    texts = joined_evenly(sieved(docs.select(F.xxhash64("text").alias("t"), "text"), wanted, "t", SPARSE), wanted, ["t"], "rows")
     texts = texts.groupBy("_c").agg(F.first("text").alias("text"))
     return written(texts.select("_c", again("text").alias("got")).where("got.c = _c").select(F.col("_c").alias("c"), "got.hashes"), "simhash-sets")
 
@@ -253,7 +255,7 @@ def unlike(rooted: DataFrame, similarity: Fraction, chunk: int = DEALT) -> DataF
     counts = rooted.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h")
     counts = counts.agg(F.max(F.struct("k", "root"))["root"].alias("most"), F.count("*").alias("_r"), F.sum("k").alias("_k")).where("_r > 1")
     counts = written(counts.select("h", "most", "_k", F.ceil(F.col("_k") / chunk).cast("int").alias("chunks")), "simhash-apart")
-    dealt = joined_evenly(sieved(rooted, counts, "h"), counts, ["h"], "_k")
+    dealt = joined_evenly(sieved(rooted, counts, "h", SPARSE), counts, ["h"], "_k")
     x = dealt.select("h", F.pmod(F.xxhash64("c"), "chunks").cast("int").alias("at"), *[F.col(a).alias(b) for a, b in (("c", "u"), ("n", "nu"), ("i", "iu"), ("root", "ru"), ("most", "most"))])
     y = dealt.where("root != most").select("h", F.explode(F.expr("sequence(0, chunks - 1)")).alias("at"), *[F.col(a).alias(b) for a, b in (("c", "v"), ("n", "nv"), ("i", "iv"), ("root", "rv"))])
     fit = lengths_fit("nu", "nv", similarity) & places_fit("nu", "nv", "iu", "iv", similarity)
@@ -268,7 +270,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, size: int, similarity: Fr
     same = classes.join(holders, "fp").select(F.col("c").alias("u"), F.col("p").alias("v"))
     postings = classes.select("c", "n", F.posexplode("prefix").alias("i", "h"))
     often = written(postings.groupBy("h").agg(F.count("*").alias("_k")).where("_k > 1"), "simhash-often")
-    full = written(joined_evenly(sieved(postings, often, "h"), often, ["h"], "_k"), "simhash-postings")
+    full = written(joined_evenly(sieved(postings, often, "h", SPARSE), often, ["h"], "_k"), "simhash-postings")
     one = F.struct("c", "n", "i")
     pivots = full.groupBy("h").agg(F.min(one).alias("_a"), F.max(one).alias("_b"), F.min_by(one, F.xxhash64("c")).alias("_c"), F.count("*").alias("_k"))
     stars = joined_evenly(full, written(pivots, "simhash-pivots"), ["h"], "_k")
