@@ -276,3 +276,16 @@ def test_shuffled_partitions_of_rules_stay_small(spark):
             assert got == (str(limit) if want == limit else size)
     finally:
         spark.conf.set(name, old)
+
+
+def test_access_and_attempts_move_each_row_once(good):
+    for name in ("DQ-05", "DQ-06"):  # histories and parents meet in one window, not in a join beside it
+        assert "Join" not in rules.violations(good, name)._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in rules.violations(good, "DQ-16")._jdf.queryExecution().analyzed().toString()
+
+
+def test_access_of_parents_without_a_key_or_history(spark):
+    parent = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k long")
+    periods = spark.sql("SELECT 1L AS k, x AS p, timestamp_ntz'2020-01-01' + make_dt_interval(x) AS valid_from, timestamp_ntz'2020-01-03' AS valid_to FROM VALUES (1), (4) AS v(x) UNION ALL SELECT NULL, 9, NULL, NULL UNION ALL SELECT 3, 10, NULL, NULL")
+    got = sorted((r.violation_type, r.entity_id or "") for r in rules.access(parent, periods, "k", "p", "x").collect())
+    assert got == [("x_access_final_period_not_open", "4"), ("x_access_internal_gap", "4"), *[("x_missing_access_history", e) for e in ("", "2", "2")]]
