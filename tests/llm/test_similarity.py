@@ -87,3 +87,25 @@ def test_members_meet_across_components_alone(spark):
             rooted, want = rooted.where("h > 1"), [p for p in want if p[1] != 9999]
         got = m.unlike(rooted, Fraction("0.8"), chunk).collect()
         assert sorted(tuple(sorted((r.u, r.v))) for r in got) == want
+
+
+def test_pairs_of_a_group_of_edited_copies_grow_with_its_members(spark, monkeypatch):
+    """Copies of one text with none to eight words changed, of which half are similar to no other."""
+    draw, formed, hopeful = random.Random(1), [], m.hopeful
+    base = [f"w{draw.randrange(3000)}" for _ in range(150)]
+    rows = []
+    for doc_id in range(300):
+        words = list(base)
+        for place in draw.sample(range(150), draw.randrange(9)):
+            words[place] = f"x{draw.randrange(10**9)}"
+        rows.append((doc_id, " ".join(words)))
+
+    def counted(pairs, *rest):
+        formed.append(pairs.selectExpr("least(u, v)", "greatest(u, v)").where("u != v").distinct().count())
+        return hopeful(pairs, *rest)
+
+    monkeypatch.setattr(m, "hopeful", counted)
+    got = m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size=5, similarity=0.8).collect()
+    sets = [grams(text) for _, text in rows]
+    assert {r.id: r.component_id for r in got} == roots(list(range(len(rows))), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    assert len(formed) == 2 and sum(formed) <= 4 * len(rows), formed

@@ -16,10 +16,12 @@ among the first n - ceil(t n) + 1 and m - ceil(t m) + 1. Shingles that are frequ
 in that order, which keeps the buckets small and changes no result. The first shingle that two similar sets share stands
 early enough in both for all others to follow, so a bucket compares only members with such places (Xiao et al., 2008).
 Similar sets also share many of these first shingles, as few of either may be missing from the other: only pairs that do
-are verified, on the whole sets. First each member of a bucket is compared with three of its members; then the pairs of
-a bucket that are not yet in one component are compared, and they alone are formed, so that large groups of copies need
-rows in proportion to their size. Shingles of one set alone and texts without a pair are held back by sieves of bits before
-any shuffle, and tables go when their last reader is written.
+are verified, on the whole sets. First each member of a bucket is compared with three of its members. One is that with
+the fewest shingles ahead of the bucket's: edited copies have their own ones there, so it is the least edited copy, to
+which most similar ones are similar. Then the pairs of a bucket that are not yet in one component are compared, and they
+alone are formed; members that stay apart still meet in pairs where their sizes and places allow the similarity. Shingles
+of one set alone and texts without a pair are held back by sieves of bits before any shuffle, and tables go when their
+last reader is written.
 """
 
 from __future__ import annotations
@@ -272,7 +274,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, size: int, similarity: Fr
     often = written(postings.groupBy("h").agg(F.count("*").alias("_k")).where("_k > 1"), "simhash-often")
     full = written(joined_evenly(sieved(postings, often, "h", SPARSE), often, ["h"], "_k"), "simhash-postings")
     one = F.struct("c", "n", "i")
-    pivots = full.groupBy("h").agg(F.min(one).alias("_a"), F.max(one).alias("_b"), F.min_by(one, F.xxhash64("c")).alias("_c"), F.count("*").alias("_k"))
+    pivots = full.groupBy("h").agg(F.min_by(one, F.struct("i", "c")).alias("_a"), F.max(one).alias("_b"), F.min_by(one, F.xxhash64("c")).alias("_c"), F.count("*").alias("_k"))
     stars = joined_evenly(full, written(pivots, "simhash-pivots"), ["h"], "_k")
     stars = stars.select(F.col("c").alias("u"), "n", "i", F.explode(F.array("_a", "_b", "_c")).alias("v")).select("u", "n", "i", F.col("v.c").alias("v"), F.col("v.n").alias("m"), F.col("v.i").alias("j"))
     stars = stars.where(lengths_fit("n", "m", similarity) & places_fit("n", "m", "i", "j", similarity)).select("u", "v")
