@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import time
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans import constraints, rule_queries, rules
+from tidemark.plans import constraints, reports, rule_queries, rules
 
 
 def d(day: int) -> datetime:
@@ -289,3 +290,25 @@ def test_access_of_parents_without_a_key_or_history(spark):
     periods = spark.sql("SELECT 1L AS k, x AS p, timestamp_ntz'2020-01-01' + make_dt_interval(x) AS valid_from, timestamp_ntz'2020-01-03' AS valid_to FROM VALUES (1), (4) AS v(x) UNION ALL SELECT NULL, 9, NULL, NULL UNION ALL SELECT 3, 10, NULL, NULL")
     got = sorted((r.violation_type, r.entity_id or "") for r in rules.access(parent, periods, "k", "p", "x").collect())
     assert got == [("x_access_final_period_not_open", "4"), ("x_access_internal_gap", "4"), *[("x_missing_access_history", e) for e in ("", "2", "2")]]
+
+
+def shuffled_files(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("query", [rules.verdicts, reports.samples])
+def test_rules_leave_no_shuffled_files(spark, good, monkeypatch, query):
+    for name in [n for n in rules.RULES if n not in ("DQ-05", "DQ-18", "DQ-31")]:
+        monkeypatch.delitem(rules.RULES, name)
+    broken = dict(good) | {"page": frame(spark, "page", [("P2", "W1")]), "support_request": frame(spark, "support_request", [("SR1", "A9", "U1", "W1", "x", None)])}
+    before, old = shuffled_files(spark), spark.conf.get(rules.CLEANUP)
+    found = query(broken).collect()
+    until = time.time() + 20  # executors remove files after the query has ended
+    while (left := shuffled_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(rules.CLEANUP) == old
+    if query is rules.verdicts:
+        assert sorted(tuple(r) for r in found) == [("DQ-05", 1, "FAIL"), ("DQ-18", 0, "PASS"), ("DQ-31", 1, "FAIL")]
+    else:
+        assert sorted(tuple(r) for r in found) == [("DQ-05", "page_missing_access_history", "P2", None), ("DQ-31", "support_website_account", "SR1", None)]
