@@ -312,3 +312,31 @@ def test_rules_leave_no_shuffled_files(spark, good, monkeypatch, query):
         assert sorted(tuple(r) for r in found) == [("DQ-05", 1, "FAIL"), ("DQ-18", 0, "PASS"), ("DQ-31", 1, "FAIL")]
     else:
         assert sorted(tuple(r) for r in found) == [("DQ-05", "page_missing_access_history", "P2", None), ("DQ-31", "support_website_account", "SR1", None)]
+
+
+def shuffled_rows(plan) -> int:
+    """Rows that the exchanges of a plan wrote, which has run without adaptive execution."""
+    own = plan.metrics().get("shuffleRecordsWritten").get().value() if plan.nodeName() == "Exchange" else 0
+    return own + sum(shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_repeated_pages_and_content_are_shuffled_once(spark, good):
+    """30 equal pages and 30 equal items on them make 30 * 30 * 30 rows of a violation, none of which is moved."""
+    rows = lambda name, *values: frame(spark, name).limit(0).unionAll(spark.createDataFrame(list(values), frame(spark, name).schema))
+    t = dict(good) | {
+        "page": rows("page", *[("P1", "W2")] * 30, ("P2", "W1"), ("P2", "W2"), (None, "W1")),
+        "content_item": rows("content_item", *[("C1", "P1", "video")] * 30, ("C2", "P2", "file"), ("C3", None, "file")),
+        "audience_session": rows("audience_session", ("S1", "V1", "W1"), ("S1", "V1", "W1")),
+        "audience_interaction_event": rows(
+            "audience_interaction_event", ("I1", "page_viewed", d(4), "S1", "P1", "C1", None), ("I2", "page_viewed", d(4), "S1", "P2", "C2", None), ("I3", "page_viewed", None, "S1", None, None, None),
+            ("I4", "page_viewed", d(4), "S1", None, "C3", None), ("I5", "page_viewed", d(9), "S1", None, None, None), ("I6", "page_viewed", d(4), "S1", "P9", None, None)),
+    }
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = rules.violations(t, "DQ-21").groupBy("entity_id").count()
+        got = {r.entity_id: r["count"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == {"I1": 2 * 30 * 900, "I2": 2 * 3, "I4": 2, "I5": 2, "I6": 2}
+    assert shuffled_rows(found._jdf.queryExecution().executedPlan()) < 300
